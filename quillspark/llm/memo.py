@@ -4,44 +4,91 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Iterable
+
+import numpy as np
 
 #: A space before a character that isn't white space. In byte-level BPE a token starts at each such space, whatever stands
 #: before it: no token holds a space after its first character, and a run of spaces leaves its last one to what follows.
 STABLE = re.compile(r" (?=\S)")
 
 
-class Layered(dict):
-    """``new`` above ``old``, without a copy of ``old``."""
-
-    def __init__(self, old: Mapping, new: Mapping):
-        super().__init__(new)
-        self.old = old
-
-    def __missing__(self, piece: str):
-        return self.old[piece]
-
-
-class Memo(dict):
-    """Maps a piece to ``make(encoding of prefix + piece)``; ``limit`` bounds what is kept, never what is encoded."""
+class Memo:
+    """What ``make`` gives for pieces, in ``known``. ``limit`` bounds what is kept, never what is encoded: when it is reached,
+    all is forgotten but what the texts at hand need."""
 
-    def __init__(self, path: str, make: Callable, prefix: str = "", limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.make, self.prefix, self.limit = Tokenizer.from_file(path), make, prefix, limit
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
 
     def encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def learn(self, pieces: Iterable[str]) -> Mapping:
-        """A mapping that holds all of ``pieces``."""
-        new, made = list(set(pieces).difference(self)), {}
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            made.update(zip(part, map(self.make, self.encode([self.prefix + p for p in part])), strict=True))
-        if len(self) + len(made) > self.limit:
-            return Layered(self, made)
-        self.update(made)
-        return self
+    def make(self, pieces: list[str]) -> None:
+        """Adds to ``known``, from which nothing of ``pieces`` may be missing then."""
+        raise NotImplementedError
+
+    def learn(self, texts: Iterable[list[str]]) -> dict:
+        """``known`` with all pieces of ``texts``."""
+        wanted: set[str] = set()
+        for pieces in texts:
+            wanted.update(pieces)
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = wanted
+        new = list(new)
+        for i in range(0, len(new), 20_000):
+            self.make(new[i : i + 20_000])
+        return self.known
+
+
+class SpacedCounts(Memo):
+    """Number of tokens of a space and the piece."""
+
+    def make(self, pieces: list[str]) -> None:
+        self.known.update(zip(pieces, (len(e.ids) for e in self.encode([f" {p}" for p in pieces])), strict=True))
+
+
+class WordIds(Memo):
+    """Ids, as little-endian 32-bit bytes, of pieces without the white space around them.
+
+    For tokenizers that lower-case, split at white space and drop it. Words are encoded many at a time with MARK between
+    them. A comma or full stop after a letter is a token for itself there, so that a word is encoded once with and without.
+    """
+
+    MARK, TOGETHER = "\x01", 64
+
+    def __init__(self, path: str, limit: int = 800_000):
+        super().__init__(path, limit)
+        (self.mark_id,) = self.encode([self.MARK])[0].ids
+        self.tails = {c: self._bytes(self.encode([c])[0].ids) for c in ".,"}
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Parts of a text that are encoded alike each on its own. Special tokens are told by case, so where there may be one
+        case is left to the tokenizer."""
+        if "<|" not in text:
+            text = text.encode().lower().decode()  # A-Z only
+        return text.replace("\n", " ").split(" ")
+
+    def make(self, pieces: list[str]) -> None:
+        known, tails = self.known, self.tails
+        ended = [p for p in pieces if p[-1:] in tails and "a" <= p[-2:-1] <= "z"]
+        stems = set(pieces).difference(ended).union(p[:-1] for p in ended).difference(known)
+        odd = [s for s in stems if self.MARK in s]
+        known.update((s, self._bytes(e.ids)) for s, e in zip(odd, self.encode(odd), strict=True))
+        plain = list(stems.difference(odd))
+        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
+        for group, e in zip(groups, self.encode([f" {self.MARK} ".join(g) for g in groups]), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * ids.itemsize).tolist()
+            raw, starts = ids.tobytes(), [0, *(e + ids.itemsize for e in ends)]
+            known.update(zip(group, [raw[a:b] for a, b in zip(starts, ends, strict=False)], strict=True))
+        known.update([(p, known[p[:-1]] + tails[p[-1]]) for p in ended])

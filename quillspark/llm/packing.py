@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.memo import Memo
+from quillspark.llm.memo import WordIds
 
 #: Tokens are unsigned 32-bit, little-endian.
 ID_BYTES = 4
@@ -76,11 +76,6 @@ class Packer:
             yield from self._close(pieces)
 
 
-def pieces_of(text: str) -> list[str]:
-    """Parts of a text that the tokenizer, which drops white space, encodes each on its own."""
-    return text.replace("\n", " ").split(" ")
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, least: int = 64, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
     """One row for each piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -93,7 +88,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     """
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(tokenizer_path, lambda e: b"".join(i.to_bytes(ID_BYTES, "little") for i in e.ids))
+        memo = WordIds(tokenizer_path)
         end, packer = end_id.to_bytes(ID_BYTES, "little"), Packer(capacity, least, TaskContext.get().partitionId() << 40)
 
         def rows_of(packed: list[tuple]) -> pd.DataFrame:
@@ -102,8 +97,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
 
         for frame in frames:
             for _, part in frame.groupby(frame["__text"].str.len().cumsum() // batch_chars, sort=False):
-                split = [pieces_of(t) for t in part["__text"]]
-                known, packed = memo.learn(p for pieces in split for p in pieces), []
+                split = [memo.split(t) for t in part["__text"]]
+                known, packed = memo.learn(split), []
                 for ident, pieces in zip(part["__id"].tolist(), split, strict=True):
                     ids = b"".join(map(known.__getitem__, pieces)) + end
                     packed += packer.add((ident, len(ids) // ID_BYTES), ids)

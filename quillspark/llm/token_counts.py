@@ -16,23 +16,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import checkpointed
-from quillspark.llm.memo import STABLE, Memo
+from quillspark.llm.memo import STABLE, SpacedCounts
 
 #: Texts that a task counts at a time, in characters.
 BATCH_CHARS = 4_000_000
 
 
-def count_many(memo: Memo, texts: list[str]) -> list[int]:
+def count_many(memo: SpacedCounts, texts: list[str]) -> list[int]:
     """Token counts of texts, as sums over pieces that start at stable boundaries."""
     split = [STABLE.split(text) for text in texts]
-    counts = memo.learn(piece for pieces in split for piece in pieces[1:])
-    firsts = memo.encode([pieces[0] for pieces in split])
-    return [len(first.ids) + sum(map(counts.__getitem__, pieces[1:])) for first, pieces in zip(firsts, split, strict=True)]
+    firsts = memo.encode([pieces.pop(0) for pieces in split])
+    counts = memo.learn(split)
+    return [len(first.ids) + sum(map(counts.__getitem__, pieces)) for first, pieces in zip(firsts, split, strict=True)]
 
 
 def _counter(path: str):
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(path, lambda e: len(e.ids), prefix=" ")
+        memo = SpacedCounts(path)
         for frame in frames:
             group = frame["__text"].str.len().cumsum() // BATCH_CHARS
             for _, part in frame.groupby(group, sort=False):
@@ -56,10 +56,10 @@ def _encoder(path: str, chunk: int, overlap: int):
     """Of each chunk: its tokens, and in both overlaps the stable positions with the number of tokens before each."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(path, len)
+        tokenizer = SpacedCounts(path).tokenizer
         for frame in frames:
             for row in frame.itertuples(index=False):
-                e = memo.tokenizer.encode(row.part, add_special_tokens=False)
+                e = tokenizer.encode(row.part, add_special_tokens=False)
                 starts = [a for a, _ in e.offsets]
                 at = row.chunk * chunk
 
