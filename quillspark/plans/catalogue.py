@@ -1,15 +1,260 @@
-"""Registered queries of the library."""
+"""Registered queries of the library, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.functions import vectors as V
+from quillspark.operators import chat, chunk, chunkset, collection, detect, search
+from quillspark.sources import readers
+
+QUERY_VEC, SHIFTED = 7, 500
+#: name -> (query, SQL or None)
+REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        REGISTRY[f.__name__] = (f, sql)
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return _read(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_VEC).first()["embedding"]
+
+
+_COS = "round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6)"
+_BAND = "CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.3 THEN 'low' ELSE 'none' END"
+
+
+@query(f"WITH s AS (SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_VEC}) q ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, label, score, {_BAND} AS quality FROM s")
+def knn_topk(spark, sf_dir):
+    return search.search(_read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 10, id_col="vec_id").withColumn("quality", chat.quality(F.col("score")))
+
+
+@query(f"SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_VEC}) q WHERE e.label >= 3 AND e.label IN (3, 5, 7) ORDER BY score DESC, vec_id LIMIT 10")
+def knn_filtered(spark, sf_dir):
+    return search.search(_read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 10, "label:>=3 && label:[3, 5, 7]", id_col="vec_id")
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings q, embeddings e WHERE q.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5")
+def knn_batch(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return search.search_many(e, e.where("label = 3").select(F.col("vec_id").alias("query_id"), "embedding"), 5, id_col="vec_id")
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> ''), chr(10)) AS clean FROM documents")
+def clean_text(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+
+
+@query(r"SELECT doc_id, length(text)::INTEGER AS char_count, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INTEGER AS word_count FROM documents")
+def word_char_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("char_count"), T.word_count(F.col("text")).alias("word_count"))
+
+
+_N = lambda t: "(" + " + ".join(f"len(regexp_extract_all({t}, '{p}'))" for p in detect.NUMBERED_PATTERNS) + ")"
+_S = lambda t: "(" + " + ".join(f"len(regexp_extract_all({t}, '{p}'))" for p in detect.STATUTE_PATTERNS.values()) + ")"
+_L = lambda t: "(" + " + ".join(f"len(regexp_extract_all({t}, '{p}'))" for p in detect.LIST_PATTERNS.values()) + ")"
+#: By id: a text as it is, with numbered sections, with articles, or with a list.
+_MADE_SQL = """CASE doc_id % 4 WHEN 0 THEN text
+    WHEN 1 THEN chr(10) || '1. SCOPE TERMS' || chr(10) || text[1:200] || chr(10) || '2. PAYMENT TERMS' || chr(10) || text[201:400]
+    WHEN 2 THEN 'Article 1 - Scope' || chr(10) || text[1:100] || chr(10) || 'Article 2 - Terms' || chr(10) || text[101:200]
+    ELSE '(a) one' || chr(10) || '(b) two' || chr(10) || '(c) three' || chr(10) || '(e) five' || chr(10) || '(f) six' || chr(10) || text[1:50] END"""
+
+
+def _made(docs: DataFrame) -> DataFrame:
+    t, kind = F.col("text"), F.col("doc_id") % 4
+    join = lambda *parts: F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    made = F.when(kind == 0, t).when(kind == 1, F.concat(F.lit("\n"), join("1. SCOPE TERMS", F.substring(t, 1, 200), "2. PAYMENT TERMS", F.substring(t, 201, 200)))).when(kind == 2, join("Article 1 - Scope", F.substring(t, 1, 100), "Article 2 - Terms", F.substring(t, 101, 100))).otherwise(join("(a) one", "(b) two", "(c) three", "(e) five", "(f) six", F.substring(t, 1, 50)))
+    return docs.select("doc_id", made.alias("text"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, {_MADE_SQL} AS t FROM documents), c AS (SELECT doc_id, {_N("t")} AS n, {_S("t")} AS s, {_L("t")} AS l, len(string_split(t, chr(10))) AS lines FROM m)
+SELECT doc_id, CASE WHEN n >= 3 THEN 'numbered_sections' WHEN s >= 2 THEN 'statute' WHEN l >= 5 THEN 'policy_or_terms' ELSE 'unstructured' END AS doc_type,
+ round(CASE WHEN n >= 3 THEN least(0.9, 0.6 + 0.05 * n) WHEN s >= 2 THEN least(0.85, 0.5 + 0.1 * s) WHEN l >= 5 THEN least(0.75, 0.4 + 10 * l / lines) ELSE 1.0 END::DOUBLE, 6) AS confidence,
+ n::INTEGER AS section_count, s::INTEGER AS article_count, l::INTEGER AS list_count FROM c""")
+def detect_doc_type(spark, sf_dir):
+    found = detect.detect(_made(_read(spark, sf_dir, "documents")))
+    d = F.col("detection")
+    return found.select("doc_id", d["doc_type"].alias("doc_type"), F.round(d["confidence"].cast("double"), 6).alias("confidence"), d["section_count"].alias("section_count"), d["article_count"].alias("article_count"), d["list_count"].alias("list_count"))
+
+
+@query("SELECT doc_id, text[1:40] AS native, CASE WHEN length(trim(text[1:doc_id % 60])) >= 30 THEN 'native_text' WHEN length(trim(text[1:doc_id % 60])) > 0 AND length(trim(text[1:80])) > 2 * length(trim(text[1:doc_id % 60])) THEN 'hybrid' ELSE 'ocr' END AS page_type FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
+def page_decision(spark, sf_dir):
+    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    made = readers.page_decision(F.substring(flat, F.lit(1), (F.col("doc_id") % 60).cast("int")), F.substring(flat, 1, 80))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.substring(flat, 1, 40).alias("native"), made["page_type"].alias("page_type"))
+
+
+@query("SELECT source, count(*)::BIGINT AS pages, sum((lang = 'fr')::INTEGER)::BIGINT AS errors, CASE WHEN count(*) = 0 THEN 'failed' WHEN sum((lang = 'fr')::INTEGER) > 0 AND sum((lang = 'fr')::INTEGER) < count(*) THEN 'partial' WHEN sum((lang = 'fr')::INTEGER) > 0 THEN 'failed' ELSE 'success' END AS status FROM documents GROUP BY source")
+def ingest_status(spark, sf_dir):
+    n, e = F.count("*"), F.count_if(F.col("lang") == "fr")
+    return _read(spark, sf_dir, "documents").groupBy("source").agg(n.alias("pages"), e.alias("errors"), readers.ingest_status(n, e).alias("status"))
+
+
+@query()
+def paginate_text(spark, sf_dir):
+    pages = readers.split_pages(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages).alias("page", "text"))
+
+
+@query(r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?]+[""''»]?)\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))::INTEGER AS sentences FROM documents")
+def sentence_split(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"), "documented")).alias("sentences"))
+
+
+_CLEAN = r"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> ''), chr(10))"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(c) > 1000 THEN 'para_0_part0' ELSE 'para_0' END AS chunk_id, length(c)::INTEGER AS size, md5(c) AS digest FROM (SELECT doc_id, {_CLEAN} AS c FROM documents) WHERE c <> ''")
+def chunk_paragraph(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "documents").select("doc_id", F.explode(chunk.paragraph_chunks(F.col("text"))).alias("c"))
+    return chunks.select("doc_id", "c.chunk_id", F.length("c.content").alias("size"), F.md5("c.content").alias("digest"))
+
+
+@query(f"SELECT doc_id, i::INTEGER AS part, md5(c[i * 500 + 1 : i * 500 + 500]) AS digest FROM (SELECT doc_id, c, unnest(range(ceil(length(c) / 500.0)::BIGINT)) AS i FROM (SELECT doc_id, {_CLEAN} AS c FROM documents) WHERE length(c) > 500)")
+def chunk_fixed_width(spark, sf_dir):
+    options = chunk.ChunkOptions(max_chunk_size=500, preserve_sentence_integrity=False, sentence_overlap=False)
+    chunks = _read(spark, sf_dir, "documents").where(F.length(T.clean_text(F.col("text"))) > 500).select("doc_id", F.posexplode(chunk.paragraph_chunks(F.col("text"), options)).alias("part", "c"))
+    return chunks.select("doc_id", "part", F.md5("c.content").alias("digest"))
+
+
+def _chunks(spark, sf_dir, semantics="observed") -> DataFrame:
+    return chunk.chunk_documents(_made(_read(spark, sf_dir, "documents")), options=chunk.ChunkOptions(semantics=semantics))
+
+
+@query()
+def chunk_all(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "doc_type", "ordinal", "chunk_id", F.array_join("hierarchy", " > ").alias("path"), "start_pos", "end_pos", "content")
+
+
+@query()
+def chunk_all_documented(spark, sf_dir):
+    return _chunks(spark, sf_dir, "documented").select("doc_id", "doc_type", "ordinal", "chunk_id", F.array_join("hierarchy", " > ").alias("path"), "content")
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    docs = _made(_read(spark, sf_dir, "documents"))
+    return chunkset.statistics(docs, chunk.chunk_documents(docs)).withColumn("chunk_types", F.to_json("chunk_types"))
+
+
+@query()
+def chunk_by_hierarchy(spark, sf_dir):
+    return chunkset.by_hierarchy(_chunks(spark, sf_dir), ["1. SCOPE TERMS"]).select("doc_id", "ordinal", "content")
+
+
+@query()
+def export_markdown(spark, sf_dir):
+    return chunkset.export(_chunks(spark, sf_dir), "markdown")
+
+
+@query()
+def export_csv(spark, sf_dir):
+    return chunkset.export(_chunks(spark, sf_dir), "csv")
+
+
+_BYTES = [f"('0x' || substring(md5(text), {33 - 2 * (i + 1)}, 2))::BIGINT / 255.0::DOUBLE" for i in range(16)]
+
+
+@query(f"SELECT doc_id, round(x[1] / n, 6) AS first, round(x[16] / n, 6) AS last, len(x)::INTEGER AS dim FROM (SELECT doc_id, x, sqrt(list_dot_product(x, x)) AS n FROM (SELECT doc_id, [{', '.join(_BYTES)}]::DOUBLE[] || list_transform(range(48), lambda i: 0::DOUBLE) AS x FROM documents))")
+def md5_embedding(spark, sf_dir):
+    v = _read(spark, sf_dir, "documents").select("doc_id", V.md5_embedding(F.col("text"), 64).alias("v"))
+    return v.select("doc_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(15)), 6).alias("last"), F.size("v").alias("dim"))
+
+
+@query("SELECT doc_id, 'chunk_' || sha256(text)[1:16] AS chunk_id FROM documents")
+def content_id(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", V.content_id(F.col("text")).alias("chunk_id"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm, round((embedding[1]::DOUBLE * 3) / (3 * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS first FROM embeddings")
+def l2_normalise(spark, sf_dir):
+    tripled = F.transform("embedding", lambda x: x.cast("double") * 3)
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.round(F.get(V.l2_normalize(tripled), F.lit(0)), 6).alias("first"))
+
+
+@query("SELECT label AS key, min(vec_id) AS vec_id FROM embeddings GROUP BY label")
+def dedup_keep_first(spark, sf_dir):
+    return collection.dedup_keep_first(_read(spark, sf_dir, "embeddings").withColumnRenamed("label", "key"), "key", ["vec_id"]).select("key", "vec_id")
+
+
+@query(f"SELECT coalesce(n.id, o.id) AS id, coalesce(n.label, o.label) AS label FROM (SELECT vec_id AS id, label FROM embeddings) o FULL JOIN (SELECT vec_id + {SHIFTED // 2} AS id, label + 100 AS label FROM embeddings) n ON o.id = n.id")
+def upsert_merge(spark, sf_dir):
+    old = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return collection.merge_rows(old, old.select((F.col("id") + SHIFTED // 2).alias("id"), (F.col("label") + 100).alias("label")))
+
+
+@query("SELECT label::VARCHAR AS name, count(*)::BIGINT AS num_documents, max(len(embedding))::INTEGER AS embedding_dim FROM embeddings GROUP BY label")
+def collection_stats(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("string").alias("name")).agg(F.count("*").alias("num_documents"), F.max(F.size("embedding")).alias("embedding_dim"))
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_HISTORY = f"""h AS (SELECT *, count(*) OVER w AS n_history, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS last_user, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER w AS last_assistant
+ FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {chat.KEPT_MESSAGES} PRECEDING AND 1 PRECEDING))"""
+_KEYS = lambda c: rf"list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]{{3,}}')), lambda w: NOT list_contains({_list(chat.COMMON)}, w))"
+
+
+@query(rf"""WITH {_HISTORY}, t AS (SELECT conv_id, turn, n_history, last_user, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS q, {_KEYS("text")} AS a, {_KEYS("last_user")} AS b FROM h WHERE role = 'user'),
+ k AS (SELECT *, list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '') AS tok FROM t)
+SELECT conv_id, turn, n_history::BIGINT AS n_history, CASE WHEN n_history = 0 THEN 'new'
+ WHEN len(list_filter({_list(chat.CLARIFICATION)}, lambda w: contains(q, w))) > 0 OR (contains(q, '?') AND len(list_intersect(tok, {_list(chat.REFERENCES[:6])})) > 0) THEN 'clarification'
+ WHEN len(list_filter({_list(chat.FOLLOWUP)}, lambda w: contains(q, w))) > 0 OR regexp_matches(q, '^(and|but|also|or)\b') OR (n_history >= 2 AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / least(len(a), len(b)) > {chat.OVERLAP})
+  OR list_contains({_list(chat.REFERENCES)}, tok[1]) OR len(list_filter(tok, lambda w: list_contains({_list(chat.REFERENCES)}, w))) >= 2 OR len(tok) <= {chat.SHORT} THEN 'followup' ELSE 'new' END AS query_type FROM k""")
+def classify_query(spark, sf_dir):
+    return chat.classify_turns(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "n_history", "query_type")
+
+
+@query(f"SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {chat.KEPT_MESSAGES}")
+def history_window(spark, sf_dir):
+    return chat.history(_read(spark, sf_dir, "conversations"))
+
+
+@query(f"WITH {_HISTORY} SELECT conv_id, turn, last_user, last_assistant FROM h WHERE role = 'user'")
+def previous_messages(spark, sf_dir):
+    return chat.classify_turns(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "last_user", "last_assistant")
+
+
+@query(f"SELECT vec_id, round(abs(embedding[1])::DOUBLE * 4, 4) AS score, {_BAND.replace('score', '(abs(embedding[1])::DOUBLE * 4)')} AS quality, 'file' || label || ' (Part ' || label || ' > Row ' || vec_id || ', p. ' || label || ',' || (label + 1) || ')' AS citation FROM embeddings")
+def quality_citation(spark, sf_dir):
+    score, s = F.abs(F.get("embedding", F.lit(0))).cast("double") * 4, lambda c: F.col(c).cast("string")
+    cited = chat.citation(F.concat(F.lit("file"), s("label")), F.array(F.concat(F.lit("Part "), s("label")), F.concat(F.lit("Row "), s("vec_id"))), F.array(F.col("label"), F.col("label") + 1))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(score, 4).alias("score"), chat.quality(score).alias("quality"), cited.alias("citation"))
+
+
+@query(f"WITH {_HISTORY}, p AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'followup' ELSE 'clarification' END AS query_type, CASE conv_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS quality FROM h) SELECT conv_id, turn, CASE query_type WHEN 'new' THEN CASE quality WHEN 'high' THEN 'answer' WHEN 'none' THEN 'no_context' ELSE 'answer_with_care' END WHEN 'followup' THEN CASE WHEN quality IN ('high', 'medium') THEN 'follow_up' ELSE 'follow_up_no_context' END ELSE 'clarify' END AS prompt_kind FROM p")
+def prompt_select(spark, sf_dir):
+    kind = F.when(F.col("turn") % 3 == 0, "new").when(F.col("turn") % 3 == 1, "followup").otherwise("clarification")
+    band = F.when(F.col("conv_id") % 4 == 0, "high").when(F.col("conv_id") % 4 == 1, "medium").when(F.col("conv_id") % 4 == 2, "low").otherwise("none")
+    return _read(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", chat.prompt_kind(kind, band).alias("prompt_kind"))
+
+
+@query()
+def context_prompt(spark, sf_dir):
+    asked = chat.classify_turns(_read(spark, sf_dir, "conversations"))
+    context = F.array(F.struct(F.col("text").alias("text"), (F.lit(0.5) + F.col("turn") / 20).alias("score"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("source_file"), F.array(F.lit("Turn")).alias("hierarchy"), F.array(F.col("turn").cast("int")).alias("page_numbers")))
+    made = asked.withColumn("contexts", context).withColumn("kind", chat.prompt_kind(F.col("query_type"), chat.quality(F.get("contexts", F.lit(0))["score"])))
+    return made.select("conv_id", "turn", "kind", chat.prompt(F.col("kind"), F.col("text"), chat.context_text(F.col("contexts")), chat.citations(F.col("contexts")), F.col("last_user"), F.col("last_assistant")).alias("prompt"))
