@@ -117,7 +117,7 @@ def paginate_text(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages).alias("page", "text"))
 
 
-@query(r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?]+[""''»]?)\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))::INTEGER AS sentences FROM documents")
+@query(r"""SELECT doc_id, len(string_split(regexp_replace(text, '([.!?]+["''»]?)\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))::INTEGER AS sentences FROM documents""")
 def sentence_split(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"), "documented")).alias("sentences"))
 
