@@ -260,7 +260,9 @@ def _layout(clean: Column, flat: Column, layout: Column, o: ChunkOptions) -> Col
     is_head = lambda b: F.length(shown(b)).between(1, 200) & ((size(b) >= base * o.heading_min_font_ratio) | (F.lit(o.use_bold_as_heading) & F.coalesce(b["is_bold"], F.lit(False))) | (F.lit(o.use_centered_as_heading) & F.coalesce(b["is_centered"], F.lit(False))))
     level = lambda b: F.when(size(b) >= base * 1.5, 1).when((size(b) >= base * 1.3) & (size(b) >= base * o.heading_min_font_ratio), 2).otherwise(3)
     place = lambda b: F.instr(flat, F.regexp_replace(shown(b), r"\s+", " ")) - 1
-    blocks = F.coalesce(layout["blocks"], F.array().cast("array<struct<text:string,font_size:double,is_bold:boolean,is_centered:boolean>>"))
+    fields = {"text": "string", "font_size": "double", "is_bold": "boolean", "is_centered": "boolean"}
+    known = F.transform(layout["blocks"], lambda b: F.struct(*[b[f].cast(t).alias(f) for f, t in fields.items()]))  # blocks may have more fields
+    blocks = F.coalesce(known, F.array().cast(f"array<struct<{','.join(f'{f}:{t}' for f, t in fields.items())}>>"))
     found = F.filter(F.transform(F.filter(blocks, is_head), lambda b: F.struct(place(b).alias("at"), shown(b).alias("text"), level(b).alias("level"))), lambda h: h["at"] >= 0)
     return let(F.array_sort(F.transform(found, lambda h, i: F.struct(h["at"].alias("at"), i.alias("i"), h["text"].alias("text"), h["level"].alias("level")))), lambda heads: _under(heads, clean, blocks, o))
 

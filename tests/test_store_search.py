@@ -1,0 +1,141 @@
+"""Readers, embedding, collections, search, the engine and streams."""
+
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import chat
+from quillspark.operators.collection import Collections, CollectionSchema, dedup_keep_first, merge_rows
+from quillspark.operators.embed import EmbedConfig, Providers, embed_chunks, summary
+from quillspark.operators.search import parse_filter, search, search_many
+from quillspark.plans.engine import Engine, EngineConfig
+from quillspark.sources import readers
+from quillspark.streaming import ingest
+
+
+def docx(*paragraphs):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = "".join(f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{s}\"/></w:pPr>" if s else ""}<w:r><w:t>{t}</w:t></w:r></w:p>' for s, t in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+    return out.getvalue()
+
+
+def test_read_documents(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\r\n\r\ntwo")
+    (tmp_path / "l.md").write_bytes("café".encode("latin-1"))
+    (tmp_path / "d.docx").write_bytes(docx(("Heading1", "Head"), ("", "body"), ("Heading2", "Next"), ("", "more")))
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    (tmp_path / "p.pdf").write_bytes(b"%PDF")
+    got = {r.path.rsplit("/", 1)[1]: r for r in readers.read_documents(spark, str(tmp_path)).collect()}
+    assert [p.text for p in got["a.txt"].pages] == ["one\n\ntwo"] and got["a.txt"].status == "success"
+    assert got["l.md"].pages[0].text == "café" and got["l.md"].metadata["encoding_used"] == "latin-1"
+    assert [p.text for p in got["d.docx"].pages] == ["Head\n\nbody", "Next\n\nmore"]
+    assert got["bad.docx"].status == got["p.pdf"].status == "failed" and got["p.pdf"].errors
+
+
+def test_pages(spark):
+    row = spark.range(1).select(readers.split_pages(F.lit("\n\n".join("x" * 1000 for _ in range(5)))).alias("p"), readers.page_decision(F.lit("ab"), F.lit("abcdef")).alias("d"), readers.ocr_confidence(F.array(F.lit(90), F.lit(-1), F.lit(81))).alias("c"), readers.table_text(F.array(F.array(F.lit(" a\nb "), F.lit("c")))).alias("t")).first()
+    assert [len(p) for p in row.p] == [3004, 2002]
+    assert row.d.page_type == "hybrid" and row.c == 85.5 and row.t == "a b | c"
+
+
+def test_until_failure(spark):
+    df = spark.createDataFrame([(1, "success"), (2, "failed"), (3, "success")], "n int, status string")
+    assert [r.n for r in readers.until_failure(df, "n").orderBy("n").collect()] == [1, 2]
+    assert readers.until_failure(df.where("n <> 2"), "n").count() == 2
+
+
+def test_embedding_is_stable_and_of_length_one(spark):
+    df = spark.createDataFrame([("a", "x"), (None, "x")], "chunk_id string, content string")
+    out = embed_chunks(df, EmbedConfig(dim=8)).collect()
+    assert out[0].embedding == out[1].embedding and abs(sum(x * x for x in out[0].embedding) - 1) < 1e-9
+    assert out[1].chunk_id.startswith("chunk_") and len(out[1].chunk_id) == 22
+    assert summary(embed_chunks(df)).first().status == "success"
+
+
+def test_providers():
+    p = Providers()
+    p.register("maker/*", lambda t, d: t)
+    assert p.get("Maker/Small") and p.resolve(EmbedConfig(model="absent"))[0] == "md5"
+    with pytest.raises(RuntimeError):
+        p.resolve(EmbedConfig(model="absent", fallback=None))
+
+
+def test_schema_problems():
+    assert CollectionSchema("c", 4, [{"name": "k", "type": "int32"}]).problems() == []
+    assert len(CollectionSchema("", 0, [{"name": "k", "type": "int32"}, {"name": "k", "type": "string"}, {"name": "z"}]).problems()) == 4
+
+
+def test_collections(spark, tmp_path):
+    store = Collections(spark, str(tmp_path / "store"))
+    assert store.create(CollectionSchema("c", 2, [{"name": "kind", "type": "string"}]))
+    assert store.create(CollectionSchema("c", 2)) and not store.create(CollectionSchema("c", 3))
+    rows = spark.createDataFrame([("a", "x", [1.0, 0.0], "f", "k1"), ("a", "y", [0.0, 1.0], "f", "k2"), ("b", "z", [1.0], "f", "k3")], "chunk_id string, content string, embedding array<double>, source_file string, kind string")
+    r = store.index("c", rows, ["content"]).first()
+    assert (r.total, r.successful, r.failed, r.status) == (3, 2, 1, "partial")
+    again = store.index("c", rows, ["content"]).first()
+    assert again.successful == 2 and store.read("c").count() == 2  # an upsert repeats without harm
+    only = store.index("c", rows, ["content"], id_mode="chunk_id").first()
+    assert only.duplicates_skipped == 1
+    assert store.index("none", rows, ["content"]).first().status == "failed"
+    assert store.names() == ["c"] and store.stats().first().num_documents == store.read("c").count()
+    assert store.drop("c") and not store.exists("c")
+
+
+def test_dedup_and_merge(spark):
+    df = spark.createDataFrame([("k", 1, [1.0]), ("k", 2, [2.0]), ("e", 1, [])], "key string, n int, embedding array<double>")
+    assert [(r.key, r.n) for r in dedup_keep_first(df, "key", ["n"]).collect()] == [("k", 1)]
+    old, new = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int"), spark.createDataFrame([("b", 2)], "id string, v int")
+    assert sorted(map(tuple, merge_rows(old, new).collect())) == [("a", 1), ("b", 2)]
+
+
+@pytest.mark.parametrize(("expression", "want"), [("n:>1", [2, 3]), ("n:[1, 3]", [1, 3]), ("s:AB", [1, 2]), ("s:=ab", [1]), ("n:>=2 && s:!=c", [2]), ("tags:x", [1, 3]), ("metadata.k:=v", [2]), ("metadata.z:>5", [3])])
+def test_filters(spark, expression, want):
+    df = spark.createDataFrame([(1, "ab", ["x"], {}), (2, "abc", ["y"], {"k": "v"}), (3, "c", ["x", "y"], {"z": "10"})], "n int, s string, tags array<string>, metadata map<string,string>")
+    assert [r.n for r in df.where(parse_filter(expression, dict(df.dtypes))).orderBy("n").collect()] == want
+
+
+def test_search(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [2.0, 0.0]), ("z", [0.0, 0.0])], "id string, embedding array<double>")
+    assert [(r.id, r.score) for r in search(df, [1.0, 0.0], 3).collect()] == [("a", 1.0), ("c", 1.0), ("b", 0.0)]
+    assert search(df, [], 3).count() == 0
+    asked = df.where("id in ('a', 'b')").select(F.col("id").alias("query_id"), "embedding")
+    many = {(r.query_id, r["rank"]): r.id for r in search_many(df, asked, 2, block=1).collect()}
+    assert many[("a", 1)] == "a" and many[("a", 2)] == "c" and many[("b", 1)] == "b"
+
+
+def test_chat(spark):
+    cases = [("What about the second one of the clauses there?", 2, "followup"), ("what do you mean by liability in that clause?", 2, "clarification"), ("Which court is competent for claims under German tenancy law?", 0, "new"), ("ok then", 2, "followup")]
+    df = spark.createDataFrame(cases, "q string, n int, want string").withColumn("got", chat.classify(F.col("q"), F.col("n"), F.lit(None).cast("string")))
+    assert all(r.got == r.want for r in df.collect())
+    bands = spark.createDataFrame([(0.85,), (0.62,), (0.42,), (0.25,)], "s double").select(chat.quality(F.col("s"))).collect()
+    assert [b[0] for b in bands] == ["high", "medium", "low", "none"]
+    cited = spark.range(1).select(chat.citation(F.lit("f.pdf"), F.array(F.lit("A"), F.lit("B")), F.array(F.lit(3), F.lit(4)))).first()[0]
+    assert cited == "f.pdf (A > B, p. 3,4)"
+
+
+def test_engine(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Rent is due on the first day of the month.")
+    engine = Engine(spark, EngineConfig(str(tmp_path / "store"), threshold=0.0))
+    assert engine.process(str(tmp_path / "in"), "c").first().successful == 1
+    first = engine.ask("When is rent due?", "c")
+    assert first["contexts_used"] == 1 and first["query_type"] == "new" and first["answer"].startswith("Rent")
+    second = engine.ask("tell me more", "c", first["conversation"])
+    assert second["query_type"] == "followup" and len(engine.history(first["conversation"])) == 4
+    assert engine.status()["documents"] == 1 and engine.clear(first["conversation"])
+    with pytest.raises(ValueError, match="threshold"):
+        Engine(spark, EngineConfig("x", threshold=2))
+
+
+def test_stream_indexes_new_files_once(spark, tmp_path):
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    (folder / "a.txt").write_text("x")
+    for want in (1, 1):
+        ingest.index_files(spark, str(folder), str(tmp_path / "cp"), lambda df: seen.append(df.count())).awaitTermination(60)
+        assert sum(seen) == want
