@@ -30,12 +30,12 @@ def mixture(sources: DataFrame, target_entropy: float, max_repetition: float) ->
         aggregate(sequence(1, {BISECTIONS}), named_struct('low', 0D, 'high', 1D), (s, i) ->
           named_struct('low', IF({{holds}}, (s.low + s.high) / 2, s.low), 'high', IF({{holds}}, s.high, (s.low + s.high) / 2)), s -> s.low)"""
     z = "aggregate(p, 0D, (x, y) -> x + pow(y, (s.low + s.high) / 2))"
-    flat = f"(ln({z}) - (s.low + s.high) / 2 * aggregate(p, 0D, (x, y) -> x + pow(y, (s.low + s.high) / 2) * ln(y)) / {z}) >= {float(target_entropy)!r}D * ln(size(p))"
-    rare = f"pow(array_min(p), (s.low + s.high) / 2 - 1) / {z} > {float(max_repetition)!r}D"
+    flat = f"(ln({z}) - try_divide((s.low + s.high) / 2 * aggregate(p, 0D, (x, y) -> x + pow(y, (s.low + s.high) / 2) * ln(y)), {z})) >= {float(target_entropy)!r}D * ln(size(p))"
+    rare = f"try_divide(pow(array_min(p), (s.low + s.high) / 2 - 1), {z}) > {float(max_repetition)!r}D"
     # Entropy falls as the exponent grows and so does the highest repetition: each condition holds below its root.
     roots = shares.select("total", "p", F.expr(step.format(holds=flat)).alias("flat"), F.expr(step.format(holds=rare)).alias("rare"))
     one = roots.select("total", "p", F.round(F.greatest("flat", "rare"), 9).alias("exponent")).select("total", "exponent", F.expr("aggregate(p, 0D, (x, y) -> x + pow(y, exponent))").alias("z"))
-    share = F.col("tokens") / F.col("total")
+    share = F.coalesce(F.try_divide(F.col("tokens"), F.col("total")), F.lit(0.0))  # no source may have tokens
     weight = F.when(F.col("tokens") > 0, F.pow(share, F.col("exponent")) / F.col("z")).otherwise(F.lit(0.0))
     # One row by construction: an aggregate without keys.
     with_total = sources.join(F.broadcast(one))

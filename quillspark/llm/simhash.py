@@ -4,7 +4,7 @@ Fingerprints within r bits agree on at least one of r + 1 blocks of bits. So the
 under these block masks, dealt out over the cluster; below each, fingerprints are sorted by Gray rank, in which neighbours
 differ in few bits, and runs of eight become nodes that hold the bits their members share. A search pairs nodes from the top
 and drops a pair once its shared bits differ in more than r places. A group too large for one task gets a further level of
-block masks on the bits that are still free. Of the links in a group only a spanning star is passed on; components are
+block masks on the bits in which its members differ. Of the links in a group only a spanning star is passed on; components are
 joined by alternating stars on the cluster.
 """
 
@@ -160,33 +160,35 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _masked(nodes: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
-    """Each node under all block masks of its free bits; ``masks`` gives, for a mask that already holds, the wider ones."""
-    wider: Column | None = None
-    for held, more in masks.items():
-        choice = F.array(*[F.lit(_signed(m)).cast("long") for m in more])
-        wider = choice if wider is None else F.when(F.col("mask") == _signed(held), choice).otherwise(wider)
-    return nodes.select("fp", "rep", F.explode(wider).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
+def _finer(varying: Column, n: int) -> Column:
+    """Masks of a group whose members differ in the bits of ``varying`` alone: all other bits and one block of these."""
+
+    @F.pandas_udf("array<long>")
+    def of(bits: pd.Series) -> pd.Series:
+        return pd.Series([[_signed(ALL & ~v | block) for block in blocks_of(v, n)] for v in (x % (1 << 64) for x in bits.tolist())])
+
+    return of(varying)
 
 
 def near_links(nodes: DataFrame, radius: int = 4, largest_group: int = LARGEST_GROUP) -> DataFrame:
     """Links (a, b) of reps of distinct fingerprints that join all that differ in at most ``radius`` bits, directly or by a chain
-    of such steps. ``nodes``: fp, rep, one row a fingerprint."""
-    held, level, found = [0], nodes.withColumn("mask", F.lit(0).cast("long")), None
+    of such steps. ``nodes``: fp, rep, one row a fingerprint. ``largest_group`` is at least 2 ** (radius + 1)."""
+    top = F.array(*[F.lit(_signed(m)).cast("long") for m in blocks_of(ALL, radius + 1)])
+    level, found = nodes.select("fp", "rep", top.alias("masks")), None
     while True:
-        masks = {m: [m | block for block in blocks_of(ALL & ~m, radius + 1)] for m in held}
-        rows = _masked(level, masks)
-        sizes = rows.groupBy("mask", "pattern").count()
-        large = checkpointed(sizes.where(F.col("count") > largest_group).select("mask", "pattern"))
+        rows = level.select("fp", "rep", F.explode("masks").alias("mask"))
+        rows = (rows if found is None else rows.distinct()).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = rows.groupBy("mask", "pattern").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying"))
+        large = checkpointed(sizes.where(F.col("n") > largest_group).select("mask", "pattern", _finer(F.col("varying"), radius + 1).alias("masks")))
         deep = not large.isEmpty()
-        # A group of one has no links; over-large groups go one level down, where their bits that are still free are cut up.
+        # A group of one has no links; over-large groups go one level down, where the bits in which members differ are cut up.
         small = rows.join(large, ["mask", "pattern"], "left_anti") if deep else rows
         star = small.select("mask", "pattern", "fp", "rep").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_linker(radius), "a long, b long")
         found = star if found is None else found.unionByName(star)
         if not deep:
             return found.distinct()
-        level = checkpointed(rows.join(large, ["mask", "pattern"], "left_semi").select("fp", "rep", "mask"))
-        held = [m % (1 << 64) for (m,) in large.select("mask").distinct().collect()]  # at most (radius + 1) ** level masks
+        # Groups under different masks can have the same members, and so the same finer masks.
+        level = checkpointed(rows.join(large, ["mask", "pattern"]).select("fp", "rep", "masks").distinct())
 
 
 def components(links_: DataFrame) -> DataFrame:
