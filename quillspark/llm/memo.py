@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -92,3 +93,9 @@ class WordIds(Memo):
             raw, starts = ids.tobytes(), [0, *(e + ids.itemsize for e in ends)]
             known.update(zip(group, [raw[a:b] for a, b in zip(starts, ends, strict=False)], strict=True))
         known.update([(p, known[p[:-1]] + tails[p[-1]]) for p in ended])
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One memo for all tasks that a Python worker runs, so that a task needn't learn again what the one before it knew."""
+    return WordIds(path)

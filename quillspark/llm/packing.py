@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.memo import WordIds
+from quillspark.llm.memo import word_ids
 
 #: Tokens are unsigned 32-bit, little-endian.
 ID_BYTES = 4
@@ -88,7 +88,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     """
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordIds(tokenizer_path)
+        memo = word_ids(tokenizer_path)
         end, packer = end_id.to_bytes(ID_BYTES, "little"), Packer(capacity, least, TaskContext.get().partitionId() << 40)
 
         def rows_of(packed: list[tuple]) -> pd.DataFrame:
