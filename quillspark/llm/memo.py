@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
 from functools import lru_cache
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 
@@ -16,7 +17,7 @@ STABLE = re.compile(r" (?=\S)")
 
 class Memo:
     """What ``make`` gives for pieces, in ``known``. ``limit`` bounds what is kept, never what is encoded: when it is reached,
-    all is forgotten but what the texts at hand need."""
+    all is forgotten but what the texts at hand have new."""
 
     def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -31,19 +32,21 @@ class Memo:
         """Adds to ``known``, from which nothing of ``pieces`` may be missing then."""
         raise NotImplementedError
 
-    def learn(self, texts: Iterable[list[str]]) -> dict:
-        """``known`` with all pieces of ``texts``."""
+    def values(self, texts: list[list[str]]) -> list[list]:
+        """What is known of each piece of each text. Each piece is looked up once; only those that are new are made."""
+        found = [list(map(self.known.get, pieces)) for pieces in texts]
         wanted: set[str] = set()
-        for pieces in texts:
-            wanted.update(pieces)
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > self.limit:
+        for pieces, values in zip(texts, found, strict=True):
+            wanted.update(compress(pieces, map(is_, values, repeat(None))))
+        if len(self.known) + len(wanted) > self.limit:
             self.known.clear()
-            new = wanted
-        new = list(new)
+        new = list(wanted)
         for i in range(0, len(new), 20_000):
             self.make(new[i : i + 20_000])
-        return self.known
+        for pieces, values in zip(texts, found, strict=True):
+            for i in list(compress(count(), map(is_, values, repeat(None)))):
+                values[i] = self.known[pieces[i]]
+        return found
 
 
 class SpacedCounts(Memo):
@@ -56,16 +59,20 @@ class SpacedCounts(Memo):
 class WordIds(Memo):
     """Ids, as little-endian 32-bit bytes, of pieces without the white space around them.
 
-    For tokenizers that lower-case, split at white space and drop it. Words are encoded many at a time with MARK between
-    them. A comma or full stop after a letter is a token for itself there, so that a word is encoded once with and without.
+    For tokenizers that lower-case, split at white space and drop it, and part letters from punctuation. Words are encoded
+    many at a time with MARK between them. Punctuation that ends a word is encoded apart from it, so that a word is encoded
+    once with all its endings; a word of small Latin letters is in normal form and needs no normaliser.
     """
 
     MARK, TOGETHER = "\x01", 64
+    #: Small letters of Latin-1, which normalisers leave alone, then ASCII punctuation but the apostrophe, which may begin a token.
+    ENDED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, limit: int = 800_000):
         super().__init__(path, limit)
         (self.mark_id,) = self.encode([self.MARK])[0].ids
-        self.tails = {c: self._bytes(self.encode([c])[0].ids) for c in ".,"}
+        self.plain = type(self.tokenizer).from_file(path)
+        self.plain.normalizer = None
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -79,20 +86,23 @@ class WordIds(Memo):
             text = text.encode().lower().decode()  # A-Z only
         return text.replace("\n", " ").split(" ")
 
-    def make(self, pieces: list[str]) -> None:
-        known, tails = self.known, self.tails
-        ended = [p for p in pieces if p[-1:] in tails and "a" <= p[-2:-1] <= "z"]
-        stems = set(pieces).difference(ended).union(p[:-1] for p in ended).difference(known)
-        odd = [s for s in stems if self.MARK in s]
-        known.update((s, self._bytes(e.ids)) for s, e in zip(odd, self.encode(odd), strict=True))
-        plain = list(stems.difference(odd))
-        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
-        for group, e in zip(groups, self.encode([f" {self.MARK} ".join(g) for g in groups]), strict=True):
+    def _together(self, tokenizer, words: list[str]) -> None:
+        groups = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = (np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * ids.itemsize).tolist()
             raw, starts = ids.tobytes(), [0, *(e + ids.itemsize for e in ends)]
-            known.update(zip(group, [raw[a:b] for a, b in zip(starts, ends, strict=False)], strict=True))
-        known.update([(p, known[p[:-1]] + tails[p[-1]]) for p in ended])
+            self.known.update(zip(group, [raw[a:b] for a, b in zip(starts, ends, strict=False)], strict=True))
+
+    def make(self, pieces: list[str]) -> None:
+        known = self.known
+        parts = [(p, m[1], m[2]) for p in pieces if (m := self.ENDED.fullmatch(p))]
+        whole = set(pieces).difference(p for p, *_ in parts).union(tail for *_, tail in parts).difference(known)
+        odd = [w for w in whole if self.MARK in w]
+        known.update((w, self._bytes(e.ids)) for w, e in zip(odd, self.encode(odd), strict=True))
+        self._together(self.tokenizer, list(whole.difference(odd)))
+        self._together(self.plain, list({stem for _, stem, _ in parts}.difference(known)))
+        known.update([(p, known[stem] + known[tail]) for p, stem, tail in parts if tail])
 
 
 @lru_cache(maxsize=1)

@@ -98,9 +98,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
         for frame in frames:
             for _, part in frame.groupby(frame["__text"].str.len().cumsum() // batch_chars, sort=False):
                 split = [memo.split(t) for t in part["__text"]]
-                known, packed = memo.learn(split), []
-                for ident, pieces in zip(part["__id"].tolist(), split, strict=True):
-                    ids = b"".join(map(known.__getitem__, pieces)) + end
+                packed = []
+                for ident, found in zip(part["__id"].tolist(), memo.values(split), strict=True):
+                    ids = b"".join(found) + end
                     packed += packer.add((ident, len(ids) // ID_BYTES), ids)
                 if packed:
                     yield rows_of(packed)

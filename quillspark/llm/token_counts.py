@@ -26,8 +26,7 @@ def count_many(memo: SpacedCounts, texts: list[str]) -> list[int]:
     """Token counts of texts, as sums over pieces that start at stable boundaries."""
     split = [STABLE.split(text) for text in texts]
     firsts = memo.encode([pieces.pop(0) for pieces in split])
-    counts = memo.learn(split)
-    return [len(first.ids) + sum(map(counts.__getitem__, pieces)) for first, pieces in zip(firsts, split, strict=True)]
+    return [len(first.ids) + sum(counts) for first, counts in zip(firsts, memo.values(split), strict=True)]
 
 
 def _counter(path: str):
