@@ -1,3 +1,5 @@
+import random
+
 import cases
 import corpus_pipeline
 import pytest
@@ -22,3 +24,30 @@ def test_dedup_keeps_one_of_each_group(spark, sf_dir, docs):
     ids = sorted(r.doc_id for r in kept)
     assert ids == [0, 1, 5, 6, 7, 8, 9]
     assert len(cases.TEXTS) == 10
+
+
+def jaccard(a, b, n=5):
+    a, b = ({tuple(t.lower().split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_dedup_joins_all_of_similarity(spark, sf_dir, docs):
+    rng = random.Random(3)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for i in range(8):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randrange(0, 5)):
+                words[at] = f"x{g}_{i}_{at}"
+            texts.append(" ".join(words))
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                x, y = sorted((top[i], top[j]))
+                top = [x if t == y else t for t in top]
+    frame = spark.createDataFrame([(i, t, None, None, None, None, None, None, None) for i, t in enumerate(texts)], docs.schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(top))
+    assert 12 <= len(set(top)) < len(texts)
