@@ -51,3 +51,11 @@ def test_dedup_joins_all_of_similarity(spark, sf_dir, docs):
     kept = corpus_pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(top))
     assert 12 <= len(set(top)) < len(texts)
+
+
+def test_dedup_counts_rows_not_ids(spark, sf_dir, docs):
+    one, two = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [(1, one), (1, two), (2, two), (None, one), (None, "null id only here, five words"), (None, "null id only here, five words")]
+    frame = spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], docs.schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, "null id only here, five words")])
