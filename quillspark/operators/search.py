@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,37 +53,38 @@ def search(collection: DataFrame, vector: list[float], k: int = 10, filter_by: s
     return top.withColumn("score", F.col("__near") if score_mode == "similarity" else F.round(1 - F.col("__near"), 6)).drop("__near")
 
 
-def search_many(collection: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_id: str = "query_id", block: int = 2000) -> DataFrame:
+def search_many(collection: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_id: str = "query_id", block: int = 2000, row_block: int = 8192) -> DataFrame:
     """query_id, rank, ``id_col``, score: top ``k`` for every row of ``queries`` (query_id, embedding).
 
-    Queries travel to the collection in blocks of at most ``block``; a task keeps only the best k of its rows, so what is
-    shuffled is k rows for each query and task, whatever the collection's size."""
-    out = None
-    numbered = queries.select(query_id, "embedding").withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-queries.count() // block)))))
+    Blocks of about ``block`` queries meet blocks of about ``row_block`` rows in tasks of their own; each pair of blocks gives the
+    best k rows of its queries, which are merged. Nothing but the two counts comes to the driver."""
     kinds = dict(collection.dtypes)[id_col], dict(queries.dtypes)[query_id]
-    for (b,) in numbered.select("__block").distinct().collect():
-        asked = numbered.where(F.col("__block") == b).toPandas()
-        q = np.stack(asked["embedding"].to_numpy()).astype(float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        names = asked[query_id].to_numpy()
+    asked, n = queries.count(), collection.count()
+    query_blocks, row_blocks = max(1, -(-asked // block)), max(1, -(-n // row_block))
+    deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # A row is dealt by its id and vector, so rows that share an id are not one group.
+    side = lambda frame, name, out: frame.where(F.size("embedding") > 0).select(F.col(name).alias(out), "embedding", F.size("embedding").alias("dim"))
+    asking = side(queries, query_id, "q").withColumn("query_block", deal(F.struct("q", "embedding"), query_blocks)).withColumn("row_block", every(row_blocks))
+    rows = side(collection, id_col, "i").withColumn("row_block", deal(F.struct("i", "embedding"), row_blocks)).withColumn("query_block", every(query_blocks))
 
-        def best(frames: Iterator[pd.DataFrame], q=q, names=names) -> Iterator[pd.DataFrame]:
-            kept = None
-            for f in frames:
-                x = np.stack(f["embedding"].to_numpy()).astype(float)
-                scores = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
-                n = min(k, scores.shape[1])
-                edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-                i, j = np.nonzero(scores >= edge[:, None])
-                new = pd.DataFrame({"q": names[i], "i": f[id_col].to_numpy()[j], "s": scores[i, j]})
-                kept = new if kept is None else pd.concat([kept, new])
-                kept = kept.sort_values(["q", "s", "i"], ascending=[True, False, True]).groupby("q").head(k)
-            if kept is not None:
-                yield kept
+    def best(ask: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if ask.empty or part.empty:
+            return pd.DataFrame({"q": ask["q"].iloc[:0], "i": part["i"].iloc[:0], "s": pd.Series(dtype="float64")})
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        q, x = (unit(np.stack(f["embedding"].to_numpy()).astype(float)) for f in (ask, part))
+        ids, names, out = part["i"].to_numpy(), ask["q"].to_numpy(), []
+        for at in range(0, len(q), 256):  # bounded scores at a time
+            scores = np.round(q[at : at + 256] @ x.T, 6)
+            n = min(k, scores.shape[1])
+            edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+            i, j = np.nonzero(scores >= edge[:, None])
+            new = pd.DataFrame({"q": names[at + i], "i": ids[j], "s": scores[i, j], "at": i})
+            new = new.sort_values(["at", "s", "i"], ascending=[True, False, True]).groupby("at").head(k)
+            out.append(new[["q", "i", "s"]])
+        return pd.concat(out)
 
-        part = collection.where(F.size("embedding") == q.shape[1]).select(id_col, "embedding").mapInPandas(best, f"q {kinds[1]}, i {kinds[0]}, s double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return collection.select(F.lit(None).cast(kinds[1]).alias(query_id), F.lit(0).alias("rank"), id_col, F.lit(0.0).alias("score")).limit(0)
+    keys = ["dim", "row_block", "query_block"]
+    out = asking.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(best, f"q {kinds[1]}, i {kinds[0]}, s double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "i"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", F.col("i").alias(id_col), F.col("s").alias("score"))

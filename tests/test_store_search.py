@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,15 @@ def test_stream_indexes_new_files_once(spark, tmp_path):
     for want in (1, 1):
         ingest.index_files(spark, str(folder), str(tmp_path / "cp"), lambda df: seen.append(df.count())).awaitTermination(60)
         assert sum(seen) == want
+
+
+def test_search_many_keeps_queries_in_spark(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(90, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("queries came to the driver"))
+    many = search_many(df, df.where("id < 30").select(F.col("id").alias("query_id"), "embedding"), 3, block=4, row_block=20)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 1
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {(q, r + 1, int(i)) for q in range(30) for r, i in enumerate(np.argsort(-(unit[q] @ unit.T))[:3])}
+    assert {(r.query_id, r["rank"], r.id) for r in many.collect()} == want
