@@ -37,3 +37,15 @@ def test_entry_has_a_query_for_each_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_structured_documents_are_whole(spark, sf_dir):
+    made = {r.doc_id: r.text for r in catalogue._made_whole(catalogue._read(spark, sf_dir, "documents")).collect()}
+    for r in catalogue._read(spark, sf_dir, "documents").collect():
+        half = len(r.text) // 2
+        assert r.text[:half] in made[r.doc_id] and r.text[half:] in made[r.doc_id]
+    # Sections, articles and lists over the size limit are split.
+    rows = catalogue.queries()["chunk_all"](spark, sf_dir).collect()
+    for kind in (1, 2, 3):
+        of = [r for r in rows if r.doc_id % 4 == kind]
+        assert max(sum(len(x.content) for x in of if x.doc_id == d) for d in {x.doc_id for x in of}) > 1000
