@@ -2,16 +2,15 @@
 
 Keys are 64-bit: forty bits of a hash of the text, then twenty-four of a hash of the id. So equal texts are neighbours, and a
 group of copies can still be cut where one shard can't hold it. Splitters are found by counting: each round sums exact bytes
-and rows between probes over all partitions, and puts new probes only where a splitter isn't yet near enough its target. Then
-rows are exchanged once, by range.
+and rows between probes, which divide the key intervals that hold a splitter, over all partitions. Only rows of intervals in
+which a splitter isn't yet near enough its target are counted again, between finer probes. Then rows are exchanged once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,76 +18,94 @@ from quillspark.llm.common import checkpointed
 
 #: The low bits of a key, which hold the id's hash; keys that differ only there have equal texts.
 ID_BITS = 24
-LEAST, MOST = -(2**63), 2**63 - 1
+TEXT_BITS = 64 - ID_BITS
+#: Probes of a round, as a power of two: at first, and as many as the driver may hold.
+FIRST, MOST = 14, 22
+#: Rows that a task counts at least, and intervals up to which they are named in the plan instead of joined.
+COUNTED, NAMED = 1_000_000, 1000
+#: Work units within a shard may miss their number of rows by this part.
+SLACK = 0.25
 
 
 def sort_key(text: Column, ident: Column) -> Column:
+    """Rows without an id have no hash of it; their places in the table part them."""
     low = (1 << ID_BITS) - 1
-    return F.xxhash64(text).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(ident).bitwiseAND(F.lit(low)))
-
-
-def _below(keyed: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Exact bytes and rows with a key below each probe; every task sends one row for each interval that it met."""
-    cuts = np.array(probes, np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(cuts) + 1, np.int64), np.zeros(len(cuts) + 1, np.int64)
-        for b in batches:
-            at = np.searchsorted(cuts, b.column("key").to_numpy(), side="right")
-            np.add.at(total, at, b.column("size").to_numpy())
-            rows += np.bincount(at, minlength=len(rows))
-        (met,) = np.nonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int64)), pa.array(total[met]), pa.array(rows[met])], ["at", "bytes", "rows"])
-
-    total, rows = np.zeros(len(cuts) + 1, np.int64), np.zeros(len(cuts) + 1, np.int64)
-    for r in keyed.select("key", "size").mapInArrow(count, "at long, bytes long, rows long").groupBy("at").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).toLocalIterator():
-        total[r["at"]], rows[r["at"]] = r["bytes"], r["rows"]
-    return np.cumsum(total)[:-1], np.cumsum(rows)[:-1]
-
-
-def find_splitters(keyed: DataFrame, total: int, parts: int, tight_every: int, tolerance: float, probes_each: int = 16) -> list[int]:
-    """``parts`` - 1 keys that cut (key, size) rows into parts of about equal bytes.
-
-    Every ``tight_every``-th is a shard's edge and must come within ``tolerance`` of a shard's bytes; others may be ten times
-    as far off. Probes go to edges between texts first and inside a group of copies only where those aren't near enough. At the
-    end of a search, where no key lies between two probes, the nearer one stands.
-    """
-    targets = [total * (i + 1) / parts for i in range(parts - 1)]
-    shard = total / max(1, parts // tight_every)
-    allowed = [shard * tolerance * (1 if (i + 1) % tight_every == 0 else 10) for i in range(parts - 1)]
-    span, unit = [(LEAST, MOST)] * (parts - 1), 1 << ID_BITS
-    best: list[tuple[float, int]] = [(target, LEAST) for target in targets]
-    open_ = [i for i, (off, _) in enumerate(best) if off > allowed[i]]
-    first = True
-    while open_:
-        asked: dict[int, list[int]] = {}
-        for i in open_:
-            low, high = span[i]
-            step = unit if high - low > 2 * unit else 1
-            # The first round guesses with the hash's even spread, later ones divide the interval that holds the target.
-            n = probes_each * (len(open_) if first and i == open_[0] else 1)
-            if first and i != open_[0]:
-                continue
-            points = {low + (high - low) * (j + 1) // (n + 1) for j in range(n)}
-            asked[i] = sorted({p for x in points if low < (p := x // step * step) <= high} or {high})
-        probes = sorted({p for points in asked.values() for p in points})
-        counted, _ = _below(keyed, probes)
-        keys = np.array(probes, np.int64)
-        still = []
-        for i in open_:
-            at = int(np.searchsorted(counted, targets[i]))
-            low, high = span[i]
-            for j in (at - 1, at):
-                if 0 <= j < len(probes) and (off := abs(float(counted[j]) - targets[i])) < best[i][0]:
-                    best[i] = (off, probes[j])
-            low = max(low, int(keys[at - 1]) if at else low)
-            high = min(high, int(keys[at]) if at < len(keys) else high)
-            narrowed = (low, high) != span[i]
-            span[i] = (low, high)
-            if best[i][0] > allowed[i] and high - low > 1 and (narrowed or first):
-                still.append(i)
-        open_, first = still, False
-    return sorted(key for _, key in best)
+    unnamed = F.when(ident.isNull(), F.monotonically_increasing_id())
+    return F.xxhash64(text).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(ident, unnamed).bitwiseAND(F.lit(low)))
+
+
+@dataclass
+class Cells:
+    """Intervals of keys in order: where each begins, the bits that its keys share, its bytes and rows."""
+
+    start: np.ndarray
+    bits: np.ndarray
+    size: np.ndarray
+    rows: np.ndarray
+
+    def below(self, of: np.ndarray) -> np.ndarray:
+        """Sums of ``of`` before each cell, and of all."""
+        return np.concatenate(([0], np.cumsum(of)))
+
+    def replaced(self, gone: np.ndarray, new: Cells) -> Cells:
+        """Without the cells ``gone`` and with those of ``new``."""
+        both = [np.concatenate((mine[~gone], theirs)) for mine, theirs in ((self.start, new.start), (self.bits, new.bits), (self.size, new.size), (self.rows, new.rows))]
+        order = np.argsort(both[0], kind="stable")
+        return Cells(*(x[order] for x in both))
+
+
+def count_between(keyed: DataFrame, bits: int, inside: np.ndarray | None = None, inside_bits: int = 0) -> Cells:
+    """Exact bytes and rows of (key, size) between probes ``2 ** (64 - bits)`` apart, of the keys alone whose first
+    ``inside_bits`` bits are in ``inside``. One job; what comes back is a row for each interval that holds keys."""
+    first = lambda n: F.shiftright("key", 64 - n)
+    if inside is not None and len(inside) <= NAMED:
+        keyed = keyed.where(first(inside_bits).isin(inside.tolist()))
+    elif inside is not None:  # at most 2 ** MOST numbers
+        known = keyed.sparkSession.createDataFrame([(x,) for x in inside.tolist()], "first long")
+        keyed = keyed.join(F.broadcast(known), first(inside_bits) == F.col("first"), "left_semi")
+    got = keyed.groupBy(first(bits).alias("cell")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toArrow()
+    cell, size, rows = (got.column(c).to_numpy().astype(np.int64) for c in ("cell", "bytes", "rows"))
+    order = np.argsort(cell)
+    return Cells(cell[order] << (64 - bits), np.full(len(cell), bits), size[order], rows[order])
+
+
+def _far(below: np.ndarray, targets: np.ndarray, allowed: float) -> np.ndarray:
+    """Cells in which a target lies further than ``allowed`` from both ends."""
+    at = np.clip(np.searchsorted(below, targets, side="left"), 1, len(below) - 1)
+    far = np.minimum(targets - below[at - 1], below[at] - targets) > allowed
+    return np.unique(at[far] - 1)
+
+
+def _nearest(below: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The edge between cells that is nearest each target; the earlier of two."""
+    at = np.clip(np.searchsorted(below, targets, side="left"), 1, len(below) - 1)
+    return np.where(targets - below[at - 1] <= below[at] - targets, at - 1, at)
+
+
+def find_splitters(keyed: DataFrame, rows: int, total: int, shards: int, tolerance: float, rows_per_part: int) -> tuple[Cells, np.ndarray, np.ndarray]:
+    """Cells, and the edges between them at which shards and at which parts of shards begin, of (key, size) rows.
+
+    Shard edges divide the bytes evenly, within ``tolerance`` of a shard; parts divide the rows by ``rows_per_part``. Probes go to
+    edges between texts first, and inside a group of copies only where those aren't near enough. A cell of one row, or of one
+    key, is not divided. With b the bits of the first round there are at most 2 + (64 - b) / s rounds of s bits each, where 2 ** s
+    is the number of probes for each open cell: five, while no more than eight cells are open."""
+    by_bytes = np.arange(1, shards) * total / shards
+    by_rows = np.arange(1, -(-rows // rows_per_part)) * float(rows_per_part)
+    parts = len(by_rows) + shards
+    level = min(max((8 * parts - 1).bit_length(), FIRST), MOST)
+    budget = max(level, FIRST + 2)
+    cells = count_between(keyed, level)
+    while True:
+        open_ = np.union1d(_far(cells.below(cells.size), by_bytes, tolerance * total / shards), _far(cells.below(cells.rows), by_rows, SLACK * rows_per_part))
+        open_ = open_[(cells.bits[open_] == level) & (cells.rows[open_] > 1)]
+        if not len(open_) or level == 64:
+            break
+        finer = min(level + max(1, budget - (len(open_) - 1).bit_length()), TEXT_BITS if level < TEXT_BITS else 64)
+        gone = np.zeros(len(cells.start), bool)
+        gone[open_] = True
+        cells = cells.replaced(gone, count_between(keyed, finer, cells.start[open_] >> (64 - level), level))
+        level = finer
+    return cells, _nearest(cells.below(cells.size), by_bytes), _nearest(cells.below(cells.rows), by_rows)
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, rows_per_part: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,31 +113,36 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, r
 
     Size is the text's UTF-8 bytes plus 1. Shards hold near-equal bytes; copies of a text share a shard unless that would
     move its edge by more than ``tolerance`` of a shard. Slots count from 0 in each shard, in key order. A shard is several
-    range parts of about ``rows_per_part`` rows, each sorted and numbered in its own task.
+    range parts of about ``rows_per_part`` rows, however small those are, each sorted and numbered in its own task.
 
-    Edge cases: a null text has size 1 and the CRC of no bytes; a null id is hashed as such; rows with equal ids and texts
-    stay together, in any order; with fewer rows than shards some shards are empty; an empty table gives no rows. Other
-    columns are not read.
+    Edge cases: a null text has size 1 and the CRC of no bytes; rows with a null id are told apart by their places; rows with
+    equal ids and texts stay together, in any order; with fewer rows than shards some shards are empty; an empty table gives no
+    rows. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = checkpointed(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), sort_key(text, F.col(id_col)).alias("key")))
     rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    each = max(1, -(-rows // (rows_per_part * shards)))
-    splitters = find_splitters(keyed, total, shards * each, each, tolerance) if rows else []
-    splitters = splitters or [LEAST] * (shards * each - 1)
-    _, below = _below(keyed, splitters)
-    starts = [0, *(int(x) for x in below)]
-    base = [starts[p] - starts[p - p % each] for p in range(shards * each)]
-
-    edges = F.array(*[F.lit(s) for s in splitters])
-    # Binary search over the splitters: halve the range as often as its length needs.
-    steps = max(1, len(splitters).bit_length())
-    found = F.reduce(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("low"), F.lit(len(splitters)).alias("high")), lambda s, _: _halve(s, edges, F.col("key")), lambda s: s["low"]) if len(splitters) > 64 else sum((F.when(F.col("key") >= s, 1).otherwise(0) for s in splitters), F.lit(0))
-    part = keyed.withColumn("part", found.cast("int")).repartition(len(base), "part")
+    splitters, shard_of, base = np.empty(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    if rows:
+        # Small partitions are counted together, so that a round has no more tasks than it has work.
+        counted = keyed.select("key", "size").coalesce(-(-rows // COUNTED))
+        cells, shard_edges, part_edges = find_splitters(counted, rows, total, shards, tolerance, rows_per_part)
+        starts = np.union1d([0], np.concatenate((shard_edges, part_edges)))
+        starts = starts[starts < len(cells.start)].astype(np.int64)  # what would begin after the last row is empty
+        splitters, before = cells.start[starts[1:]], cells.below(cells.rows)[starts]
+        shard_of = np.searchsorted(shard_edges, starts, side="right")
+        base = before - before[np.searchsorted(shard_of, shard_of, side="left")]
+
+    # An edge that is passed is one part further on; of many edges, half are left out at each step of a search.
+    steps = len(splitters).bit_length()
+    edges = F.lit(splitters)
+    found = F.reduce(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("low"), F.lit(len(splitters)).alias("high")), lambda s, _: _halve(s, edges, F.col("key")), lambda s: s["low"]) if len(splitters) > 64 else sum((F.when(F.col("key") >= s, 1).otherwise(0) for s in splitters.tolist()), F.lit(0))
+    part = keyed.withColumn("part", found.cast("int")).repartitionById(len(base), "part")
     number = F.row_number().over(Window.partitionBy("part").orderBy("key", "id")) - 1
+    at = lambda values: F.element_at(F.lit(values.astype(np.int64)), F.col("part") + 1)
     return part.select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.floor(F.col("part") / F.lit(each)).cast("int").alias("shard"),
-        (F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("part") + 1) + number).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), at(shard_of).cast("int").alias("shard"),
+        (at(base) + number).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -2,7 +2,11 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from quillspark.llm.histogram_sort import shard_by_bytes
+import numpy as np
+import pytest
+
+from quillspark.llm import histogram_sort
+from quillspark.llm.histogram_sort import find_splitters, shard_by_bytes
 from quillspark.llm.mixing import mixture, temperature_mix
 
 
@@ -21,7 +25,61 @@ def test_shards_are_even_with_copies_and_a_hot_text(spark):
     total, by = sum(r["size"] for r in rows), Counter()
     for r in rows:
         by[r.shard] += r["size"]
-    assert len(rows) == 7000 and len(by) == 8 and all(abs(b - total / 8) <= 0.02 * total / 8 + 200 for b in by.values())
+    assert len(rows) == 7000 and len(by) == 8 and all(abs(b - total / 8) <= 2 * max(0.001 * total / 8, 250) for b in by.values())
+
+
+def hot_rows(spark, n, copies, partitions):
+    """A third of the rows have one text."""
+    made = spark.range(n, numPartitions=partitions).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("hot words "), F.lit(12))).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit(" and on"), (F.col("id") % 40).cast("int")))).alias("text"))
+    return made if copies else made.where("doc_id % 3 <> 0")
+
+
+def test_few_rounds_for_a_hot_text_over_many_partitions(spark, monkeypatch):
+    rounds, count = [], histogram_sort.count_between
+    monkeypatch.setattr(histogram_sort, "count_between", lambda *a: rounds.append(a[1]) or count(*a))
+    rows = shards_of(hot_rows(spark, 12_000, True, 211), shards=8)
+    by = Counter()
+    for r in rows:
+        by[r.shard] += r["size"]
+    total = sum(by.values())
+    assert len(rounds) <= 5 and len(rows) == 12_000 and len(by) == 8
+    # An edge lies within 0.1 % of a shard of its target, or within half a row, so a shard within twice that of the mean.
+    assert all(abs(b - total / 8) <= 2 * max(0.001 * total / 8, 400) for b in by.values())
+
+
+@pytest.mark.parametrize("copies", [True, False])
+def test_splitters_equal_sorted_sums(spark, copies):
+    docs = hot_rows(spark, 6000, copies, 7)
+    keyed = docs.select((F.octet_length("text") + 1).cast("long").alias("size"), histogram_sort.sort_key(F.col("text"), F.col("doc_id")).alias("key"))
+    both = sorted((r["key"], r["size"]) for r in keyed.collect())
+    keys, upto = np.array([k for k, _ in both]), np.concatenate(([0], np.cumsum([s for _, s in both])))
+    total, shards, tolerance = int(upto[-1]), 8, 0.001
+    cells, edges, parts = find_splitters(keyed, len(both), total, shards, tolerance, 500)
+    assert (cells.start.tolist() == sorted(set(cells.start.tolist()))) and cells.rows.sum() == len(both) and cells.size.sum() == total
+    for i, edge in enumerate(edges):
+        before = int(np.searchsorted(keys, cells.start[edge]))  # rows below the splitter, by sorting
+        assert before == cells.below(cells.rows)[edge] and upto[before] == cells.below(cells.size)[edge]
+        target = total * (i + 1) / shards
+        nearest = np.abs(upto - target).min()
+        assert abs(upto[before] - target) <= max(tolerance * total / shards, nearest)
+    for i, edge in enumerate(parts):
+        assert abs(cells.below(cells.rows)[edge] - 500 * (i + 1)) <= 125
+
+
+def test_many_small_rows_of_one_text_are_several_parts(spark):
+    frame = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.repeat(F.lit("long "), (F.col("id") % 900).cast("int"))).alias("text"))
+    out = shard_by_bytes(frame, rows_per_part=100)
+    parts = [r["count"] for r in out.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+    assert sum(parts) == 3000 and max(parts) <= 150 + 1
+    slots = defaultdict(list)
+    for r in out.collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_fewer_rows_than_shards(spark):
+    rows = shards_of(spark.createDataFrame([(1, "only one"), (2, None)], "doc_id long, text string"))
+    assert len(rows) == 2 and all(0 <= r.shard < 8 for r in rows)
 
 
 def test_shard_edges(docs, empty):
