@@ -12,15 +12,18 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import CUT, clean_text, let, pack, paragraphs, sentences, strip
+from quillspark.functions.text import clean_text, emit, fold_out, let, pack, paragraphs, sentences, strip, wide, with_starts
 from quillspark.operators import detect as D
 
 CHUNK = "struct<content:string,chunk_id:string,hierarchy:array<string>,start_pos:int,end_pos:int,metadata:map<string,string>>"
-SECTION = r"^\d+(?:\.\d+)*\.\s+[A-Z][^\n]"
-ARTICLE = r"Article\s+\d+|Art\.\s+\d+|Section\s+\d+|§\s*\d+"
-CLAUSE_KINDS = {"numeric": r"\((\d+)\)", "clause": r"Clause\s+(\d+)", "para": r"Para\.\s+(\d+)", "letter": r"\(([a-z])\)"}
+# How a section begins, and how clauses do, with their number or letter.
+SECTION = wide(r"^\d+(?:\.\d+)*\.\s+[A-Z][^\n]")
+CLAUSE_KINDS = {"numeric": wide(r"\((\d+)\)"), "clause": wide(r"Clause\s+(\d+)"), "para": wide(r"Para\.\s+(\d+)"), "letter": r"\(([a-z])\)"}
+ARTICLE = "|".join(wide(p).removeprefix("(?i)") for p in D.STATUTE_PATTERNS.values())
+#: A header that begins within so many characters of another doesn't end what stands under that.
+SKIP = 10
 # The markers that begin a list item, told without case.
-MARKERS = (r"\([a-z]\)\s", r"\([ivx]+\)\s", r"\(\d+\)\s", r"[•●○]\s", r"[-*]\s+", r"\d+\.\s", r"[a-z]\.\s")
+MARKERS = tuple(wide(m) for m in (r"\([a-z]\)\s", r"\([ivx]+\)\s", r"\(\d+\)\s", r"[•●○]\s", r"[-*]\s+", r"\d+\.\s", r"[a-z]\.\s"))
 
 
 @dataclass(frozen=True)
@@ -64,14 +67,17 @@ def merge_small(chunks: Column, least: int) -> Column:
     if not least:
         return chunks
 
-    def add(done: Column, c: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        both = (F.size(done) > 0) & (F.length(last["content"]) < least) & (F.length(c["content"]) < least)
+    def add(last: Column, c: Column) -> Column:
+        both = last.isNotNull() & (F.length(last["content"]) < least) & (F.length(c["content"]) < least)
         keys = F.map_filter(last["metadata"], lambda k, v: ~F.array_contains(F.map_keys(c["metadata"]), k) & (k != "merged"))
         merged = F.struct(F.concat(last["content"], F.lit("\n\n"), c["content"]).alias("content"), last["chunk_id"].alias("chunk_id"), last["hierarchy"].alias("hierarchy"), last["start_pos"].alias("start_pos"), c["end_pos"].alias("end_pos"), F.map_concat(keys, F.map_filter(c["metadata"], lambda k, v: k != "merged"), F.create_map(F.lit("merged"), F.lit("true"))).alias("metadata"))
-        return F.when(both, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged.cast(CHUNK)))).otherwise(F.concat(done, F.array(c)))
+        return F.when(both, _step(merged.cast(CHUNK), _none())).when(last.isNull(), _step(c, _none())).otherwise(_step(c, F.array(last)))
 
-    return F.reduce(chunks, _none(), add)
+    return fold_out(chunks, F.lit(None).cast(CHUNK), add, CHUNK, CHUNK, lambda last: F.filter(F.array(last), lambda c: c.isNotNull()))
+
+
+def _step(carried: Column, out: Column, kind: str = CHUNK) -> Column:
+    return F.struct(carried.alias("carry"), out.alias("out")).cast(f"struct<carry:{kind},out:array<{CHUNK}>>")
 
 
 def _parts(content: Column, base_id: Column, hierarchy: Column, start: Column, metadata: dict[str, Column], o: ChunkOptions, overlap: int, joint: str = "_part", heading: Column | None = None) -> Column:
@@ -88,92 +94,106 @@ def _parts(content: Column, base_id: Column, hierarchy: Column, start: Column, m
 def numbered_chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
     """Sections ``n.``, ``n.m.`` ... with the path of their headers; own contents of at most 50 characters give no chunk."""
     o = options.within(1500, 100, 50)
-    return let(F.split(F.regexp_replace(clean_text(text, o.semantics), f"(?m)(?={SECTION})", CUT), CUT), lambda cut: _numbered(cut, o))
-
-
-def _numbered(cut: Column, o: ChunkOptions) -> Column:
-    number = lambda p: F.regexp_extract(p, r"^(\d+(?:\.\d+)*)\.", 1)
-    level = lambda p: F.size(F.split(number(p), r"\."))
-    title = lambda p: F.regexp_extract(p, r"^\d+(?:\.\d+)*\.\s+([A-Z][^\n]+)", 1)
-    first = F.when(F.element_at(cut, 1).rlike(SECTION), 0).otherwise(1)
-    section = lambda i: F.get(cut, i + first)
-    zero = F.struct(F.array().cast("array<struct<level:int,crumb:string,own:string>>").alias("open"), _none().alias("out"), F.when(first == 1, F.length(F.element_at(cut, 1))).otherwise(0).alias("at"))
-
-    def add(s: Column, i: Column) -> Column:
-        p, after = section(i), section(i + 1)
-        parent = F.coalesce(after.isNotNull() & (level(after) > level(p)), F.lit(False))
-        own = F.when(parent & p.rlike(r"\S\n+\S"), strip(F.regexp_replace(p, r"^[^\n]*\n", ""))).otherwise(strip(p))
-        outer = F.filter(s["open"], lambda x: x["level"] < level(p))
+    return let(with_starts(F.split(clean_text(text, o.semantics), f"(?m)(?={SECTION})")), lambda pieces: _numbered(pieces, o))
+
+
+def _extended(pieces: Column, i: Column, ends: Callable[[Column], Column]) -> Column:
+    """Text of piece i, and where it is shorter than SKIP, of those after it up to the first that ``ends`` it."""
+    own = F.get(pieces, i)
+    state = "struct<text:string,over:boolean>"
+
+    def add(s: Column, p: Column) -> Column:
+        over = s["over"] | ((p["start"] >= own["start"] + SKIP) & ends(p))
+        return F.struct(F.when(over, s["text"]).otherwise(F.concat(s["text"], p["text"])).alias("text"), over.alias("over")).cast(state)
+
+    longer = F.reduce(F.slice(pieces, i + 2, F.size(pieces)), F.struct(own["text"].alias("text"), F.lit(False).alias("over")).cast(state), add, lambda s: s["text"])
+    return F.when(F.length(own["text"]) >= SKIP, own["text"]).otherwise(longer)
+
+
+def _numbered(pieces: Column, o: ChunkOptions) -> Column:
+    number = lambda p: F.regexp_extract(p["text"], wide(r"^(\d+(?:\.\d+)*)\."), 1)
+    title = lambda p: F.regexp_extract(p["text"], wide(r"^\d+(?:\.\d+)*\.\s+([A-Z][^\n]+)"), 1)
+    of_number = lambda p, n: F.struct(n.alias("number"), (F.length(n) - F.length(F.replace(n, F.lit("."), F.lit(""))) + 1).alias("level"), title(p).alias("title"), p["text"].alias("text"), p["start"].alias("start"))
+    known = F.transform(F.filter(pieces, lambda p: p["text"].rlike(SECTION)), lambda p: let(number(p), lambda n: of_number(p, n)))
+
+    def with_next(known: Column) -> Column:
+        text = lambda x, i: _extended(known, i, lambda p: p["level"] <= x["level"])
+        parent = lambda x, i: F.coalesce(F.get(known, i + 1)["level"] > x["level"], F.lit(False))
+        each = lambda x, i: let(parent(x, i), lambda has: F.struct(x["number"].alias("number"), x["level"].alias("level"), x["title"].alias("title"), F.when(has, x["text"]).otherwise(text(x, i)).alias("text"), x["start"].alias("start"), has.alias("parent")))
+        return F.transform(known, each)
+
+    opened = "array<struct<level:int,crumb:string,own:string>>"
+
+    def add(open_: Column, x: Column) -> Column:
+        p = x["text"]
+        own = F.when(x["parent"] & p.rlike(wide(r"\S\n+\S")), strip(F.regexp_replace(p, r"^[^\n]*\n", ""))).otherwise(strip(p))
+        return let(F.struct(own.alias("own"), F.filter(open_, lambda y: y["level"] < x["level"]).alias("outer"), F.concat(x["number"], F.lit(". "), x["title"]).alias("crumb")), lambda k: made(x, k))
+
+    def made(x: Column, k: Column) -> Column:
+        own, outer, crumb = k["own"], k["outer"], k["crumb"]
         above = F.coalesce(F.get(outer, F.size(outer) - 1)["own"], F.lit(""))
-        crumb = F.concat(number(p), F.lit(". "), title(p))
-        path = F.concat(F.filter(F.transform(outer, lambda x: x["crumb"]), lambda c: c.isNotNull()), F.array(crumb))
+        path = F.concat(F.filter(F.transform(outer, lambda y: y["crumb"]), lambda c: c.isNotNull()), F.array(crumb))
         content = F.when(F.lit(o.preserve_context) & (above != ""), F.concat(F.lit("[Context: "), F.left(above, F.lit(200)), F.lit("...]\n\n"), own)).otherwise(own)
-        ident, kind = F.concat(F.lit("section_"), F.replace(number(p), F.lit("."), F.lit("_"))), {"type": F.lit("numbered_section")}
-        whole = F.array(chunk_of(content, ident, path, s["at"], s["at"] + F.length(p), kind | {"section_number": number(p), "section_title": title(p), "level": level(p)}))
-        made = F.when((F.length(own) <= 50) | (number(p) == "0"), _none()).when(F.length(content) > o.max_chunk_size, _parts(content, ident, path, s["at"], kind, o, o.overlap)).otherwise(whole)
-        opened = F.struct(level(p).alias("level"), F.when(number(p) != "0", crumb).alias("crumb"), F.when(number(p) != "0", F.left(own, F.lit(500))).alias("own"))
-        return F.struct(F.concat(outer, F.array(opened)).cast("array<struct<level:int,crumb:string,own:string>>").alias("open"), F.concat(s["out"], made).alias("out"), (s["at"] + F.length(p)).alias("at"))
+        root = x["number"] == "0"
+        now = F.struct(x["level"].alias("level"), F.when(~root, crumb).alias("crumb"), F.when(~root, F.left(own, F.lit(500))).alias("own"))
+        return _step(F.concat(outer, F.array(now)).cast(opened), F.when((F.length(own) <= 50) | root, _none()).otherwise(let(content, lambda c: chunks(x, c, path))), opened)
 
-    places = F.filter(F.sequence(F.lit(0), F.size(cut)), lambda i: i + first < F.size(cut))
-    return merge_small(F.reduce(places, zero, add, lambda s: s["out"]), o.min_chunk_size)
+    def chunks(x: Column, content: Column, path: Column) -> Column:
+        ident, kind = F.concat(F.lit("section_"), F.replace(x["number"], F.lit("."), F.lit("_"))), {"type": F.lit("numbered_section")}
+        end = x["start"] + F.length(x["text"])
+        whole = F.array(chunk_of(content, ident, path, x["start"], end, kind | {"section_number": x["number"], "section_title": x["title"], "level": x["level"]}))
+        return F.when(F.length(content) > o.max_chunk_size, _parts(content, ident, path, x["start"], kind, o, o.overlap)).otherwise(whole)
+
+    folded = let(let(known, with_next), lambda sections: fold_out(sections, F.array().cast(opened), add, opened, CHUNK, lambda _: _none()))
+    return merge_small(folded, o.min_chunk_size)
 
 
 def statute_chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
     """Articles and sections, by clause where they have clauses; what stands before the first article is dropped."""
     o = options.within(1200, 100, 30)
-    return let(F.split(F.regexp_replace(clean_text(text, o.semantics), f"(?i)(?={ARTICLE})", CUT), CUT), lambda cut: let(F.array_join(cut, ""), lambda clean: _statute(cut, clean, o)))
+    return let(clean_text(text, o.semantics), lambda clean: let(with_starts(F.split(clean, f"(?i)(?={ARTICLE})")), lambda pieces: _statute(pieces, clean, o)))
 
 
-def _statute(cut: Column, clean: Column, o: ChunkOptions) -> Column:
-    first = F.when(F.element_at(cut, 1).rlike(f"(?i)^(?:{ARTICLE})"), 0).otherwise(1)
-    places = F.filter(F.sequence(F.lit(0), F.size(cut)), lambda i: (i >= first) & (i < F.size(cut)))
-    start_of = lambda i: F.aggregate(F.slice(cut, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p))
-    n_of = lambda kind, p: F.regexp_count(p, F.lit(CLAUSE_KINDS[kind]))
+def _statute(pieces: Column, clean: Column, o: ChunkOptions) -> Column:
     any_of = lambda *kinds: "|".join(CLAUSE_KINDS[k].replace("(", "(?:").replace("\\(?:", "\\(") for k in kinds)
 
-    def clauses(p: Column, start: Column, kind: Column, number: Column, title: Column, path: Column) -> Column:
-        sets = (n_of("numeric", p) >= 3, ("numeric",)), (n_of("clause", p) + n_of("para", p) > 0, ("clause", "para")), (F.lit(True), tuple(CLAUSE_KINDS))
-        marked = F.lit(None).cast("string")
-        for holds, kinds in reversed(sets):
-            marked = F.when(holds, F.regexp_replace(p, f"(?={any_of(*kinds)})", CUT)).otherwise(marked)
-        return let(F.split(marked, CUT), lambda pieces: let(strip(F.get(pieces, F.lit(0))), lambda preamble: each(pieces, preamble, start, number, title, path)))
-
-    def each(pieces: Column, preamble: Column, start: Column, number: Column, title: Column, path: Column) -> Column:
-        at = lambda j: F.aggregate(F.slice(pieces, F.lit(1), j), F.lit(0), lambda s, x: s + F.length(x))
-
-        def one(j: Column) -> Column:
-            piece = F.get(pieces, j)
-            of = F.lit("letter")
-            for k in ("para", "clause", "numeric"):
-                of = F.when(piece.rlike(f"^(?:{CLAUSE_KINDS[k]})"), k).otherwise(of)
-            ident = F.coalesce(*[F.nullif(F.regexp_extract(piece, f"^{pattern}", 1), F.lit("")) for pattern in CLAUSE_KINDS.values()])
-            body = strip(piece)
-            content = F.when(F.lit(o.preserve_context) & (preamble != ""), F.concat(F.lit("[Article Context: "), F.left(preamble, F.lit(200)), F.lit("...]\n\n"), body)).otherwise(body)
-            return chunk_of(content, F.concat(F.lit("article_"), number, F.lit("_clause_"), ident), F.concat(path, F.array(F.concat(F.lit("Clause "), ident))), start + at(j), start + at(j) + F.length(piece), {"type": F.lit("statute_clause"), "article_number": number, "article_title": title, "clause_id": ident, "clause_type": of})
-
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), one)
-
-    def article(i: Column) -> Column:
-        return let(start_of(i), lambda start: of(F.get(cut, i), start))
-
-    def of(p: Column, start: Column) -> Column:
-        marker = F.regexp_extract(p, f"(?i)^(?:{ARTICLE})", 0)
-        number = F.regexp_extract(marker, r"\d+", 0)
-        kind = F.when(marker.rlike("(?i)^art"), "Article").otherwise("Section")
-        title = F.regexp_extract(F.substring(clean, start + F.length(marker) + 1, F.lit(200)), r"[:\-]?\s*([A-Z][^\n]+)", 1)
-        path = F.array(F.concat(kind, F.lit(" "), number, F.lit(": "), title))
-        about = {"type": F.lit("statute_article"), "article_number": number, "article_title": title}
-        ident = F.concat(F.lit("article_"), number)
+    def clauses(p: Column, counts: Column, start: Column, number: Column, title: Column, path: Column) -> Column:
+        cut = lambda *kinds: F.split(p, f"(?={any_of(*kinds)})")
+        marked = F.when(counts["numeric"] >= 3, cut("numeric")).when(counts["clause"] + counts["para"] > 0, cut("clause", "para")).otherwise(cut(*CLAUSE_KINDS))
+        return let(with_starts(marked), lambda cuts: let(strip(F.get(cuts, F.lit(0))["text"]), lambda preamble: F.transform(F.slice(cuts, F.lit(2), F.size(cuts)), lambda c: one(c, preamble, start, number, title, path))))
+
+    def one(cut: Column, preamble: Column, start: Column, number: Column, title: Column, path: Column) -> Column:
+        piece, of = cut["text"], F.lit("letter")
+        for k in ("para", "clause", "numeric"):
+            of = F.when(piece.rlike(f"^(?:{CLAUSE_KINDS[k]})"), k).otherwise(of)
+        ident = F.coalesce(*[F.nullif(F.regexp_extract(piece, f"^{pattern}", 1), F.lit("")) for pattern in CLAUSE_KINDS.values()])
+        body = strip(piece)
+        content = F.when(F.lit(o.preserve_context) & (preamble != ""), F.concat(F.lit("[Article Context: "), F.left(preamble, F.lit(200)), F.lit("...]\n\n"), body)).otherwise(body)
+        at = start + cut["start"]
+        return let(ident, lambda ident: chunk_of(content, F.concat(F.lit("article_"), number, F.lit("_clause_"), ident), F.concat(path, F.array(F.concat(F.lit("Clause "), ident))), at, at + F.length(piece), {"type": F.lit("statute_clause"), "article_number": number, "article_title": title, "clause_id": ident, "clause_type": of}))
+
+    def article(pieces: Column, i: Column) -> Column:
+        own = F.get(pieces, i)
+        marker = F.regexp_extract(own["text"], f"(?i)^(?:{ARTICLE})", 0)
+        title = lambda m: F.regexp_extract(F.substring(clean, own["start"] + F.length(m) + 1, F.lit(200)), wide(r"[:\-]?\s*([A-Z][^\n]+)"), 1)
+        about = lambda m: F.struct(F.regexp_extract(m, wide(r"\d+"), 0).alias("number"), F.when(m.rlike("(?i)^art"), "Article").otherwise("Section").alias("kind"), title(m).alias("title"), _extended(pieces, i, lambda p: F.lit(True)).alias("text"), own["start"].alias("start"))
+        return let(let(marker, about), lambda a: let(F.struct(*[F.regexp_count(a["text"], F.lit(p)).alias(k) for k, p in CLAUSE_KINDS.items()]), lambda counts: of(a, counts)))
+
+    def of(a: Column, counts: Column) -> Column:
+        p, start, number, title = a["text"], a["start"], a["number"], a["title"]
+        path = F.array(F.concat(a["kind"], F.lit(" "), number, F.lit(": "), title))
+        about, ident = {"type": F.lit("statute_article"), "article_number": number, "article_title": title}, F.concat(F.lit("article_"), number)
         whole = F.when(F.length(p) <= o.max_chunk_size, F.array(chunk_of(p, ident, path, start, start + F.length(p), about))).otherwise(_parts(p, ident, path, start, about, o, o.overlap))
-        has = n_of("numeric", p) + n_of("clause", p) + n_of("para", p) + n_of("letter", p) > 0
-        return F.when(F.lit(o.chunk_by_clause) & has, clauses(p, start, kind, number, title, path)).otherwise(whole)
+        has = counts["numeric"] + counts["clause"] + counts["para"] + counts["letter"] > 0
+        return F.when(F.lit(o.chunk_by_clause) & has, clauses(p, counts, start, number, title, path)).otherwise(whole)
 
-    return merge_small(F.flatten(F.transform(places, article)), o.min_chunk_size)
+    marked = F.filter(pieces, lambda p: p["text"].rlike(f"(?i)^(?:{ARTICLE})"))
+    return merge_small(F.flatten(let(marked, lambda known: F.transform(known, lambda _, i: article(known, i)))), o.min_chunk_size)
 
 
 def _is_heading(line: Column) -> Column:
     upper = (F.upper(line) == line) & (F.lower(line) != line)
-    return (F.length(line) <= 100) & (upper | (F.regexp_count(line, F.lit(r"\p{Lu}")) / F.greatest(F.length(line), F.lit(1)) > 0.7) | line.rlike(r"^\d+\.?\d*\s+[A-Z]"))
+    return (F.length(line) <= 100) & (upper | (F.regexp_count(line, F.lit(r"\p{Lu}")) / F.greatest(F.length(line), F.lit(1)) > 0.7) | line.rlike(wide(r"^\d+\.?\d*\s+[A-Z]")))
 
 
 def _marker(line: Column) -> Column:
@@ -181,11 +201,11 @@ def _marker(line: Column) -> Column:
 
 
 def _marker_type(m: Column) -> Column:
-    return F.when(m.rlike(r"^\([a-z]\)"), "letter").when(m.rlike(r"^\([ivx]+\)"), "roman").when(m.rlike(r"^\(\d+\)"), "number").when(m.rlike("^[•●○]"), "bullet").otherwise("other")
+    return F.when(m.rlike(r"^\([a-z]\)"), "letter").when(m.rlike(r"^\([ivx]+\)"), "roman").when(m.rlike(wide(r"^\(\d+\)")), "number").when(m.rlike("^[•●○]"), "bullet").otherwise("other")
 
 
 _ITEM = "struct<marker:string,content:string,line:int>"
-_BLOCK = f"struct<heading:string,paragraph:array<string>,items:array<{_ITEM}>,line:int>"
+_LINE = "struct<line:string,at:int,marker:string>"
 
 
 def policy_blocks(text: Column, semantics: str = "observed") -> Column:
@@ -195,22 +215,38 @@ def policy_blocks(text: Column, semantics: str = "observed") -> Column:
 
 
 def _blocks(lines: Column) -> Column:
-    empty = lambda heading, line: F.struct(heading.cast("string").alias("heading"), _texts().alias("paragraph"), F.array().cast(f"array<{_ITEM}>").alias("items"), line.cast("int").alias("line")).cast(_BLOCK)
-    close = lambda s: F.when(F.size(s["now"]["paragraph"]) + F.size(s["now"]["items"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
+    told = F.transform(lines, lambda l, i: let(_is_heading(l), lambda head: F.struct(l.alias("line"), i.alias("at"), head.alias("head"), F.when(~head, _marker(l)).alias("marker"))))
+    told = F.filter(told, lambda x: x["line"] != "")
+    span = "struct<heading:string,line:int,first:int,last:int>"
+    begun = "struct<heading:string,line:int,first:int>"
+
+    def spans(told: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            done = F.struct(s["heading"].alias("heading"), s["line"].alias("line"), s["first"].alias("first"), x["i"].alias("last")).cast(span)
+            new = F.struct(x["line"].alias("heading"), x["at"].alias("line"), (x["i"] + 1).alias("first")).cast(begun)
+            return F.struct(new.alias("carry"), F.array(done).alias("out"))
+
+        heads = F.filter(F.transform(told, lambda x, i: F.struct(x["line"].alias("line"), x["at"].alias("at"), x["head"].alias("head"), i.alias("i"))), lambda x: x["head"])
+        zero = F.struct(F.lit(None).cast("string").alias("heading"), F.lit(0).alias("line"), F.lit(0).alias("first")).cast(begun)
+        end = lambda s: F.array(F.struct(s["heading"].alias("heading"), s["line"].alias("line"), s["first"].alias("first"), F.size(told).alias("last")).cast(span))
+        return F.filter(fold_out(heads, zero, add, begun, span, end), lambda s: s["last"] > s["first"])
+
+    def block(told: Column, s: Column) -> Column:
+        body = F.slice(told, s["first"] + 1, s["last"] - s["first"])
+        return let(body, lambda body: let(F.filter(F.transform(body, lambda x, i: F.when(x["marker"].isNotNull(), i)), lambda i: i.isNotNull()), lambda starts: filled(s, body, starts)))
+
+    def filled(s: Column, body: Column, starts: Column) -> Column:
+        before = F.coalesce(F.get(starts, F.lit(0)), F.size(body))
 
-    def add(s: Column, i: Column) -> Column:
-        line, now = F.get(lines, i), s["now"]
-        items, m = now["items"], _marker(line)
-        item = F.struct(m.alias("marker"), strip(F.substring(line, F.length(m) + 1, F.length(line))).alias("content"), i.alias("line")).cast(_ITEM)
-        last = F.get(items, F.size(items) - 1)
-        longer = F.concat(F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))), F.array(F.struct(last["marker"].alias("marker"), F.concat(last["content"], F.lit(" "), line).alias("content"), last["line"].alias("line")).cast(_ITEM)))
-        with_ = lambda paragraph, items_: F.struct(now["heading"].alias("heading"), paragraph.alias("paragraph"), items_.alias("items"), now["line"].alias("line")).cast(_BLOCK)
-        body = F.when(m.isNotNull(), with_(now["paragraph"], F.concat(items, F.array(item)))).when(F.size(items) > 0, with_(now["paragraph"], longer)).otherwise(with_(F.concat(now["paragraph"], F.array(line)), items))
-        new = F.when(line == "", now).when(_is_heading(line), empty(line, i)).otherwise(body)
-        return F.struct(F.when(_is_heading(line), close(s)).otherwise(s["done"]).alias("done"), new.alias("now"))
+        def item(i: Column, j: Column) -> Column:
+            x, after = F.get(body, i), F.coalesce(F.get(starts, j + 1), F.size(body))
+            own = strip(F.substring(x["line"], F.length(x["marker"]) + 1, F.length(x["line"])))
+            more = F.transform(F.slice(body, i + 2, after - i - 1), lambda y: y["line"])
+            return F.struct(x["marker"].alias("marker"), F.array_join(F.concat(F.array(own), more), " ").alias("content"), x["at"].alias("line")).cast(_ITEM)
 
-    zero = F.struct(F.array().cast(f"array<{_BLOCK}>").alias("done"), empty(F.lit(None), F.lit(0)).alias("now"))
-    return F.reduce(F.sequence(F.lit(0), F.size(lines) - 1), zero, add, close)
+        return F.struct(s["heading"].alias("heading"), F.transform(F.slice(body, F.lit(1), before), lambda x: x["line"]).alias("paragraph"), F.transform(starts, item).alias("items"), s["line"].alias("line"))
+
+    return let(told, lambda told: F.transform(spans(told), lambda s: block(told, s)))
 
 
 def policy_chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
@@ -219,13 +255,18 @@ def policy_chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Colum
     shown = lambda items: F.array_join(F.transform(items, lambda x: F.concat(x["marker"], x["content"])), "\n")
 
     def groups(items: Column) -> Column:
+        carry = f"struct<group:array<{_ITEM}>,size:int>"
+
         def add(s: Column, x: Column) -> Column:
-            last = F.get(s["groups"], F.size(s["groups"]) - 1)
-            apart = (F.size(s["groups"]) == 0) | (_marker_type(x["marker"]) != _marker_type(F.get(last, F.size(last) - 1)["marker"])) | (s["size"] + F.length(x["content"]) > o.max_chunk_size * 0.8)
-            grown = F.concat(F.slice(s["groups"], F.lit(1), F.greatest(F.size(s["groups"]) - 1, F.lit(0))), F.array(F.concat(last, F.array(x))))
-            return F.struct(F.when(apart, F.concat(s["groups"], F.array(F.array(x)))).otherwise(grown).alias("groups"), F.when(apart, F.length(x["content"])).otherwise(s["size"] + F.length(x["content"])).alias("size"))
+            last, size = F.get(s["group"], F.size(s["group"]) - 1), F.length(x["content"])
+            apart = (_marker_type(x["marker"]) != _marker_type(last["marker"])) | (s["size"] + size > o.max_chunk_size * 0.8)
+            new = F.struct(F.array(x).alias("group"), size.alias("size")).cast(carry)
+            grown = F.struct(F.concat(s["group"], F.array(x)).alias("group"), (s["size"] + size).alias("size")).cast(carry)
+            give = lambda carried, *out: F.struct(carried.alias("carry"), F.array(*out).cast(f"array<array<{_ITEM}>>").alias("out"))
+            return F.when(F.size(s["group"]) == 0, give(new)).when(apart, give(new, s["group"])).otherwise(give(grown))
 
-        return F.reduce(items, F.struct(F.array().cast(f"array<array<{_ITEM}>>").alias("groups"), F.lit(0).alias("size")), add, lambda s: s["groups"])
+        zero = F.struct(F.array().cast(f"array<{_ITEM}>").alias("group"), F.lit(0).alias("size"))
+        return fold_out(items, zero, add, carry, f"array<{_ITEM}>", lambda s: F.filter(F.array(s["group"]), lambda g: F.size(g) > 0))
 
     def block(b: Column, i: Column) -> Column:
         heading, items, para = b["heading"], b["items"], F.array_join(b["paragraph"], " ")
@@ -250,7 +291,7 @@ def layout_chunks(text: Column, layout: Column, options: ChunkOptions = ChunkOpt
     """Sections under headings that the layout shows by font, weight or place. Without headings the text is one section; without
     blocks it is cut at blank lines."""
     o = options.within(1500, 100, 0)
-    return let(clean_text(text, o.semantics), lambda clean: let(F.regexp_replace(clean, r"\s+", " "), lambda flat: _layout(clean, flat, layout, o)))
+    return let(clean_text(text, o.semantics), lambda clean: let(F.regexp_replace(clean, wide(r"\s+"), " "), lambda flat: _layout(clean, flat, layout, o)))
 
 
 def _layout(clean: Column, flat: Column, layout: Column, o: ChunkOptions) -> Column:
@@ -259,7 +300,7 @@ def _layout(clean: Column, flat: Column, layout: Column, o: ChunkOptions) -> Col
     shown = lambda b: strip(F.coalesce(b["text"], F.lit("")))
     is_head = lambda b: F.length(shown(b)).between(1, 200) & ((size(b) >= base * o.heading_min_font_ratio) | (F.lit(o.use_bold_as_heading) & F.coalesce(b["is_bold"], F.lit(False))) | (F.lit(o.use_centered_as_heading) & F.coalesce(b["is_centered"], F.lit(False))))
     level = lambda b: F.when(size(b) >= base * 1.5, 1).when((size(b) >= base * 1.3) & (size(b) >= base * o.heading_min_font_ratio), 2).otherwise(3)
-    place = lambda b: F.instr(flat, F.regexp_replace(shown(b), r"\s+", " ")) - 1
+    place = lambda b: F.instr(flat, F.regexp_replace(shown(b), wide(r"\s+"), " ")) - 1
     fields = {"text": "string", "font_size": "double", "is_bold": "boolean", "is_centered": "boolean"}
     known = F.transform(layout["blocks"], lambda b: F.struct(*[b[f].cast(t).alias(f) for f, t in fields.items()]))  # blocks may have more fields
     blocks = F.coalesce(known, F.array().cast(f"array<struct<{','.join(f'{f}:{t}' for f, t in fields.items())}>>"))
@@ -268,20 +309,20 @@ def _layout(clean: Column, flat: Column, layout: Column, o: ChunkOptions) -> Col
 
 
 def _under(heads: Column, clean: Column, blocks: Column, o: ChunkOptions) -> Column:
-    zero = F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("open"), _none().alias("out"))
+    opened = "array<struct<level:int,text:string>>"
 
-    def add(s: Column, i: Column) -> Column:
+    def add(open_: Column, i: Column) -> Column:
         h, after = F.get(heads, i), F.get(heads, i + 1)
         end = F.coalesce(after["at"], F.length(clean))
         content = strip(F.substring(clean, h["at"] + F.length(h["text"]) + 1, F.greatest(end - h["at"] - F.length(h["text"]), F.lit(0))))
-        outer = F.filter(s["open"], lambda x: x["level"] < h["level"])
+        outer = F.filter(open_, lambda x: x["level"] < h["level"])
         path = F.concat(F.transform(outer, lambda x: x["text"]), F.array(h["text"]))
         ident, about = F.concat(F.lit("section_"), i.cast("string")), {"type": F.lit("layout_section"), "section_index": i, "heading": h["text"]}
-        made = F.when(F.length(content) <= o.max_chunk_size, F.array(chunk_of(content, ident, path, h["at"], end, about | {"level": h["level"]}))).otherwise(_parts(content, ident, path, h["at"], about, o, 0, "_part_", h["text"]))
-        return F.struct(F.concat(outer, F.array(F.struct(h["level"].alias("level"), h["text"].alias("text")))).cast("array<struct<level:int,text:string>>").alias("open"), F.concat(s["out"], made).alias("out"))
+        made = lambda content: F.when(F.length(content) <= o.max_chunk_size, F.array(chunk_of(content, ident, path, h["at"], end, about | {"level": h["level"]}))).otherwise(_parts(content, ident, path, h["at"], about, o, 0, "_part_", h["text"]))
+        return _step(F.concat(outer, F.array(F.struct(h["level"].alias("level"), h["text"].alias("text")))).cast(opened), let(content, made), opened)
 
     places = F.filter(F.sequence(F.lit(0), F.size(heads)), lambda i: i < F.size(heads))
-    sections = F.reduce(places, zero, add, lambda s: s["out"])
+    sections = fold_out(places, F.array().cast(opened), add, opened, CHUNK, lambda _: _none())
     one = F.array(chunk_of(clean, F.lit("section_0"), _texts(), F.lit(0), F.length(clean), {"type": F.lit("layout_section"), "section_index": F.lit(0), "level": F.lit(0)}))
     plain = F.transform(pack(paragraphs(clean), o.max_chunk_size), lambda t, i: chunk_of(t, F.concat(F.lit("fallback_"), i.cast("string")), _texts(), F.lit(0), F.length(t), {"type": F.lit("layout_fallback")}))
     whole = F.when(F.length(clean) <= o.max_chunk_size, one).otherwise(plain)
@@ -308,7 +349,7 @@ def paragraph_chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Co
 
 def _paragraph(clean: Column, o: ChunkOptions) -> Column:
     about = {"type": F.lit("paragraph"), "is_fallback": F.lit(True)}
-    base = F.transform(pack(paragraphs(clean, r"\n\s*\n+"), o.max_chunk_size, count_joiners=False), lambda t, i: chunk_of(t, F.concat(F.lit("para_"), i.cast("string")), _texts(), F.greatest(F.instr(clean, F.left(t, F.lit(80))) - 1, F.lit(0)), F.greatest(F.instr(clean, F.left(t, F.lit(80))) - 1, F.lit(0)) + F.length(t), about))
+    base = F.transform(pack(paragraphs(clean, wide(r"\n\s*\n+")), o.max_chunk_size, count_joiners=False), lambda t, i: chunk_of(t, F.concat(F.lit("para_"), i.cast("string")), _texts(), F.greatest(F.instr(clean, F.left(t, F.lit(80))) - 1, F.lit(0)), F.greatest(F.instr(clean, F.left(t, F.lit(80))) - 1, F.lit(0)) + F.length(t), about))
 
     def split(c: Column) -> Column:
         if o.preserve_sentence_integrity:
@@ -352,15 +393,26 @@ class Chunkers:
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout_col: str | None = None, options: ChunkOptions = ChunkOptions(), detect_options: D.DetectOptions = D.DetectOptions(), chunkers: Chunkers | None = None) -> DataFrame:
     """One row a chunk: ``id_col``, doc_type, ordinal (from 0) and the chunk's fields. Documents without chunks give no row."""
-    chunkers = chunkers or Chunkers()
-    found = D.detect(docs, text_col, layout_col, detect_options).withColumn("__type", F.col("detection.doc_type"))
+    found = with_chunks(docs, text_col, layout_col, options, detect_options, chunkers)
+    return found.select(F.col(id_col), F.col("__type").alias("doc_type"), F.posexplode("__chunks").alias("ordinal", "chunk")).select(id_col, "doc_type", "ordinal", "chunk.*")
+
+
+def with_chunks(docs: DataFrame, text_col: str, layout_col: str | None, options: ChunkOptions, detect_options: D.DetectOptions, chunkers: Chunkers | None) -> DataFrame:
+    """``docs`` with __type and __chunks. One scan; a fold runs only for the documents of its kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = dict(chunkers.by_type)
+    kinds = dict((chunkers or Chunkers()).by_type)
     if layout_col:
         kinds.setdefault(D.LAYOUT, lambda t, o: layout_chunks(t, F.col(layout_col), o))
-    # One scan; a fold runs only for the documents of its kind.
     chunks = F.lit(None).cast(f"array<{CHUNK}>")
     for kind, chunker in kinds.items():
         chunks = F.when(F.col("__type") == kind, chunker(text, options)).otherwise(chunks)
-    rows = found.select(F.col(id_col), F.col("__type").alias("doc_type"), F.posexplode(chunks).alias("ordinal", "chunk"))
-    return rows.select(id_col, "doc_type", "ordinal", "chunk.*")
+    return docs.withColumn("__type", D.kind_of(F.col(text_col), layout_col, detect_options)).withColumn("__chunks", chunks)
+
+
+def chunk_batch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout_col: str | None = None, options: ChunkOptions = ChunkOptions(), detect_options: D.DetectOptions = D.DetectOptions(), chunkers: Chunkers | None = None) -> DataFrame:
+    """One row a document, those without chunks too: ``id_col``, doc_type, chunks (an array), error and warning, which say why there
+    are none: no text, no chunker for its kind, or no part that is long enough for a chunk."""
+    found = with_chunks(docs, text_col, layout_col, options, detect_options, chunkers)
+    error = F.when(F.col(text_col).isNull(), "no text").when(F.col("__chunks").isNull(), F.concat(F.lit("no chunker for "), F.col("__type")))
+    warning = F.when(F.col(text_col).isNotNull() & (F.size("__chunks") == 0), "no part is long enough for a chunk")
+    return found.select(F.col(id_col), F.col("__type").alias("doc_type"), F.coalesce("__chunks", _none()).alias("chunks"), error.alias("error"), warning.alias("warning"))

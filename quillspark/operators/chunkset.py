@@ -43,7 +43,7 @@ def export(chunks: DataFrame, kind: str, id_col: str = "doc_id", include_metadat
         body = F.to_json(F.struct(F.col("chunk_id").alias("id"), "content", "hierarchy", *extra))
     elif kind == "csv":
         flat = F.struct("chunk_id", F.replace(F.col("content"), F.lit("\n"), F.lit(" ")).alias("content"), F.array_join("hierarchy", " > ").alias("hierarchy"), *(["start_pos", "end_pos"] if include_metadata else []))
-        body = F.to_csv(flat)
+        body = F.to_csv(flat, {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     elif kind == "markdown":
         body, _ = markdown()
     else:
@@ -51,6 +51,16 @@ def export(chunks: DataFrame, kind: str, id_col: str = "doc_id", include_metadat
     return chunks.select(id_col, "ordinal", body.alias("body"))
 
 
+def export_documents(chunks: DataFrame, kind: str, id_col: str = "doc_id", include_metadata: bool = True, separator: str = "\n\n---\n\n") -> DataFrame:
+    """``id_col`` and body: all chunks of a document, in order, as one text. JSON is an array, CSV has a line of names, Markdown has
+    ``separator`` between chunks. Documents without chunks give no row."""
+    each = export(chunks, kind, id_col, include_metadata)
+    bodies = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "body"))), lambda x: x["body"])
+    names = ",".join(["chunk_id", "content", "hierarchy", *(["start_pos", "end_pos"] if include_metadata else [])])
+    laid = {"json": lambda b: F.concat(F.lit("["), F.array_join(b, ",\n"), F.lit("]")), "csv": lambda b: F.concat(F.lit(names + "\n"), F.array_join(b, "\n")), "markdown": lambda b: F.array_join(b, separator)}
+    return each.groupBy(id_col).agg(laid[kind](bodies).alias("body"))
+
+
 def first_in(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, by ``order``."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
