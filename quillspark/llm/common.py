@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +16,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(col, UPPER, LOWER)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage through the shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) is a local one made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """Where lineage is cut: the session's ``spark.checkpoint.dir``. Where that is unset one is made, in local mode alone."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage through the shared folder, by rows: for narrow tables that are read whole."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: for wide tables, of which later steps read some columns."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], salt_by: Column, max_broadcast_rows: int = 50_000, salts: int = 32) -> DataFrame:
     """Left join of one row of ``stats`` per key, safe for hot keys.
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import checkpointed
+
 WINDOW, WIDTHS, FILTERS, DIM = 512, (2, 3, 4), 8, 8
 #: Windows that go through the network together; their columns stay in a core's cache.
 BATCH = 24
@@ -109,19 +111,14 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, docs_per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 7) -> ByteNet | None:
-    """A network trained on a bounded sample: about ``docs_per_language`` labelled texts of each language that aren't held out,
-    and of each text four stretches of at most a window. None where there are no labelled texts."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~held_out(F.col(id_col)))
-    counts = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, min(1.0, docs_per_language / n)).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
-    spots = [F.substring(F.col(text_col), (F.floor(F.length(text_col) * part) + 1).cast("int"), F.lit(WINDOW)) for part in (0.0, 0.3, 0.6, 0.9)]
-    sample = chosen.select(F.col(lang_col).alias("lang"), F.array(*spots).alias("spots")).limit(docs_per_language * len(counts) * 2).collect()
+def fit(docs: DataFrame, docs_per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 7, languages: int = 200) -> ByteNet | None:
+    """A network trained on a bounded sample: about ``docs_per_language`` labelled texts that aren't held out of each of the
+    ``languages`` most frequent labels, and of each text four stretches of at most a window. None where there are no such texts."""
+    labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("__text").rlike(r"\p{L}") & ~held_out(F.col("__id")))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).withColumn("share", F.least(F.lit(1.0), F.lit(docs_per_language) / F.col("n")))
+    chosen = labelled.join(F.broadcast(checkpointed(counts)), "lang").where(F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    spots = [F.substring(F.col("__text"), (F.floor(F.length("__text") * part) + 1).cast("int"), F.lit(WINDOW)) for part in (0.0, 0.3, 0.6, 0.9)]
+    sample = chosen.select("lang", F.array(*spots).alias("spots")).limit(docs_per_language * languages * 2).collect()
     labels = sorted({r["lang"] for r in sample})
     if not labels:
         return None

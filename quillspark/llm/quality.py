@@ -2,7 +2,7 @@
 
 A document classifier gives each text the probability to be good. Hosts and paths get Beta posteriors from the sums of these
 probabilities: a host's mean shrinks toward the global one by a strength that is fitted to how much hosts differ, a path's
-mean toward its host's. A document's score joins the odds of its own text with the odds of its path, without itself.
+mean toward its host's by one fitted to how much paths differ within hosts. A document's score joins the odds of its own text with the odds of its path, without itself.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpointed, join_stats
+from quillspark.llm.common import checkpointed, join_stats, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: A token is evidence if it is in at least this many sample texts and so many times (as a logarithm) likelier in bad ones.
@@ -102,11 +102,21 @@ def _odds(p: Column) -> Column:
     return F.log(safe / (1 - safe))
 
 
-def score_quality(docs: DataFrame, evidence: Evidence | None, host: Column, path: Column, text_col: str = "text", threshold: float = 0.5, path_strength: float = 20.0, keep_columns: list[str] | None = None) -> DataFrame:
+def moment_strength(spread: float, groups: float, n: float, square: float, within: float) -> float:
+    """Documents that a prior is worth, by moments: ``spread`` sums n * (mean - prior) ** 2 over the groups, of which ``groups``
+    are free to differ; ``square`` sums n ** 2 over n of what they are shrunk to. What groups differ by beyond the variance
+    ``within`` that their numbers of documents explain is theirs; without any, the prior is worth 1000."""
+    between = (spread - groups * within) / max(n - square, 1e-9)
+    return min(max(within / between - 1, 1.0), 1000.0) if between > 0 else 1000.0
+
+
+def score_quality(docs: DataFrame, evidence: Evidence | None, host: Column, path: Column, text_col: str = "text", threshold: float = 0.5, path_strength: float | None = None, keep_columns: list[str] | None = None) -> DataFrame:
     """``keep_columns`` (all of ``docs``) of every row with __q: a struct of evidence, host_mean, path_mean, score and keep.
 
-    ``host`` and ``path`` are columns over ``docs``; a path counts within its host. Sums per path come first, then hosts are
-    sums of paths, so that a hot host is as many groups as it has paths and is summed before the shuffle anyway.
+    ``host`` and ``path`` are columns over ``docs``; a path counts within its host. Both strengths of shrinking are fitted, unless
+    ``path_strength`` is given. Texts are scored once: what is kept of a row is written with its probability and read again.
+    Sums per path come first, then hosts are sums of paths, so that a hot host is as many groups as it has paths and is summed
+    before the shuffle anyway.
 
     Edge cases: null hosts are one host and null paths one path in each; a null or empty text has the evidence of no words; a
     path with one document has its host's mean. Column names of ``docs`` may be any but those that begin with ``__``.
@@ -114,19 +124,23 @@ def score_quality(docs: DataFrame, evidence: Evidence | None, host: Column, path
     """
     keep_columns = docs.columns if keep_columns is None else keep_columns
     name = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
-    rows = docs.withColumns({"__host": name(host), "__path": name(path), "__p": evidence_of(F.col(text_col), evidence)})
+    rows = written(docs.select(*[F.col(f"`{c}`") for c in keep_columns], name(host).alias("__host"), name(path).alias("__path"), evidence_of(F.col(text_col), evidence).alias("__p"), F.monotonically_increasing_id().alias("__row")))
     paths = checkpointed(rows.groupBy("__host", "__path").agg(F.sum("__p").alias("__sum"), F.count("*").alias("__n")))
-    hosts = checkpointed(paths.groupBy("__host").agg(F.sum("__sum").alias("__host_sum"), F.sum("__n").alias("__host_n")))
-    total, n, n_hosts = hosts.agg(F.coalesce(F.sum("__host_sum"), F.lit(0.0)), F.coalesce(F.sum("__host_n"), F.lit(0)), F.count("*")).first()
+    hosts = checkpointed(paths.groupBy("__host").agg(F.sum("__sum").alias("__host_sum"), F.sum("__n").alias("__host_n"), F.count("*").alias("__paths"), F.sum(F.col("__n").cast("double") * F.col("__n")).alias("__square")))
+    mean = lambda s, n: F.col(s) / F.col(n)
+    total, n, n_hosts, n_paths, inner, square = hosts.agg(
+        F.coalesce(F.sum("__host_sum"), F.lit(0.0)), F.coalesce(F.sum("__host_n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("__paths"), F.lit(0)),
+        F.coalesce(F.sum(F.col("__host_n") * mean("__host_sum", "__host_n") * (1 - mean("__host_sum", "__host_n"))), F.lit(0.0)), F.coalesce(F.sum(F.col("__square") / F.col("__host_n")), F.lit(0.0)),
+    ).first()
     prior = (total + 1) / (n + 2)
-    # Strength by moments: how far hosts' means spread beyond what their numbers of documents explain.
-    spread = hosts.agg(F.sum(F.col("__host_n") * F.pow(F.col("__host_sum") / F.col("__host_n") - F.lit(prior), 2)), F.sum(F.pow(F.col("__host_n").cast("double"), 2))).first()
-    within = prior * (1 - prior)
-    between = ((spread[0] or 0.0) - (n_hosts - 1) * within) / max((n - (spread[1] or 0.0) / max(n, 1)), 1e-9)
-    strength = min(max(within / between - 1, 1.0), 1000.0) if between > 0 else 1000.0
+    spread, of_hosts = hosts.agg(F.coalesce(F.sum(F.col("__host_n") * F.pow(mean("__host_sum", "__host_n") - F.lit(prior), 2)), F.lit(0.0)), F.coalesce(F.sum(F.pow(F.col("__host_n").cast("double"), 2)), F.lit(0.0))).first()
+    strength = moment_strength(spread, n_hosts - 1, n, of_hosts / max(n, 1), prior * (1 - prior))
     host_mean = (F.col("__host_sum") + F.lit(strength * prior)) / (F.col("__host_n") + F.lit(strength))
-    stats = checkpointed(paths.join(hosts, "__host").select("__host", "__path", "__sum", "__n", host_mean.alias("__host_mean")))
-    joined = join_stats(rows, stats, ["__host", "__path"], F.col(text_col))
+    both = checkpointed(paths.join(hosts, "__host").select("__host", "__path", "__sum", "__n", host_mean.alias("__host_mean"), mean("__host_sum", "__host_n").alias("__own_mean")))
+    if path_strength is None:
+        (differ,) = both.agg(F.coalesce(F.sum(F.col("__n") * F.pow(mean("__sum", "__n") - F.col("__own_mean"), 2)), F.lit(0.0))).first()
+        path_strength = moment_strength(differ, n_paths - n_hosts, n, square, inner / max(n, 1))
+    joined = join_stats(rows, both.drop("__own_mean"), ["__host", "__path"], F.col("__row"))
     path_mean = (F.col("__sum") - F.col("__p") + F.lit(path_strength) * F.col("__host_mean")) / (F.col("__n") - 1 + F.lit(path_strength))
     learned = evidence.prior if evidence else 0.5
     score = 1 / (1 + F.exp(-(_odds(F.col("__p")) - _odds(F.lit(learned)) + _odds(path_mean))))
