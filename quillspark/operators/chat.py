@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import overlap_ratio, strip
+from quillspark.functions.text import overlap_ratio, strip, words
 
 # Words that tell the kinds of question.
 FOLLOWUP = ("what about", "how about", "and what", "also", "in addition", "furthermore", "moreover", "can you explain", "tell me more", "elaborate", "go on", "continue", "next")
@@ -17,6 +17,12 @@ BANDS = (("high", 0.7), ("medium", 0.5), ("low", 0.3))
 SYSTEM = "You answer from the given passages alone, name your sources, and say so when they don't hold the answer."
 SYSTEM_CONCISE = "You answer briefly, from the given passages alone."
 
+#: Answers where no model gives one, by the contexts' quality.
+FALLBACKS = {
+    "high": "The passages found should answer this, but no answer could be made just now. Please read the sources.", "medium": "Some of the passages found may answer this, but no answer could be made just now.",
+    "low": "Little was found on this, and no answer could be made just now. Please ask more precisely.", "none": "Nothing was found on this. Please ask in other words.",
+}
+
 
 def keywords(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0))), F.array(*map(F.lit, COMMON)))
@@ -25,10 +31,9 @@ def keywords(text: Column) -> Column:
 def classify(query: Column, n_history: Column, last_user: Column) -> Column:
     """new, followup or clarification, from the question, how many messages came before and the last one of the user."""
     q = strip(F.lower(query))
-    tokens = F.filter(F.split(q, r"\s+"), lambda w: w != "")
-    words = lambda ws: F.array(*map(F.lit, ws))
-    holds = lambda ws: F.exists(words(ws), lambda w: F.contains(q, w))
-    clarifies = holds(CLARIFICATION) | (F.contains(q, F.lit("?")) & F.arrays_overlap(tokens, words(REFERENCES[:6])))
+    tokens, listed = words(q), lambda ws: F.array(*map(F.lit, ws))
+    holds = lambda ws: F.exists(listed(ws), lambda w: F.contains(q, w))
+    clarifies = holds(CLARIFICATION) | (F.contains(q, F.lit("?")) & F.arrays_overlap(tokens, listed(REFERENCES[:6])))
     topic = (n_history >= 2) & F.coalesce(overlap_ratio(keywords(query), keywords(last_user)) > OVERLAP, F.lit(False))
     follows = holds(FOLLOWUP) | q.rlike(r"^(and|but|also|or)\b") | topic
     refers = F.coalesce(F.get(tokens, F.lit(0)).isin(*REFERENCES), F.lit(False)) | (F.size(F.filter(tokens, lambda w: w.isin(*REFERENCES))) >= 2)
@@ -70,6 +75,7 @@ def citations(contexts: Column, most: int = 3, least: float = 0.5) -> Column:
     return F.transform(F.filter(F.slice(contexts, 1, most), lambda c: c["score"] >= least), lambda c: citation(c["source_file"], c["hierarchy"], c["page_numbers"]))
 
 
+# How contexts and citations are laid out.
 def context_text(contexts: Column, most: int = 5) -> Column:
     where = lambda c: F.when(F.size(c["hierarchy"]) > 0, F.array_join(c["hierarchy"], " > ")).otherwise("Document")
     block = lambda c, i: F.concat(F.lit("[Context "), (i + 1).cast("string"), F.lit("] (Score: "), F.format_string("%.2f", c["score"]), F.lit(")\nSource: "), F.coalesce(c["source_file"], F.lit("None")), F.lit("\nSection: "), where(c), F.lit("\nContent: "), c["text"], F.lit("\n"))

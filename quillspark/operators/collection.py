@@ -1,21 +1,24 @@
-"""Vector collections: versioned Parquet with upsert. A version that is whole has its ``_SUCCESS``; the newest of those holds."""
+"""Vector collections: Parquet partitioned by a hash of the id. An upsert rewrites the partitions that it touches and no others."""
 
 from __future__ import annotations
 
 import json
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.chunkset import first_in
-from quillspark.operators.embed import status
+from quillspark.operators.embed import EmbedConfig
 
 # Names of field types and the fields that each collection has.
 TYPES = {"string": "string", "int32": "int", "int64": "bigint", "float": "float", "bool": "boolean", "object": "map<string,string>"}
 BASE = {"id": "string", "embedding": "array<float>", "text": "string", "chunk_id": "string", "source_file": "string", "hierarchy": "array<string>", "page_numbers": "array<int>", "embedding_model": "string", "embedding_model_version": "string", "indexed_at": "bigint", "metadata": "map<string,string>"}
-RESULT = "status string, total long, successful long, failed long, duplicates_skipped long, embedding_dim int, seconds double"
+BUCKET = "id_bucket"
+#: Partitions of a collection, if its schema doesn't say.
+BUCKETS = 64
+RESULT = "status string, total long, successful long, failed long, duplicates_skipped long, embedding_dim int, seconds double, failed_ids array<string>"
 
 
 @dataclass(frozen=True)
@@ -24,6 +27,8 @@ class CollectionSchema:
     embedding_dim: int
     fields: list[dict] = field(default_factory=list)
     version: int = 1
+    buckets: int = BUCKETS
+    model: str = ""
 
     def problems(self) -> list[str]:
         names = [f.get("name") for f in self.fields]
@@ -31,7 +36,7 @@ class CollectionSchema:
         found += [] if self.embedding_dim > 0 else ["the dimension must be positive"]
         found += ["a field needs a name and a type"] if any(not f.get("name") or not f.get("type") for f in self.fields) else []
         found += [f"field {n} is there twice" for n in sorted({n for n in names if n and names.count(n) > 1})]
-        return found
+        return found + ([] if self.buckets > 0 else ["the number of partitions must be positive"])
 
     def columns(self) -> dict[str, str]:
         kind = lambda t: f"array<{TYPES[t[:-2]]}>" if t.endswith("[]") else TYPES[t]
@@ -86,53 +91,78 @@ class Collections:
             return []
         return sorted(n for s in fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.root)) if self.exists(n := s.getPath().getName()))
 
-    def schema(self, name: str) -> CollectionSchema:
+    def _known(self, name: str) -> dict:
         (row,) = self.spark.read.text(f"{self.root}/{name}/schema.json", wholetext=True).collect()
-        known = json.loads(row[0])
-        return CollectionSchema(known["name"], known["embedding_dim"], known["fields"], known["version"])
+        return json.loads(row[0])
 
-    def _versions(self, name: str) -> list[str]:
-        fs, found = self._fs(), []
-        for s in fs.listStatus(self._path(name)):
-            v = s.getPath().getName()
-            if v.startswith("v") and fs.exists(self._path(name, v, "_SUCCESS")):
-                found.append(v)
-        return sorted(found)
+    def schema(self, name: str) -> CollectionSchema:
+        known = self._known(name)
+        return CollectionSchema(**{f.name: known[f.name] for f in fields(CollectionSchema) if f.name in known})
 
-    def read(self, name: str) -> DataFrame:
-        columns = ", ".join(f"`{c}` {t}" for c, t in self.schema(name).columns().items())
-        versions = self._versions(name)
-        return self.spark.read.schema(columns).parquet(f"{self.root}/{name}/{versions[-1]}") if versions else self.spark.createDataFrame([], columns)
+    def create_for_model(self, name: str, config: EmbedConfig, more: list[dict] | None = None, drop_if_exists: bool = False) -> bool:
+        """A collection of the dimension of a model's vectors."""
+        return self.create(CollectionSchema(name, config.dim, more or [], model=config.model), drop_if_exists)
 
-    def index(self, name: str, embedded: DataFrame, order: list[str], model_version: str = "1", id_mode: str = "source") -> DataFrame:
+    def info(self, name: str) -> dict | None:
+        """name, embedding_dim, model, fields, created_at and num_documents; None where there is no such collection."""
+        if not self.exists(name):
+            return None
+        known = self._known(name)
+        return {"name": name, "embedding_dim": known["embedding_dim"], "model": known.get("model", ""), "fields": known["fields"], "created_at": known["created_at"], "num_documents": self.read(name).count()}
+
+    def read(self, name: str) -> DataFrame:
+        schema, path = self.schema(name), f"{self.root}/{name}/data"
+        columns = ", ".join(f"`{c}` {t}" for c, t in schema.columns().items())
+        if not self._fs().exists(self._path(name, "data")):
+            return self.spark.createDataFrame([], columns)
+        return self.spark.read.schema(f"{columns}, `{BUCKET}` int").parquet(path).drop(BUCKET)
+
+    def _checkpointed(self, df: DataFrame) -> DataFrame:
+        context = self.spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.root}/_checkpoint")
+        return df.checkpoint()
+
+    def index(self, name: str, embedded: DataFrame, order: list[str], model_version: str = "1", id_mode: str = "source", max_errors: int | None = None) -> DataFrame:
         """Upserts chunks (columns chunk_id, content, embedding and, if there, source_file, hierarchy, page_numbers, metadata,
         model_name) and returns one row of metrics. ``id_mode``: ``source`` keys by file, chunk id and its occurrence there,
-        ``chunk_id`` by that alone, so that the first of an id stays."""
+        ``chunk_id`` by that alone, so that the first of an id stays. With more than ``max_errors`` vectors of another dimension
+        nothing is written. ``failed_ids`` are a hundred of those at most. Chunks are computed once; one writer at a time."""
         began = time.time()
         if not self.exists(name):
-            return self.spark.createDataFrame([("failed", 0, 0, 0, 0, 0, 0.0)], RESULT)
+            return self.spark.createDataFrame([("failed", 0, 0, 0, 0, 0, 0.0, [])], RESULT)
         schema, here = self.schema(name), set(embedded.columns)
         have = lambda c, t: F.col(c).cast(t) if c in here else F.lit(None).cast(t)
         rows = embedded.withColumn("__source", F.coalesce(have("source_file", "string"), F.lit("")))
         if id_mode == "source":
-            from pyspark.sql import Window
-
             nth = F.row_number().over(Window.partitionBy("__source", "chunk_id").orderBy(*order))
             rows = rows.withColumn("__key", F.concat_ws("#", "__source", "chunk_id", nth.cast("string")))
         else:
             rows = rows.withColumn("__key", F.col("chunk_id"))
-        kept = first_in(rows, ["__key"], order)
-        good = kept.where(F.size("embedding") == schema.embedding_dim)
-        new = good.select(
+        place = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+        fields_ = [have(f["name"], schema.columns()[f["name"]]).alias(f["name"]) for f in schema.fields]
+        known = self._checkpointed(rows.select(
             F.col("__key").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("content").alias("text"), "chunk_id", have("source_file", "string").alias("source_file"), have("hierarchy", "array<string>").alias("hierarchy"), have("page_numbers", "array<int>").alias("page_numbers"),
-            have("model_name", "string").alias("embedding_model"), F.lit(model_version).alias("embedding_model_version"), F.unix_timestamp().alias("indexed_at"), have("metadata", "map<string,string>").alias("metadata"), *[have(f["name"], schema.columns()[f["name"]]).alias(f["name"]) for f in schema.fields],
-        )
-        versions = self._versions(name)
-        merge_rows(self.read(name), new).write.parquet(f"{self.root}/{name}/v{int(versions[-1][1:]) + 1 if versions else 1:08d}")
-        counts = rows.agg(F.count("*").alias("total"), F.count_distinct("__key").alias("keys")).join(good.agg(F.count("*").alias("successful")))
-        failed = F.col("keys") - F.col("successful")
-        state = F.when(F.col("total") == 0, "success").otherwise(status(F.col("successful"), F.col("keys")))
-        return counts.select(state.alias("status"), "total", "successful", failed.alias("failed"), (F.col("total") - F.col("keys")).alias("duplicates_skipped"), F.lit(schema.embedding_dim).alias("embedding_dim"), F.lit(time.time() - began).alias("seconds"))
+            have("model_name", "string").alias("embedding_model"), F.lit(model_version).alias("embedding_model_version"), F.unix_timestamp().alias("indexed_at"), have("metadata", "map<string,string>").alias("metadata"), *fields_,
+            place.alias("__place"), F.pmod(F.xxhash64("__key"), F.lit(schema.buckets)).cast("int").alias(BUCKET),
+        ))
+        first, fits = F.col("__place") == 1, F.coalesce(F.size("embedding") == schema.embedding_dim, F.lit(False))
+        total, keys, good = known.agg(F.count("*"), F.count_if(first), F.count_if(first & fits)).first()
+        failed = [r["id"] for r in known.where(first & ~fits).select("id").limit(100).collect()]
+        stopped = max_errors is not None and keys - good > max_errors
+        if good and not stopped:
+            self._write(name, known.where(first & fits).drop("__place"))
+        status_ = "failed" if stopped or (keys and not good) else "success" if good == keys else "partial"
+        return self.spark.createDataFrame([(status_, total, 0 if stopped else good, keys if stopped else keys - good, total - keys, schema.embedding_dim, time.time() - began, failed)], RESULT)
+
+    def _write(self, name: str, new: DataFrame) -> None:
+        """Rewrites the partitions of the new rows: those rows, and what of the old has another id."""
+        touched = new.select(BUCKET).distinct()  # at most as many as there are partitions
+        path, merged = f"{self.root}/{name}/data", new
+        if self._fs().exists(self._path(name, "data")):
+            old = self.spark.read.schema(new.schema).parquet(path)
+            merged = self._checkpointed(merge_rows(old.join(F.broadcast(touched), BUCKET, "left_semi"), new))
+        merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
     def stats(self) -> DataFrame:
         """name, embedding_dim, num_documents of all collections."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import content_id, l2_normalize, md5_embedding
@@ -73,14 +75,55 @@ def embed_chunks(chunks: DataFrame, config: EmbedConfig = EmbedConfig(), text_co
     return chunks.withColumns({"chunk_id": ident, "embedding": vector_of(F.col(text_col), config, config.passage_prefix, providers), "model_name": F.lit(name), "embedding_dim": F.lit(config.dim), "source_file": F.lit(None).cast("string") if source_file is None else source_file})
 
 
+def embed_texts(texts: DataFrame, config: EmbedConfig = EmbedConfig(), text_col: str = "text", order: list[str] | None = None, providers: Providers = PROVIDERS) -> DataFrame:
+    """``texts`` embedded as chunks. Ids are ``text_`` and the place by ``order``, or without it ``text_`` and a hash of the text, which
+    needs no sorting of all rows."""
+    ident = content_id(F.col(text_col)) if order is None else (F.row_number().over(Window.orderBy(*order)) - 1).cast("string")
+    named = texts.withColumn("chunk_id", F.concat(F.lit("text_"), F.replace(ident, F.lit("chunk_"), F.lit(""))))
+    return embed_chunks(named, config, text_col, providers=providers)
+
+
+def failures(embedded: DataFrame) -> DataFrame:
+    """chunk_id, error of the chunks without a vector."""
+    return embedded.where(F.coalesce(F.size("embedding"), F.lit(0)) <= 0).select("chunk_id", F.lit("no vector").alias("error"))
+
+
+def with_retry(embed: Callable[[list[str], int], list[list[float]]], retries: int = 2, delay: float = 1.0) -> Provider:
+    """A provider of a Python function over texts, called once a batch, again after an error, and with null vectors at last."""
+
+    def provider(text: Column, dim: int) -> Column:
+        @F.pandas_udf("array<double>")
+        def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                for left in range(retries, -1, -1):
+                    try:
+                        found = embed(texts.tolist(), dim)
+                        break
+                    except Exception:  # whatever a model raises
+                        found = [None] * len(texts)
+                        if left:
+                            time.sleep(delay)
+                yield pd.Series(found, dtype="object")
+
+        return of(text)
+
+    return provider
+
+
+def model_info(config: EmbedConfig, providers: Providers = PROVIDERS) -> dict:
+    name, _ = providers.resolve(config)
+    return {"model": name, "asked_for": config.model, "is_fallback": name.lower() != config.model.lower(), "embedding_dim": config.dim, "normalize": config.normalize}
+
+
 def usable(embedded: DataFrame) -> DataFrame:
     return embedded.where(F.size("embedding") > 0)
 
 
 def summary(embedded: DataFrame) -> DataFrame:
-    """One row: total, successful and failed vectors, and the status that follows."""
+    """One row: total, successful and failed vectors, their dimension, the status that follows, and all that as text."""
     good = F.count_if(F.coalesce(F.size("embedding") > 0, F.lit(False)))
-    return embedded.agg(F.count("*").alias("total"), good.alias("successful"), (F.count("*") - good).alias("failed"), status(good, F.count("*")).alias("status"))
+    row = embedded.agg(F.count("*").alias("total"), good.alias("successful"), (F.count("*") - good).alias("failed"), F.max(F.size("embedding")).alias("embedding_dim"), status(good, F.count("*")).alias("status"))
+    return row.withColumn("summary", F.format_string("%s: %d of %d embedded, %d failed, dimension %d", "status", "successful", "total", "failed", F.coalesce("embedding_dim", F.lit(0))))
 
 
 def status(successful: Column, total: Column) -> Column:

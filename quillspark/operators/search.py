@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,33 +12,52 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import dot
 
+#: What stands between ``&&`` or commas; quotes hold both.
+_PARTS = re.compile(r"""((?:'[^']*'|"[^"]*"|`[^`]*`|(?!&&).)+)(?:&&)?""", re.S)
+_ITEMS = re.compile(r"""(?:'[^']*'|"[^"]*"|`[^`]*`|[^,])+""", re.S)
 _CLAUSE = re.compile(r"\s*([\w.]+)\s*:\s*(:?=|>=|<=|>|<|!=)?\s*(.+?)\s*$", re.S)
 
 
+def _typed(value: str, kind: str | None) -> Column:
+    """A literal of the column's own type, so that the test can be left to the scan; null where it has no such value."""
+    if kind in (None, "string"):
+        number = kind is None and re.fullmatch(r"-?\d+(\.\d+)?", value)
+        return F.lit(float(value)) if number else F.lit(value)
+    return F.lit(value).try_cast(kind)
+
+
+def _unquoted(value: str) -> str:
+    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "`'\"" else value
+
+
 def parse_filter(expression: str, types: dict[str, str] | None = None) -> Column:
-    """``field:=v``, ``field:v`` (contains), comparisons, ``field:[a, b]`` and ``metadata.key``, joined by ``&&``."""
+    """``field:=v``, ``field:v`` (contains), comparisons, ``field:[a, b]`` and ``metadata.key``, joined by ``&&`` outside quotes.
+
+    ``types`` are the columns'. Values take the type of their column, and metadata that of the value."""
     out = F.lit(True)
-    for part in expression.split("&&"):
+    for part in _PARTS.findall(expression):
         if not (m := _CLAUSE.match(part)):
             raise ValueError(f"can't read the filter {part!r}")
         name, sign, value = m.groups()
-        nested = name.startswith("metadata.")
-        col = F.col("metadata")[name.split(".", 1)[1]] if nested else F.col(name)
-        is_array = (types or {}).get(name, "").startswith("array")
-        number = re.fullmatch(r"-?\d+(\.\d+)?", value) is not None
-        left = F.expr(f"try_cast({'metadata[' + repr(name.split('.', 1)[1]) + ']' if nested else name} as double)") if number and not is_array else col
-        right = F.lit(float(value)) if number else F.lit(value.strip("`'\""))
+        kind, number = (types or {}).get(name), re.fullmatch(r"-?\d+(\.\d+)?", value) is not None
+        col = F.col("metadata")[name.split(".", 1)[1]] if name.startswith("metadata.") else F.col(name)
+        if name.startswith("metadata."):
+            col, kind = (col.try_cast("double"), "double") if number else (col, "string")
+        is_array = (kind or "").startswith("array")
+        if is_array:
+            kind = kind[6:-1]
         if value.startswith("[") and value.endswith("]"):
-            values = [v.strip().strip("`'\"") for v in value[1:-1].split(",")]
-            test = F.arrays_overlap(col, F.array(*map(F.lit, values))) if is_array else col.cast("string").isin(values)
+            values = [_typed(_unquoted(v.strip()), kind) for v in _ITEMS.findall(value[1:-1]) if v.strip()]
+            if kind is None:
+                col, values = col.cast("string"), [F.lit(_unquoted(v.strip())) for v in _ITEMS.findall(value[1:-1]) if v.strip()]
+            test = F.arrays_overlap(col, F.array(*values)) if is_array else col.isin(*values)
         elif is_array:
-            test = F.array_contains(col, value.strip("`'\""))
-        elif sign in (":=", "="):
-            test = left == right
-        elif sign is None:
-            test = left == right if number else F.lower(col.cast("string")).contains(value.strip("`'\"").lower())
+            test = F.array_contains(col, _typed(_unquoted(value), kind))
+        elif sign is None and not number:
+            test = F.lower(col.cast("string")).contains(_unquoted(value).lower())
         else:
-            test = {">": left > right, "<": left < right, ">=": left >= right, "<=": left <= right, "!=": left != right}[sign]
+            right = _typed(_unquoted(value), kind)
+            test = {None: col == right, ":=": col == right, "=": col == right, ">": col > right, "<": col < right, ">=": col >= right, "<=": col <= right, "!=": col != right}[sign]
         out = out & test
     return out
 
@@ -88,3 +108,10 @@ def search_many(collection: DataFrame, queries: DataFrame, k: int = 10, id_col:
     out = asking.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(best, f"q {kinds[1]}, i {kinds[0]}, s double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "i"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", F.col("i").alias(id_col), F.col("s").alias("score"))
+
+
+def search_texts(collection: DataFrame, questions: DataFrame, embed: Callable[[Column], Column], k: int = 10, text_col: str = "text", id_col: str = "id", query_id: str = "query_id") -> DataFrame:
+    """query_id, rank, ``id_col``, score: ``search_many`` for a table of questions (query_id, text), each embedded by ``embed``. Null and
+    blank questions have no result."""
+    asked = questions.where(F.trim(F.col(text_col)) != "").select(query_id, embed(F.col(text_col)).alias("embedding"))
+    return search_many(collection, asked, k, id_col, query_id)

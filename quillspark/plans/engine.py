@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import chat
-from quillspark.operators.chunk import ChunkOptions, chunk_documents
-from quillspark.operators.collection import Collections, CollectionSchema
+from quillspark.operators.chunk import ChunkOptions, chunk_batch, chunk_documents
+from quillspark.operators.chunkset import first_in
+from quillspark.operators.collection import Collections
 from quillspark.operators.embed import PROVIDERS, EmbedConfig, embed_chunks, vector_of
-from quillspark.operators.search import search
-from quillspark.sources.readers import Readers, plain_text, read_documents
+from quillspark.operators.search import search, search_texts
+from quillspark.sources.readers import Readers, parse_files, plain_text
 
 
 def extractive(prompt: str, passages: list[str]) -> str:
@@ -37,6 +38,13 @@ class EngineConfig:
         found += [] if self.max_contexts > 0 else ["max_contexts must be positive"]
         return found + ([] if 0 <= self.threshold <= 1 else ["threshold must be from 0 to 1"]) + ([] if 0 <= self.temperature <= 2 else ["temperature must be from 0 to 2"])
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str]) -> EngineConfig:
+        """From QUILLSPARK_ROOT, _MODEL, _DIM, _MAX_CONTEXTS, _THRESHOLD and _TEMPERATURE; what isn't set has its default."""
+        get = lambda name, kind, default: kind(env[f"QUILLSPARK_{name}"]) if env.get(f"QUILLSPARK_{name}") else default
+        base = EmbedConfig()
+        return cls(get("ROOT", str, ""), EmbedConfig(model=get("MODEL", str, base.model), dim=get("DIM", int, base.dim)), max_contexts=get("MAX_CONTEXTS", int, 5), threshold=get("THRESHOLD", float, chat.THRESHOLD), temperature=get("TEMPERATURE", float, 0.3))
+
 
 @dataclass
 class Engine:
@@ -44,35 +52,75 @@ class Engine:
     config: EngineConfig
     answer: Callable[[str, list[str]], str] = extractive
     readers: Readers = field(default_factory=Readers)
-    conversations: dict[str, list[dict]] = field(default_factory=dict)
 
     def __post_init__(self):
         if problems := self.config.problems():
             raise ValueError("; ".join(problems))
         self.collections = Collections(self.spark, self.config.root)
 
+    # Documents
+
     def process(self, path: str, collection: str) -> DataFrame:
-        """Reads, chunks, embeds and upserts all files below ``path``; one row of metrics."""
-        docs = read_documents(self.spark, path, self.readers).where("status <> 'failed'").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc_id"), plain_text(F.col("pages")).alias("text"))
-        return self.index(docs, collection)
+        """Reads, chunks, embeds and upserts all files below ``path``; one row of metrics. A document's id is its path, so files of
+        one name in different folders are apart. What became of each file is in ``document_status``."""
+        return self.process_files(self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), collection)
+
+    def process_files(self, files: DataFrame, collection: str) -> DataFrame:
+        """The same for (path, content) rows; ``lambda files: engine.process_files(files, "c")`` takes the batches of a stream."""
+        read = parse_files(files, self.readers).select(F.col("path").alias("doc_id"), plain_text(F.col("pages")).alias("text"), "status", "errors")
+        batch = chunk_batch(read.where("status <> 'failed'"), options=self.config.chunk).select("doc_id", F.size("chunks").alias("n_chunks"), "error", "warning")
+        state = self._process_status(read.select("doc_id", "status", "errors").join(batch, "doc_id", "left"))
+        state.withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(self._table("documents"))
+        return self.index(read.where("status <> 'failed'").select("doc_id", "text"), collection)
+
+    def _process_status(self, read: DataFrame) -> DataFrame:
+        failed, empty = F.col("status") == "failed", F.coalesce("n_chunks", F.lit(0)) == 0
+        stage = F.when(failed, "failed").when(empty, "chunking").otherwise("completed")
+        said = F.when(failed, F.concat_ws("; ", "errors")).when(empty, F.coalesce("error", "warning")).otherwise(F.concat_ws("; ", F.lit("indexed"), F.array_join("errors", "; ")))
+        progress = F.when(failed, 0).when(empty, 40).otherwise(100)
+        return read.select("doc_id", F.when(failed | empty, "failed").otherwise(F.col("status")).alias("status"), stage.alias("stage"), progress.alias("progress"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), said.alias("message"))
+
+    def document_status(self) -> DataFrame:
+        """doc_id, status, stage, progress, n_chunks, message, processed_at of each file's last processing, failed ones too."""
+        kind = "doc_id string, status string, stage string, progress int, n_chunks int, message string, processed_at timestamp"
+        return first_in(self._read(kind, "documents"), ["doc_id"], [F.desc("processed_at")])
 
     def index(self, docs: DataFrame, collection: str) -> DataFrame:
-        """The same for (doc_id, text)."""
-        self.collections.create(CollectionSchema(collection, self.config.embed.dim))
+        """Chunks, embeds and upserts (doc_id, text); one row of metrics."""
+        self.collections.create_for_model(collection, self.config.embed)
         chunks = chunk_documents(docs, options=self.config.chunk)
-        embedded = embed_chunks(chunks, self.config.embed, source_file=F.col("doc_id").cast("string"))
-        return self.collections.index(collection, embedded, ["doc_id", "ordinal"])
+        embedded = embed_chunks(chunks, self.config.embed, source_file=F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]+)$", 1))
+        return self.collections.index(collection, embedded.withColumn("chunk_id", F.concat_ws("#", F.col("doc_id").cast("string"), "chunk_id")), ["doc_id", "ordinal"])
+
+    def _table(self, name: str) -> str:
+        return f"{self.config.root}/_tables/{name}"
+
+    def _read(self, schema: str, name: str) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._table(name))
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(self._table(name)) if there else self.spark.createDataFrame([], schema)
+
+    # Questions
+
+    def _embed(self, text):
+        return vector_of(text, self.config.embed, self.config.embed.query_prefix, PROVIDERS)
 
     def retrieve(self, question: str, collection: str, k: int | None = None, filter_by: str | None = None) -> DataFrame:
         """Nearest contexts first; the threshold comes after the k."""
-        row = self.spark.range(1).select(vector_of(F.lit(question), self.config.embed, self.config.embed.query_prefix, PROVIDERS).alias("v")).first()
+        row = self.spark.range(1).select(self._embed(F.lit(question)).alias("v")).first()
         found = search(self.collections.read(collection), row["v"], k or self.config.max_contexts, filter_by, score_mode=self.config.score_mode)
         return found.where(F.col("score") >= self.config.threshold).withColumn("quality", chat.quality(F.col("score")))
 
-    def ask(self, question: str, collection: str, conversation: str | None = None, k: int | None = None) -> dict:
-        """Answer, citations, quality, kind of question and prompt; the conversation's last ten messages are kept."""
+    def retrieve_many(self, questions: DataFrame, collection: str, k: int | None = None) -> DataFrame:
+        """query_id, rank, id, score, quality for a table of questions (query_id, text)."""
+        found = search_texts(self.collections.read(collection), questions, self._embed, k or self.config.max_contexts)
+        return found.where(F.col("score") >= self.config.threshold).withColumn("quality", chat.quality(F.col("score")))
+
+    def ask(self, question: str, collection: str, conversation: str | None = None, k: int | None = None, concise: bool = False) -> dict:
+        """Answer, citations, quality, kind of question, prompt and system prompt. Where the answer's provider fails, a fixed answer by
+        quality stands in, and ``fallback_used`` says so. Both messages are kept in the table of conversations."""
         conversation = conversation or str(uuid.uuid4())
-        past = self.conversations.setdefault(conversation, [])
+        past = self.history(conversation)
         last = lambda role: next((m["text"] for m in reversed(past) if m["role"] == role), None)
         contexts = self.retrieve(question, collection, k).orderBy(F.desc("score"), "id").collect() if self.collections.exists(collection) else []
         kind = "array<struct<text:string,score:double,source_file:string,hierarchy:array<string>,page_numbers:array<int>>>"
@@ -80,16 +128,44 @@ class Engine:
         row = row.withColumns({"type": chat.classify(F.col("q"), F.col("n"), F.col("u")), "score": F.coalesce(F.array_max(F.transform("contexts", lambda c: c["score"])), F.lit(0.0)), "citations": chat.citations(F.col("contexts"))})
         row = row.withColumn("quality", chat.quality(F.col("score"))).withColumn("prompt_kind", chat.prompt_kind(F.col("type"), F.col("quality")))
         got = row.withColumn("prompt", chat.prompt(F.col("prompt_kind"), F.col("q"), chat.context_text(F.col("contexts")), F.col("citations"), F.col("u"), F.col("a"))).first()
-        text = self.answer(got["prompt"], [c["text"] for c in contexts])
-        self.conversations[conversation] = (past + [{"role": "user", "text": question}, {"role": "assistant", "text": text}])[-chat.KEPT_MESSAGES :]
-        return {"conversation": conversation, "answer": text, "citations": got["citations"], "quality": got["quality"], "query_type": got["type"], "prompt": got["prompt"], "contexts_used": len(contexts)}
+        system, failed = chat.SYSTEM_CONCISE if concise else chat.SYSTEM, ""
+        try:
+            text = self.answer(f"{system}\n\n{got['prompt']}", [c["text"] for c in contexts])
+        except Exception as e:  # whatever a model raises
+            text, failed = chat.FALLBACKS[got["quality"]], f"{type(e).__name__}: {e}"
+        self._keep(conversation, len(past), [("user", question), ("assistant", text)])
+        return {"conversation": conversation, "answer": text, "citations": got["citations"], "quality": got["quality"], "query_type": got["type"], "prompt": got["prompt"], "system": system, "contexts_used": len(contexts), "fallback_used": bool(failed), "warnings": [failed] if failed else []}
+
+    def ask_with_citations(self, question: str, collection: str, conversation: str | None = None) -> str:
+        """The answer with its sources below it."""
+        got = self.ask(question, collection, conversation)
+        return got["answer"] + ("\n\nSources:\n" + "\n".join(f"- {c}" for c in got["citations"]) if got["citations"] else "")
+
+    # Conversations: a table of messages, to which clearing appends a mark that hides what came before.
+
+    _MESSAGES = "conversation string, at timestamp, n int, role string, text string"
+
+    def _keep(self, conversation: str, n: int, messages: list[tuple[str, str]]) -> None:
+        rows = self.spark.createDataFrame([(conversation, n + i, role, text) for i, (role, text) in enumerate(messages)], "conversation string, n int, role string, text string")
+        rows.select("conversation", F.current_timestamp().alias("at"), "n", "role", "text").coalesce(1).write.mode("append").parquet(self._table("conversations"))
+
+    def messages(self) -> DataFrame:
+        """All messages of all conversations that weren't cleared after them."""
+        said = self._read(self._MESSAGES, "conversations")
+        cleared = F.max(F.when(F.col("role") == "clear", F.col("at"))).over(Window.partitionBy("conversation"))
+        return said.withColumn("__cleared", cleared).where((F.col("role") != "clear") & (F.col("__cleared").isNull() | (F.col("at") > F.col("__cleared")))).drop("__cleared")
 
     def history(self, conversation: str) -> list[dict]:
-        return list(self.conversations.get(conversation, []))
+        """The last messages that are kept, oldest first."""
+        kept = self.messages().where(F.col("conversation") == conversation).orderBy(F.desc("at"), F.desc("n")).limit(chat.KEPT_MESSAGES).collect()
+        return [{"role": r["role"], "text": r["text"]} for r in reversed(kept)]
 
     def clear(self, conversation: str) -> bool:
-        return self.conversations.pop(conversation, None) is not None
+        known = bool(self.history(conversation))
+        if known:
+            self._keep(conversation, 0, [("clear", "")])
+        return known
 
     def status(self) -> dict:
         stats = self.collections.stats().agg(F.count("*").alias("n"), F.coalesce(F.sum("num_documents"), F.lit(0)).alias("docs")).first()
-        return {"status": "ok", "collections": stats["n"], "documents": stats["docs"], "conversations": len(self.conversations)}
+        return {"status": "ok", "collections": stats["n"], "documents": stats["docs"], "conversations": self.messages().select("conversation").distinct().count()}

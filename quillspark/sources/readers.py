@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import pack, paragraphs, strip, word_count
+from quillspark.functions.text import let, pack, paragraphs, strip, word_count
 
 PAGE_SIZE, NATIVE_LEAST = 3000, 30
 PAGE = "struct<page_number:int,text:string,page_type:string,confidence:double,error:string>"
@@ -81,6 +81,18 @@ def page_summary(pages: Column) -> Column:
     return F.struct(F.size(pages).alias("total_pages"), chars.alias("char_count"), words.alias("word_count"), of("native_text").alias("native_pages"), of("ocr").alias("ocr_pages"), mean.alias("avg_ocr_confidence"))
 
 
+def summary_text(path: Column, status: Column, pages: Column, errors: Column) -> Column:
+    """A document's result in lines: file, status, pages by kind, characters, words, mean confidence and errors."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
+    of = lambda p: F.concat_ws("\n", line("File", path), line("Status", status), line("Pages", p["total_pages"]), line("Native", p["native_pages"]), line("OCR", p["ocr_pages"]), line("Characters", p["char_count"]), line("Words", p["word_count"]), line("OCR confidence", p["avg_ocr_confidence"]), F.when(F.size(errors) > 0, line("Errors", F.array_join(errors, "; "))))
+    return let(page_summary(pages), of)
+
+
+def to_json(results: DataFrame) -> DataFrame:
+    """One JSON object a row, of all columns, nulls too."""
+    return results.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def table_text(cells: Column) -> Column:
     """Rows of an array of arrays, cells by `` | ``."""
     cell = lambda c: strip(F.replace(c, F.lit("\n"), F.lit(" ")))
@@ -111,8 +123,13 @@ def read_docx(content: bytes) -> tuple[list[tuple[str, str, float | None]], dict
 
 def read_documents(spark: SparkSession, path: str, readers: Readers | None = None) -> DataFrame:
     """path, file_type, pages, metadata, errors, status of every file below ``path`` (a file, folder or pattern)."""
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), readers)
+
+
+def parse_files(files: DataFrame, readers: Readers | None = None) -> DataFrame:
+    """The same of (path, content) rows, such as a batch of a stream holds."""
     readers = readers or Readers()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content", "length")
+    files = files.select("path", "content")
     files = files.withColumn("file_type", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     # UTF-8 where it is valid, else Latin-1, in which all bytes are.
     valid = F.expr("try_validate_utf8(cast(content as string))")

@@ -1,13 +1,14 @@
 """Readers, embedding, collections, search, the engine and streams."""
 
 import io
+import json
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chat
+from quillspark.operators import chat, embed
 from quillspark.operators.collection import Collections, CollectionSchema, dedup_keep_first, merge_rows
 from quillspark.operators.embed import EmbedConfig, Providers, embed_chunks, summary
 from quillspark.operators.search import parse_filter, search, search_many
@@ -120,17 +121,116 @@ def test_chat(spark):
 
 
 def test_engine(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("Rent is due on the first day of the month.")
+    for folder, text in (("in/a", "Rent is due on the first day of the month."), ("in/b", "Notice is three months.")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "same.txt").write_text(text)
+    (tmp_path / "in" / "bad.pdf").write_bytes(b"%PDF")
+    (tmp_path / "in" / "blank.txt").write_text(" \n")
     engine = Engine(spark, EngineConfig(str(tmp_path / "store"), threshold=0.0))
-    assert engine.process(str(tmp_path / "in"), "c").first().successful == 1
+    assert engine.process(str(tmp_path / "in"), "c").first().successful == 2  # files of one name are apart
+    state = {r.doc_id.rsplit("/in/")[1]: r for r in engine.document_status().collect()}
+    assert (state["bad.pdf"].status, state["bad.pdf"].stage, state["bad.pdf"].progress) == ("failed", "failed", 0) and "no reader" in state["bad.pdf"].message
+    assert (state["blank.txt"].status, state["blank.txt"].stage) == ("failed", "chunking") and state["a/same.txt"].progress == 100
     first = engine.ask("When is rent due?", "c")
-    assert first["contexts_used"] == 1 and first["query_type"] == "new" and first["answer"].startswith("Rent")
+    assert first["contexts_used"] == 2 and first["query_type"] == "new" and not first["fallback_used"] and first["system"]
     second = engine.ask("tell me more", "c", first["conversation"])
     assert second["query_type"] == "followup" and len(engine.history(first["conversation"])) == 4
-    assert engine.status()["documents"] == 1 and engine.clear(first["conversation"])
+    again = Engine(spark, EngineConfig(str(tmp_path / "store"), threshold=0.0))  # conversations outlive an engine
+    assert len(again.history(first["conversation"])) == 4 and again.status() == {"status": "ok", "collections": 1, "documents": 2, "conversations": 1}
+    assert again.clear(first["conversation"]) and not again.history(first["conversation"]) and not again.clear("none such")
+    asked = spark.createDataFrame([(1, "When is rent due?"), (2, " "), (3, None)], "query_id long, text string")
+    assert {r.query_id for r in engine.retrieve_many(asked, "c", 2).collect()} == {1}
+
+    def broken(prompt, passages):
+        raise ConnectionError("no model")
+
+    got = Engine(spark, EngineConfig(str(tmp_path / "store"), threshold=0.0), answer=broken).ask("When is rent due?", "c")
+    assert got["fallback_used"] and got["answer"] == chat.FALLBACKS[got["quality"]] and "no model" in got["warnings"][0]
     with pytest.raises(ValueError, match="threshold"):
         Engine(spark, EngineConfig("x", threshold=2))
+    env = EngineConfig.from_env({"QUILLSPARK_ROOT": "r", "QUILLSPARK_DIM": "8", "QUILLSPARK_THRESHOLD": "0.5"})
+    assert (env.root, env.embed.dim, env.threshold, env.max_contexts) == ("r", 8, 0.5, 5)
+
+
+def test_a_stream_goes_into_a_collection(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    engine = Engine(spark, EngineConfig(str(tmp_path / "store"), threshold=0.0))
+    for i in range(2):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"Text number {i} of the stream.")
+        ingest.index_files(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda files: engine.process_files(files, "c")).awaitTermination(120)
+        assert engine.collections.read("c").count() == i + 1
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("id + 9007199254740993 AS big", "cast(id AS int) AS n", "cast(id AS string) AS s").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    found = df.where(parse_filter("n:>=3 && big:=9007199254740998 && s:!='x && y'", dict(df.dtypes)))
+    pushed = str(found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    assert "GreaterThanOrEqual(n,3)" in pushed and "EqualTo(big,9007199254740998)" in pushed
+    assert [r.big for r in found.collect()] == [9007199254740998]  # beyond what a double can tell apart
+    assert df.where(parse_filter("n:>=x", dict(df.dtypes))).count() == 0
+
+
+def test_upserts_touch_the_partitions_of_their_ids(spark, tmp_path):
+    store = Collections(spark, str(tmp_path / "store"))
+    assert store.create_for_model("c", EmbedConfig(dim=2), [{"name": "kind", "type": "string"}])
+    rows = lambda ids, text: spark.createDataFrame([(str(i), text, [1.0, float(i)]) for i in ids], "chunk_id string, content string, embedding array<double>")
+    assert store.index("c", rows(range(500), "old"), ["content"]).first().successful == 500
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "store" / "c" / "data").rglob("part-*.parquet")}
+    before = files()
+    assert store.index("c", rows([7, 900], "new"), ["content"]).first().successful == 2
+    assert len(before.keys() - files().keys()) <= 2 and len(before) > 40  # others are untouched, and nothing old is left behind
+    assert {r.chunk_id: r.text for r in store.read("c").where("text = 'new'").collect()} == {"7": "new", "900": "new"}
+    assert store.read("c").count() == 501
+    info = store.info("c")
+    assert (info["num_documents"], info["embedding_dim"], info["model"]) == (501, 2, "md5") and info["created_at"] > 0 and store.info("x") is None
+    bad = rows(range(3), "z").withColumn("embedding", F.array(F.lit(1.0)))
+    r = store.index("c", bad, ["content"], max_errors=2).first()
+    assert (r.status, r.successful, r.failed, len(r.failed_ids)) == ("failed", 0, 3, 3) and store.read("c").count() == 501
+
+
+def test_embedding_extras(spark):
+    texts = spark.createDataFrame([("b",), ("a",)], "text string")
+    assert [r.chunk_id for r in embed.embed_texts(texts, EmbedConfig(dim=8), order=["text"]).orderBy("text").collect()] == ["text_0", "text_1"]
+    assert all(r.chunk_id.startswith("text_") for r in embed.embed_texts(texts).collect())
+    calls = []
+
+    def flaky(batch, dim):
+        if "b" in batch:
+            raise ConnectionError("down")
+        return [[1.0] * dim for _ in batch]
+
+    known = Providers()
+    known.register("flaky", embed.with_retry(flaky, retries=1, delay=0.0))
+    out = embed_chunks(texts.repartition(2, "text").withColumnRenamed("text", "content").coalesce(1).sortWithinPartitions("content").limit(1), EmbedConfig("flaky", dim=4), providers=known)
+    assert out.first().embedding == [0.5] * 4 and not calls
+    failed = embed_chunks(texts.where("text = 'b'").withColumnRenamed("text", "content"), EmbedConfig("flaky", dim=4), providers=known)
+    assert embed.failures(failed).count() == 1 and summary(failed).first().summary.startswith("failed: 0 of 1")
+    assert embed.model_info(EmbedConfig("absent")) == {"model": "md5", "asked_for": "absent", "is_fallback": True, "embedding_dim": 64, "normalize": True}
+
+
+def test_results_as_text(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one two")
+    got = readers.read_documents(spark, str(tmp_path))
+    text = got.select(readers.summary_text(F.col("path"), F.col("status"), F.col("pages"), F.col("errors"))).first()[0]
+    assert "Status: success" in text and "Words: 2" in text and "Errors" not in text
+    assert json.loads(readers.to_json(got).first()[0])["pages"][0]["text"] == "one two"
+
+
+def test_conversation_history_is_bounded_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.ROCKS)
+    kind = "conv_id long, turn long, role string, text string"
+    out = tmp_path / "out"
+    for first in (0, 8):  # two batches, so that state is carried over
+        rows = [(c, t, ("user", "assistant", "system")[t % 3], f"{c} {t}") for c in (1, 2) for t in range(first, first + 8)]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.conversation_history(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"))
+        keep = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(str(out))
+        stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination(180)
+    said = spark.read.parquet(f"{tmp_path}/in")
+    last = spark.read.parquet(str(out))
+    last = last.where(F.col("batch") == last.agg(F.max("batch")).first()[0]).drop("batch")
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, chat.history(said).select(*last.columns).collect()))
 
 
 def test_stream_indexes_new_files_once(spark, tmp_path):
