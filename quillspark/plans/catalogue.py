@@ -66,30 +66,39 @@ def clean_text(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
+# Unicode's white space as a class of the SQL's patterns.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+@query(f"""WITH o AS (SELECT doc_id, chr(160) || chr(12288) || replace(text, ' ', chr(8195) || chr(1)) || chr(10) || chr(160) || chr(10) || chr(1) || chr(8232) AS t FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: regexp_replace(l, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda l: l <> ''), chr(10)) AS clean,
+       len(list_filter(regexp_split_to_array(t, '[{_SPACE}]+'), lambda w: w <> ''))::INTEGER AS word_count FROM o""")
+def clean_odd_spaces(spark, sf_dir):
+    """Texts with the spaces of other scripts and with control characters, which stay."""
+    odd = F.concat(F.lit("\u00a0\u3000"), F.replace(F.col("text"), F.lit(" "), F.lit("\u2003\u0001")), F.lit("\n\u00a0\n\u0001\u2028"))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.clean_text(odd).alias("clean"), T.word_count(odd).alias("word_count"))
+
+
 @query(r"SELECT doc_id, length(text)::INTEGER AS char_count, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INTEGER AS word_count FROM documents")
 def word_char_counts(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("char_count"), T.word_count(F.col("text")).alias("word_count"))
 
 
-_N = lambda t: "(" + " + ".join(f"len(regexp_extract_all({t}, '{p}'))" for p in detect.NUMBERED_PATTERNS) + ")"
-_S = lambda t: "(" + " + ".join(f"len(regexp_extract_all({t}, '{p}'))" for p in detect.STATUTE_PATTERNS.values()) + ")"
-_L = lambda t: "(" + " + ".join(f"len(regexp_extract_all({t}, '{p}'))" for p in detect.LIST_PATTERNS.values()) + ")"
-#: By id: a text as it is, with numbered sections, with articles, or with a list.
+# The patterns of the kinds, spelt for the SQL on their own.
+_SQL_PATTERNS = {
+    "n": (r"\n\d+\.\s+[A-Z][A-Z\s]{2,}", r"\n\d+\.\d+\s+[A-Z]", r"(?m)^\d+\.\s+[A-Z][A-Z\s]{2,}"), "s": (r"(?i)Article\s+\d+", r"(?i)Art\.\s+\d+", r"(?i)Section\s+\d+", r"§\s*\d+"),
+    "l": (r"\([a-z]\)", r"\([ivx]+\)", r"\n\s*[•●○]\s", r"\n\s*-\s+[A-Z]"),
+}
+_HITS = lambda kind: " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in _SQL_PATTERNS[kind])
+#: By id: a text as it is, with numbered sections, with articles, or with a list; the marks stand before each half, or before all.
 _MADE_SQL = """CASE doc_id % 4 WHEN 0 THEN text
-    WHEN 1 THEN chr(10) || '1. SCOPE TERMS' || chr(10) || text[1:200] || chr(10) || '2. PAYMENT TERMS' || chr(10) || text[201:400]
-    WHEN 2 THEN 'Article 1 - Scope' || chr(10) || text[1:100] || chr(10) || 'Article 2 - Terms' || chr(10) || text[101:200]
-    ELSE '(a) one' || chr(10) || '(b) two' || chr(10) || '(c) three' || chr(10) || '(e) five' || chr(10) || '(f) six' || chr(10) || text[1:50] END"""
-
-
-def _made(docs: DataFrame) -> DataFrame:
-    t, kind = F.col("text"), F.col("doc_id") % 4
-    join = lambda *parts: F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
-    made = F.when(kind == 0, t).when(kind == 1, F.concat(F.lit("\n"), join("1. SCOPE TERMS", F.substring(t, 1, 200), "2. PAYMENT TERMS", F.substring(t, 201, 200)))).when(kind == 2, join("Article 1 - Scope", F.substring(t, 1, 100), "Article 2 - Terms", F.substring(t, 101, 100))).otherwise(join("(a) one", "(b) two", "(c) three", "(e) five", "(f) six", F.substring(t, 1, 50)))
-    return docs.select("doc_id", made.alias("text"))
+    WHEN 1 THEN chr(10) || '1. SCOPE TERMS' || chr(10) || text[1:length(text) // 2] || chr(10) || '2. PAYMENT TERMS' || chr(10) || text[length(text) // 2 + 1:]
+    WHEN 2 THEN 'Article 1 - Scope' || chr(10) || text[1:length(text) // 2] || chr(10) || 'Article 2 - Terms' || chr(10) || text[length(text) // 2 + 1:]
+    ELSE '(a) one' || chr(10) || '(b) two' || chr(10) || '(c) three' || chr(10) || '(e) five' || chr(10) || '(f) six' || chr(10) || text END"""
 
 
 def _made_whole(docs: DataFrame) -> DataFrame:
-    """The same kinds by id, with the marks put into the whole text: before each half of it, or before all of it."""
+    """The same, over whole texts."""
     t, kind, half = F.col("text"), F.col("doc_id") % 4, F.floor(F.length("text") / 2).cast("int")
     first, second = F.substring(t, F.lit(1), half), F.substring(t, half + 1, F.length(t))
     join = lambda *parts: F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -97,21 +106,23 @@ def _made_whole(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", made.alias("text"))
 
 
-@query(f"""WITH m AS (SELECT doc_id, {_MADE_SQL} AS t FROM documents), c AS (SELECT doc_id, {_N("t")} AS n, {_S("t")} AS s, {_L("t")} AS l, len(string_split(t, chr(10))) AS lines FROM m)
+@query(f"""WITH m AS (SELECT doc_id, {_MADE_SQL} AS t FROM documents), c AS (SELECT doc_id, {_HITS("n")} AS n, {_HITS("s")} AS s, {_HITS("l")} AS l, len(string_split(t, chr(10))) AS lines FROM m)
 SELECT doc_id, CASE WHEN n >= 3 THEN 'numbered_sections' WHEN s >= 2 THEN 'statute' WHEN l >= 5 THEN 'policy_or_terms' ELSE 'unstructured' END AS doc_type,
  round(CASE WHEN n >= 3 THEN least(0.9, 0.6 + 0.05 * n) WHEN s >= 2 THEN least(0.85, 0.5 + 0.1 * s) WHEN l >= 5 THEN least(0.75, 0.4 + 10 * l / lines) ELSE 1.0 END::DOUBLE, 6) AS confidence,
  n::INTEGER AS section_count, s::INTEGER AS article_count, l::INTEGER AS list_count FROM c""")
 def detect_doc_type(spark, sf_dir):
-    found = detect.detect(_made(_read(spark, sf_dir, "documents")))
+    found = detect.detect(_made_whole(_read(spark, sf_dir, "documents")))
     d = F.col("detection")
     return found.select("doc_id", d["doc_type"].alias("doc_type"), F.round(d["confidence"].cast("double"), 6).alias("confidence"), d["section_count"].alias("section_count"), d["article_count"].alias("article_count"), d["list_count"].alias("list_count"))
 
 
-@query("SELECT doc_id, text[1:40] AS native, CASE WHEN length(trim(text[1:doc_id % 60])) >= 30 THEN 'native_text' WHEN length(trim(text[1:doc_id % 60])) > 0 AND length(trim(text[1:80])) > 2 * length(trim(text[1:doc_id % 60])) THEN 'hybrid' ELSE 'ocr' END AS page_type FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
+@query(r"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[a-z]+', '', 'g'), '^\s+|\s+$', '', 'g') AS native, regexp_replace(text, '^\s+|\s+$', '', 'g') AS ocr FROM documents),
+k AS (SELECT *, CASE WHEN length(native) >= 30 THEN 'native_text' WHEN length(native) > 0 AND length(ocr) > 2 * length(native) THEN 'hybrid' ELSE 'ocr' END AS page_type FROM p)
+SELECT doc_id, page_type, md5(CASE page_type WHEN 'native_text' THEN native ELSE ocr END) AS digest FROM k""")
 def page_decision(spark, sf_dir):
-    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    made = readers.page_decision(F.substring(flat, F.lit(1), (F.col("doc_id") % 60).cast("int")), F.substring(flat, 1, 80))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.substring(flat, 1, 40).alias("native"), made["page_type"].alias("page_type"))
+    """Native text is what is left of a text without its small letters."""
+    made = readers.page_decision(F.regexp_replace("text", "[a-z]+", ""), F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", made["page_type"].alias("page_type"), F.md5(made["text"]).alias("digest"))
 
 
 @query("SELECT source, count(*)::BIGINT AS pages, sum((lang = 'fr')::INTEGER)::BIGINT AS errors, CASE WHEN count(*) = 0 THEN 'failed' WHEN sum((lang = 'fr')::INTEGER) > 0 AND sum((lang = 'fr')::INTEGER) < count(*) THEN 'partial' WHEN sum((lang = 'fr')::INTEGER) > 0 THEN 'failed' ELSE 'success' END AS status FROM documents GROUP BY source")
@@ -120,7 +131,13 @@ def ingest_status(spark, sf_dir):
     return _read(spark, sf_dir, "documents").groupBy("source").agg(n.alias("pages"), e.alias("errors"), readers.ingest_status(n, e).alias("status"))
 
 
-@query()
+_PARAGRAPHS = r"list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_transform({_PARAGRAPHS}, lambda p: {{'done': []::VARCHAR[], 'now': p, 'size': length(p)::BIGINT}}) AS parts FROM documents),
+r AS (SELECT doc_id, CASE WHEN len(parts) = 0 THEN NULL ELSE list_reduce(parts, lambda x, y: CASE WHEN x.size + y.size > 3000 THEN {{'done': x.done || [x.now], 'now': y.now, 'size': y.size}} ELSE {{'done': x.done, 'now': x.now || chr(10) || chr(10) || y.now, 'size': x.size + y.size}} END) END AS s FROM p),
+g AS (SELECT doc_id, CASE WHEN s IS NULL THEN [''] ELSE s.done || [s.now] END AS pages FROM r)
+SELECT doc_id, (i - 1)::INTEGER AS page, pages[i] AS text FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM g)""")
 def paginate_text(spark, sf_dir):
     pages = readers.split_pages(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
     return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages).alias("page", "text"))
@@ -140,10 +157,10 @@ def chunk_paragraph(spark, sf_dir):
     return chunks.select("doc_id", "c.chunk_id", F.length("c.content").alias("size"), F.md5("c.content").alias("digest"))
 
 
-@query(f"SELECT doc_id, i::INTEGER AS part, md5(c[i * 500 + 1 : i * 500 + 500]) AS digest FROM (SELECT doc_id, c, unnest(range(ceil(length(c) / 500.0)::BIGINT)) AS i FROM (SELECT doc_id, {_CLEAN} AS c FROM documents) WHERE length(c) > 500)")
+@query(f"SELECT doc_id, i::INTEGER AS part, md5(c[i * 500 + 1 : i * 500 + 500]) AS digest FROM (SELECT doc_id, c, unnest(range(ceil(length(c) / 500.0)::BIGINT)) AS i FROM (SELECT doc_id, {_CLEAN} AS c FROM documents))")
 def chunk_fixed_width(spark, sf_dir):
     options = chunk.ChunkOptions(max_chunk_size=500, preserve_sentence_integrity=False, sentence_overlap=False)
-    chunks = _read(spark, sf_dir, "documents").where(F.length(T.clean_text(F.col("text"))) > 500).select("doc_id", F.posexplode(chunk.paragraph_chunks(F.col("text"), options)).alias("part", "c"))
+    chunks = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.paragraph_chunks(F.col("text"), options)).alias("part", "c"))
     return chunks.select("doc_id", "part", F.md5("c.content").alias("digest"))
 
 
@@ -227,12 +244,15 @@ _HISTORY = f"""h AS (SELECT *, count(*) OVER w AS n_history, last_value(CASE WHE
 _KEYS = lambda c: rf"list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]{{3,}}')), lambda w: NOT list_contains({_list(chat.COMMON)}, w))"
 
 
-@query(rf"""WITH {_HISTORY}, t AS (SELECT conv_id, turn, n_history, last_user, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS q, {_KEYS("text")} AS a, {_KEYS("last_user")} AS b FROM h WHERE role = 'user'),
+_CLASSIFY = rf"""WITH {_HISTORY}, t AS (SELECT conv_id, turn, n_history, last_user, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS q, {_KEYS("text")} AS a, {_KEYS("last_user")} AS b FROM h WHERE role = 'user'),
  k AS (SELECT *, list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '') AS tok FROM t)
 SELECT conv_id, turn, n_history::BIGINT AS n_history, CASE WHEN n_history = 0 THEN 'new'
  WHEN len(list_filter({_list(chat.CLARIFICATION)}, lambda w: contains(q, w))) > 0 OR (contains(q, '?') AND len(list_intersect(tok, {_list(chat.REFERENCES[:6])})) > 0) THEN 'clarification'
  WHEN len(list_filter({_list(chat.FOLLOWUP)}, lambda w: contains(q, w))) > 0 OR regexp_matches(q, '^(and|but|also|or)\b') OR (n_history >= 2 AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / least(len(a), len(b)) > {chat.OVERLAP})
-  OR list_contains({_list(chat.REFERENCES)}, tok[1]) OR len(list_filter(tok, lambda w: list_contains({_list(chat.REFERENCES)}, w))) >= 2 OR len(tok) <= {chat.SHORT} THEN 'followup' ELSE 'new' END AS query_type FROM k""")
+  OR list_contains({_list(chat.REFERENCES)}, tok[1]) OR len(list_filter(tok, lambda w: list_contains({_list(chat.REFERENCES)}, w))) >= 2 OR len(tok) <= {chat.SHORT} THEN 'followup' ELSE 'new' END AS query_type FROM k"""
+
+
+@query(_CLASSIFY)
 def classify_query(spark, sf_dir):
     return chat.classify_turns(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "n_history", "query_type")
 
@@ -261,7 +281,25 @@ def prompt_select(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", chat.prompt_kind(kind, band).alias("prompt_kind"))
 
 
-@query()
+_LAY = " || chr(10) || chr(10) || "
+_PART = lambda name, value: f"'{name}:' || chr(10) || {value}"
+_PASSAGES, _SOURCES, _ASKED = _PART("Passages", "context"), _PART("Sources", "cited"), _PART("Question", "text")
+_EARLIER = [_PART("Earlier question", "coalesce(last_user, 'Previous question')"), _PART("Earlier answer", "coalesce(last_assistant, 'Previous answer')")]
+_TEMPLATES = {
+    "answer": ["'Answer the question from these passages and cite them.'", _PASSAGES, _SOURCES, _ASKED],
+    "answer_with_care": ["'These passages may answer the question only in part. Say what they leave open.'", _PASSAGES, _SOURCES, _ASKED],
+    "no_context": ["'No passage was found. Say so, and suggest how to ask better.'", _ASKED],
+    "follow_up": ["'Continue the conversation from these passages.'", *_EARLIER, _PASSAGES, _ASKED],
+    "follow_up_no_context": ["'Continue the conversation; no new passage was found.'", *_EARLIER, _ASKED],
+    "clarify": ["'Explain the earlier answer more clearly.'", _EARLIER[1], _PASSAGES, _ASKED],
+}
+
+
+@query(f"""WITH {_HISTORY}, c AS ({_CLASSIFY}), p AS (SELECT h.conv_id, h.turn, h.text, h.last_user, h.last_assistant, c.query_type, 0.5 + h.turn / 20 AS score,
+  '[Context 1] (Score: ' || printf('%.2f', (0.5 + h.turn / 20)::DOUBLE) || ')' || chr(10) || 'Source: conv' || h.conv_id || chr(10) || 'Section: Turn' || chr(10) || 'Content: ' || h.text || chr(10) AS context,
+  'conv' || h.conv_id || ' (Turn, p. ' || h.turn || ')' AS cited FROM h JOIN c ON h.conv_id = c.conv_id AND h.turn = c.turn WHERE h.role = 'user'),
+k AS (SELECT *, CASE query_type WHEN 'new' THEN CASE WHEN score >= 0.7 THEN 'answer' WHEN score >= 0.3 THEN 'answer_with_care' ELSE 'no_context' END WHEN 'followup' THEN CASE WHEN score >= 0.5 THEN 'follow_up' ELSE 'follow_up_no_context' END ELSE 'clarify' END AS kind FROM p)
+SELECT conv_id, turn, kind, CASE kind {" ".join(f"WHEN '{k}' THEN {_LAY.join(v)}" for k, v in _TEMPLATES.items())} END AS prompt FROM k""")
 def context_prompt(spark, sf_dir):
     asked = chat.classify_turns(_read(spark, sf_dir, "conversations"))
     context = F.array(F.struct(F.col("text").alias("text"), (F.lit(0.5) + F.col("turn") / 20).alias("score"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("source_file"), F.array(F.lit("Turn")).alias("hierarchy"), F.array(F.col("turn").cast("int")).alias("page_numbers")))
