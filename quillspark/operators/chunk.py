@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,10 +152,10 @@ def _numbered(pieces: Column, o: ChunkOptions) -> Column:
 def statute_chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
     """Articles and sections, by clause where they have clauses; what stands before the first article is dropped."""
     o = options.within(1200, 100, 30)
-    return let(clean_text(text, o.semantics), lambda clean: let(with_starts(F.split(clean, f"(?i)(?={ARTICLE})")), lambda pieces: _statute(pieces, clean, o)))
+    return let(with_starts(F.split(clean_text(text, o.semantics), f"(?i)(?={ARTICLE})")), lambda pieces: _statute(pieces, o))
 
 
-def _statute(pieces: Column, clean: Column, o: ChunkOptions) -> Column:
+def _statute(pieces: Column, o: ChunkOptions) -> Column:
     any_of = lambda *kinds: "|".join(CLAUSE_KINDS[k].replace("(", "(?:").replace("\\(?:", "\\(") for k in kinds)
 
     def clauses(p: Column, counts: Column, start: Column, number: Column, title: Column, path: Column) -> Column:
@@ -175,7 +176,9 @@ def _statute(pieces: Column, clean: Column, o: ChunkOptions) -> Column:
     def article(pieces: Column, i: Column) -> Column:
         own = F.get(pieces, i)
         marker = F.regexp_extract(own["text"], f"(?i)^(?:{ARTICLE})", 0)
-        title = lambda m: F.regexp_extract(F.substring(clean, own["start"] + F.length(m) + 1, F.lit(200)), wide(r"[:\-]?\s*([A-Z][^\n]+)"), 1)
+        # A title is looked for in 200 characters, which a hundred pieces hold, since a marker has two at least.
+        beyond = F.array_join(F.transform(_between(pieces, i, F.least(i + 102, F.size(pieces))), lambda p: p["text"]), "")
+        title = lambda m: F.regexp_extract(F.substring(F.when(F.length(own["text"]) >= F.length(m) + 200, own["text"]).otherwise(beyond), F.length(m) + 1, F.lit(200)), wide(r"[:\-]?\s*([A-Z][^\n]+)"), 1)
         about = lambda m: F.struct(F.regexp_extract(m, wide(r"\d+"), 0).alias("number"), F.when(m.rlike("(?i)^art"), "Article").otherwise("Section").alias("kind"), title(m).alias("title"), _extended(pieces, i, lambda p: F.lit(True)).alias("text"), own["start"].alias("start"))
         return let(let(marker, about), lambda a: let(F.struct(*[F.regexp_count(a["text"], F.lit(p)).alias(k) for k, p in CLAUSE_KINDS.items()]), lambda counts: of(a, counts)))
 
@@ -204,6 +207,11 @@ def _marker_type(m: Column) -> Column:
     return F.when(m.rlike(r"^\([a-z]\)"), "letter").when(m.rlike(r"^\([ivx]+\)"), "roman").when(m.rlike(wide(r"^\(\d+\)")), "number").when(m.rlike("^[•●○]"), "bullet").otherwise("other")
 
 
+def _between(items: Column, first: Column, end: Column) -> Column:
+    """Items from ``first`` up to ``end``, at the cost of those alone; to slice an array costs all of it."""
+    return F.when(end > first, F.transform(F.sequence(first, end - 1), lambda j: F.get(items, j))).otherwise(F.slice(items, F.lit(1), F.lit(0)))
+
+
 _ITEM = "struct<marker:string,content:string,line:int>"
 _LINE = "struct<line:string,at:int,marker:string>"
 
@@ -232,7 +240,7 @@ def _blocks(lines: Column) -> Column:
         return F.filter(fold_out(heads, zero, add, begun, span, end), lambda s: s["last"] > s["first"])
 
     def block(told: Column, s: Column) -> Column:
-        body = F.slice(told, s["first"] + 1, s["last"] - s["first"])
+        body = _between(told, s["first"], s["last"])
         return let(body, lambda body: let(F.filter(F.transform(body, lambda x, i: F.when(x["marker"].isNotNull(), i)), lambda i: i.isNotNull()), lambda starts: filled(s, body, starts)))
 
     def filled(s: Column, body: Column, starts: Column) -> Column:
@@ -241,7 +249,7 @@ def _blocks(lines: Column) -> Column:
         def item(i: Column, j: Column) -> Column:
             x, after = F.get(body, i), F.coalesce(F.get(starts, j + 1), F.size(body))
             own = strip(F.substring(x["line"], F.length(x["marker"]) + 1, F.length(x["line"])))
-            more = F.transform(F.slice(body, i + 2, after - i - 1), lambda y: y["line"])
+            more = F.transform(_between(body, i + 1, after), lambda y: y["line"])
             return F.struct(x["marker"].alias("marker"), F.array_join(F.concat(F.array(own), more), " ").alias("content"), x["at"].alias("line")).cast(_ITEM)
 
         return F.struct(s["heading"].alias("heading"), F.transform(F.slice(body, F.lit(1), before), lambda x: x["line"]).alias("paragraph"), F.transform(starts, item).alias("items"), s["line"].alias("line"))
@@ -397,15 +405,21 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col(id_col), F.col("__type").alias("doc_type"), F.posexplode("__chunks").alias("ordinal", "chunk")).select(id_col, "doc_type", "ordinal", "chunk.*")
 
 
+@lru_cache(maxsize=16)
+def _chunks_of(text_col: str, layout_col: str | None, options: ChunkOptions, kinds: tuple) -> Column:
+    """The chunks by __type. Building the expression takes longer than cutting a small table, so it is kept."""
+    text, chunks = F.coalesce(F.col(text_col), F.lit("")), F.lit(None).cast(f"array<{CHUNK}>")
+    if layout_col and D.LAYOUT not in dict(kinds):
+        kinds = (*kinds, (D.LAYOUT, lambda t, o: layout_chunks(t, F.col(layout_col), o)))
+    for kind, chunker in kinds:
+        chunks = F.when(F.col("__type") == kind, chunker(text, options)).otherwise(chunks)
+    return chunks
+
+
 def with_chunks(docs: DataFrame, text_col: str, layout_col: str | None, options: ChunkOptions, detect_options: D.DetectOptions, chunkers: Chunkers | None) -> DataFrame:
     """``docs`` with __type and __chunks. One scan; a fold runs only for the documents of its kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = dict((chunkers or Chunkers()).by_type)
-    if layout_col:
-        kinds.setdefault(D.LAYOUT, lambda t, o: layout_chunks(t, F.col(layout_col), o))
-    chunks = F.lit(None).cast(f"array<{CHUNK}>")
-    for kind, chunker in kinds.items():
-        chunks = F.when(F.col("__type") == kind, chunker(text, options)).otherwise(chunks)
+    kinds = tuple((chunkers or Chunkers()).by_type.items())
+    chunks = _chunks_of(text_col, layout_col, options, kinds)
     return docs.withColumn("__type", D.kind_of(F.col(text_col), layout_col, detect_options)).withColumn("__chunks", chunks)
 
 
