@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,6 @@ RATE, UP, DOWN, TAPS = 12_000, 2, 3, 24
 FRAME, HOP, MELS, SLICES, ALIGN = 256, 128, 16, 4, 64
 #: Samples at the new rate that are worked on at a time.
 BLOCK_FRAMES = 2048
-FIELDS = "tensor array<float>, start_ms double, end_ms double"
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -129,10 +129,29 @@ def tensor_type() -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), (MELS, SLICES), dim_names=("mel", "time"))
 
 
-def as_tensors(rows: list[list[float]]) -> pa.ExtensionArray:
-    """Flat segment tensors as one fixed-shape tensor array."""
-    flat = pa.array([v for row in rows for v in row], pa.float32())
-    return pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat, MELS * SLICES))
+@cache
+def segment_schema() -> pa.Schema:
+    return pa.schema([("tensor", tensor_type()), ("start_ms", pa.float64()), ("end_ms", pa.float64())])
+
+
+def as_segments(found: list[tuple[np.ndarray, float, float]]) -> pa.RecordBatch:
+    """Segments as one batch: a fixed-shape tensor array, and the first and last millisecond of each."""
+    flat = pa.array(np.concatenate([t.ravel() for t, _, _ in found]) if found else np.empty(0, np.float32), pa.float32())
+    tensors = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat, MELS * SLICES))
+    return pa.RecordBatch.from_arrays([tensors, pa.array([a for _, a, _ in found], pa.float64()), pa.array([b for _, _, b in found], pa.float64())], schema=segment_schema())
+
+
+def to_bytes(segments_: pa.RecordBatch) -> bytes:
+    """An Arrow IPC stream, which a binary column can hold."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, segments_.schema) as out:
+        out.write_batch(segments_)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(stored: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(stored) as stream:
+        return stream.read_next_batch()
 
 
 def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,53 +159,61 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     @F.pandas_udf("media binary, n_bytes long")
     def store(texts):
-        import pandas as pd
-
         both = [padded(t) for t in texts]
         return pd.DataFrame({"media": [to_wav(p) for p, _ in both], "n_bytes": [n for _, n in both]})
 
     return docs.select(F.col(id_col), store(F.col(text_col)).alias("stored")).select(id_col, "stored.n_bytes", "stored.media")
 
 
+RESULT = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "segments": pa.binary()}
+
+
 def audio_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """``id_col``, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, segments of every row.
+    """``id_col``, n_bytes (if there), payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, segments of every row.
 
-    ``segments`` is an array of (tensor, start_ms, end_ms); tensors are flat, MELS x SLICES, and become Arrow's fixed-shape
-    type by ``as_tensors``. All is computed from the stored bytes, each row for itself, so equal media have equal values.
+    ``segments`` are the bytes of an Arrow stream (``from_bytes``): fixed-shape tensors of MELS x SLICES with their time spans. All is
+    computed from the stored bytes, each row for itself, so equal media have equal values.
 
     Edge cases: a null medium gives nulls; bytes of another format are an error. Null ids and repeated rows stay; an empty
     table gives no rows; other columns are not read.
     """
-    result = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<{FIELDS.replace(' array', ':array').replace(' double', ':double')}>>"
-    storage = pa.struct([("tensor", pa.list_(pa.float32())), ("start_ms", pa.float64()), ("end_ms", pa.float64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            rows: list[tuple] = []
             for value in batch.column("media"):
                 if not value.is_valid:
-                    row: tuple = (None,) * 6
-                else:
-                    stored = value.as_py()
-                    samples = from_wav(stored)
-                    found = [{"tensor": t.ravel(), "start_ms": a, "end_ms": b} for t, a, b in features(samples)]
-                    row = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(stored), hashlib.sha256(stored).hexdigest(), found)
-                for column, x in zip(columns, row, strict=True):
-                    column.append(x)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(storage)]
-            carried = [batch.column(n) for n in batch.schema.names if n != "media"]
-            names = [n for n in batch.schema.names if n != "media"] + [c.split()[0] for c in result.split(", segments")[0].split(", ")] + ["segments"]
-            yield pa.RecordBatch.from_arrays(carried + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    rows.append((None,) * len(RESULT))
+                    continue
+                stored = value.as_py()
+                samples = from_wav(stored)
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(stored), hashlib.sha256(stored).hexdigest(), to_bytes(as_segments(features(samples)))))
+            carried = [n for n in batch.schema.names if n != "media"]
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(RESULT.values())]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *made], [*carried, *RESULT])
 
     rest = [c for c in media.columns if c in (id_col, "n_bytes")]
     kinds = dict(media.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", " + result
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"{c} {({pa.int64(): 'long', pa.string(): 'string', pa.binary(): 'binary'})[k]}" for c, k in RESULT.items()])
     return media.select(*rest, F.col(media_col).alias("media")).mapInArrow(read, schema)
 
 
-def digest() -> Column:
-    """Readable digest of ``segments``: number, their milliseconds, and a hash of all spans and rounded mean levels."""
-    mean = lambda s: F.round(F.aggregate(s["tensor"], F.lit(0.0), lambda a, x: a + x) / (MELS * SLICES), 3)
-    each = F.transform("segments", lambda s: F.concat_ws(":", F.round(s["start_ms"], 1).cast("string"), F.round(s["end_ms"], 1).cast("string"), mean(s).cast("string")))
-    sound = F.round(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_ms"] - s["start_ms"]), 1)
-    return F.concat_ws(";", F.concat(F.lit("segments="), F.size("segments").cast("string")), F.concat(F.lit("ms="), sound.cast("string")), F.concat(F.lit("first="), F.get(each, F.lit(0))), F.md5(F.array_join(each, ";")))
+def digest(segments_: Column) -> Column:
+    """Readable digest of stored segments: their number and milliseconds, span and level of the first, and a hash of all values
+    rounded to three places. Null for null."""
+
+    @F.pandas_udf("string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            yield pd.Series([None if stored is None else describe(from_bytes(stored)) for stored in column], dtype="object")
+
+    return of(segments_)
+
+
+def describe(found: pa.RecordBatch) -> str:
+    tensors = found.column("tensor").to_numpy_ndarray()
+    spans = np.stack([found.column(c).to_numpy() for c in ("start_ms", "end_ms")], axis=1)
+    values = np.round(tensors.astype(np.float64), 3) + 0.0  # no negative zero
+    whole = hashlib.md5(values.astype("<f8").tobytes() + np.round(spans, 1).astype("<f8").tobytes()).hexdigest()
+    first = f"{spans[0, 0]:.1f}:{spans[0, 1]:.1f}:{values[0].mean():.2f}" if len(spans) else ""
+    return f"segments={len(spans)};ms={(spans[:, 1] - spans[:, 0]).sum():.1f};first={first};{whole}"
