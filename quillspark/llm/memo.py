@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -24,6 +25,11 @@ class Memo:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.checked(json.loads(self.tokenizer.to_str()))
+
+    def checked(self, definition: dict) -> None:
+        """An error unless texts come apart as ``make`` takes for granted."""
+        raise NotImplementedError
 
     def encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -50,7 +56,12 @@ class Memo:
 
 
 class SpacedCounts(Memo):
-    """Number of tokens of a space and the piece."""
+    """Number of tokens of a space and the piece, for byte-level BPE that leaves texts as they are."""
+
+    def checked(self, definition: dict) -> None:
+        pre = definition["pre_tokenizer"] or {}
+        if definition["normalizer"] or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space"):
+            raise ValueError("pieces are counted apart only for byte-level BPE with its own pattern, no normaliser and no added space")
 
     def make(self, pieces: list[str]) -> None:
         self.known.update(zip(pieces, (len(e.ids) for e in self.encode([f" {p}" for p in pieces])), strict=True))
@@ -68,6 +79,12 @@ class WordIds(Memo):
     #: Small letters of Latin-1, which normalisers leave alone, then ASCII punctuation but the apostrophe, which may begin a token.
     ENDED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
+    def checked(self, definition: dict) -> None:
+        steps = [s.get("type") for s in (definition["normalizer"] or {}).get("normalizers", [])]
+        first = ((definition["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        if "Lowercase" not in steps or (first.get("type"), first.get("behavior"), first.get("invert")) != ("Split", "Removed", True):
+            raise ValueError("words are encoded apart only for tokenizers that lower-case and drop white space")
+
     def __init__(self, path: str, limit: int = 800_000):
         super().__init__(path, limit)
         (self.mark_id,) = self.encode([self.MARK])[0].ids

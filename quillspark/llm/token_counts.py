@@ -20,6 +20,8 @@ from quillspark.llm.memo import STABLE, SpacedCounts
 
 #: Texts that a task counts at a time, in characters.
 BATCH_CHARS = 4_000_000
+#: Chunks of one text that are handed on together.
+CHUNKS = 64
 
 
 def count_many(memo: SpacedCounts, texts: list[str]) -> list[int]:
@@ -44,9 +46,10 @@ def _chunker(chunk: int, overlap: int):
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                last = max(1, -(-len(row.text) // chunk)) - 1
-                for i in range(last + 1):
-                    yield pd.DataFrame({"ident": [row.ident], "hash": [row.hash], "chars": [row.chars], "chunk": [i], "last": [i == last], "part": [row.text[i * chunk : (i + 1) * chunk + overlap]]})
+                n = max(1, -(-len(row.text) // chunk))
+                for at in range(0, n, CHUNKS):
+                    some = range(at, min(at + CHUNKS, n))
+                    yield pd.DataFrame({"ident": row.ident, "hash": row.hash, "chars": row.chars, "chunk": some, "last": [i == n - 1 for i in some], "part": [row.text[i * chunk : (i + 1) * chunk + overlap] for i in some]})
 
     return cut
 
@@ -56,18 +59,21 @@ def _encoder(path: str, chunk: int, overlap: int):
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = SpacedCounts(path).tokenizer
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                e = tokenizer.encode(row.part, add_special_tokens=False)
-                starts = [a for a, _ in e.offsets]
-                at = row.chunk * chunk
+        def zones(row) -> tuple:
+            e = tokenizer.encode(row.part, add_special_tokens=False)
+            starts, at = [a for a, _ in e.offsets], row.chunk * chunk
 
-                def zone(low: int, high: int) -> tuple[list[int], list[int]]:
-                    spots = [(s, n) for m in STABLE.finditer(row.part, low, min(high, len(row.part))) if (n := bisect_left(starts, s := m.start())) < len(starts) and starts[n] == s]
-                    return [at + s for s, _ in spots], [n for _, n in spots]
+            def zone(low: int, high: int) -> tuple[list[int], list[int]]:
+                spots = [(s, n) for m in STABLE.finditer(row.part, low, min(high, len(row.part))) if (n := bisect_left(starts, s := m.start())) < len(starts) and starts[n] == s]
+                return [at + s for s, _ in spots], [n for _, n in spots]
 
-                head, tail = zone(0, overlap) if row.chunk else ([], []), ([], []) if row.last else zone(chunk, chunk + overlap)
-                yield pd.DataFrame({"ident": [row.ident], "hash": [row.hash], "chars": [row.chars], "chunk": [row.chunk], "last": [row.last], "n": [len(e.ids)], "head_at": [head[0]], "head_n": [head[1]], "tail_at": [tail[0]], "tail_n": [tail[1]]})
+            head, tail = zone(0, overlap) if row.chunk else ([], []), ([], []) if row.last else zone(chunk, chunk + overlap)
+            return len(e.ids), *head, *tail
+
+        for frame in frames:
+            found = [zones(row) for row in frame.itertuples(index=False)]
+            columns = dict(zip(("n", "head_at", "head_n", "tail_at", "tail_n"), map(list, zip(*found, strict=True)), strict=False)) if found else {}
+            yield frame.drop(columns="part").assign(**columns)
 
     return encode
 

@@ -1,13 +1,14 @@
 """Token counts and packing against the tokenizers themselves."""
 
 import zlib
-from collections import defaultdict
+from collections import defaultdict, namedtuple
 
 import cases
 import numpy as np
 import pytest
 
-from quillspark.llm.packing import cut, pack_documents
+from quillspark.llm.memo import SpacedCounts, WordIds
+from quillspark.llm.packing import CLASSES, PADDING, Packer, cut, pack_documents
 from quillspark.llm.queries import tokenizer_path
 from quillspark.llm.token_counts import count_tokens
 
@@ -76,7 +77,37 @@ def test_packing_of_edge_rows(docs, empty):
     assert pack_documents(empty, WORD).count() == 0
 
 
-def test_cut_pieces_fill_their_class():
-    for n in (1, 63, 64, 100, 4095, 4096, 4097, 10_000):
-        parts = cut(n, 4096, 64)
-        assert sum(parts) == n and all(p < 64 or p & (p - 1) == 0 for p in parts)
+def test_cut_pieces_fit_their_class():
+    for n in (1, 63, 64, 100, 256, 257, 1000, 3000, 4000, 4095, 4096, 4097, 10_000):
+        parts = cut(n, 4096)
+        assert sum(parts) == n and all(p > 0 for p in parts)
+        large = [p for p in parts if p * CLASSES > 4096]
+        assert sum(4096 / (4096 // p) - p for p in large) <= PADDING * n + len(large)
+    assert cut(2040, 4096) == [2040] and cut(3000, 4096) == [2048, 819, 133]
+
+
+@pytest.mark.parametrize("lengths", [[3000] * 40, [17] * 3000, list(range(1, 900)), [4096, 5000, 1, 2047], [1], []])
+def test_bins_hold_what_their_class_says(lengths):
+    packer, out = Packer(4096, 7), []
+    for i, n in enumerate(lengths):
+        out += packer.add((i, n), np.full(n, i, "<u4").tobytes())
+    out += packer.finish()
+    Row = namedtuple("Row", "doc_id doc_tokens start length ids_crc32 sequence_id offset")
+    rows = [Row(*row, start, length, crc, seq, offset) for row, start, length, crc, seq, offset in out]
+    padding = check_packed(rows, {i: [i] * n for i, n in enumerate(lengths)})
+    assert padding <= PADDING * sum(lengths) + 15 * len(lengths) / 10
+    assert all(r.sequence_id >= 7 for r in rows)
+
+
+def test_only_known_kinds_of_tokenizer_are_taken():
+    with pytest.raises(ValueError, match="byte-level"):
+        SpacedCounts(WORD)
+    with pytest.raises(ValueError, match="white space"):
+        WordIds(BYTE)
+
+
+def test_texts_without_a_boundary_widen_until_whole(spark):
+    texts = ["x" * 900, "ab" * 700 + " tail of it", "one word " + "y" * 1500 + " and more words", " " * 1200 + "end"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in count_tokens(frame, BYTE, chunk_chars=256, overlap_chars=8, widen=4).collect()}
+    assert got == {i: len(encode(BYTE, t)) for i, t in enumerate(texts)}
