@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -53,10 +54,10 @@ def term_hits(url: Column, strict: tuple[str, ...] = STRICT_TERMS, soft: tuple[s
     weights = {t: "soft" for t in soft} | {t: "strict" for t in strict}
 
     @F.pandas_udf("strict int, soft int")
-    def count(urls: pd.Series) -> pd.DataFrame:
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        found = ahocorasick.Automaton()
+        found = ahocorasick.Automaton()  # once a task
         for term, kind in weights.items():
             found.add_word(term, (term, kind))
         found.make_automaton()
@@ -73,15 +74,27 @@ def term_hits(url: Column, strict: tuple[str, ...] = STRICT_TERMS, soft: tuple[s
                         soft_terms.add(term)
             return strict_hits, len(soft_terms)
 
-        return pd.DataFrame([one(u) for u in urls], columns=["strict", "soft"]).astype("int32")
+        for urls in batches:
+            yield pd.DataFrame([one(u) for u in urls], columns=["strict", "soft"]).astype("int32")
 
     return count(url)
 
 
+def vocabulary(terms: DataFrame, most: int = 1_000_000) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table (term, strict), lower-cased; a term that is both is strict. Null and empty terms are none.
+
+    A vocabulary is what every task holds, so one of over ``most`` terms is an error."""
+    known = terms.where(F.length("term") > 0).groupBy(ascii_lower(F.col("term")).alias("term")).agg(F.max("strict").alias("strict")).limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} terms")
+    return tuple(sorted(r["term"] for r in known if r["strict"])), tuple(sorted(r["term"] for r in known if not r["strict"]))
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", strict: tuple[str, ...] = STRICT_TERMS, soft: tuple[str, ...] = SOFT_TERMS, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """``id_col``, host, path, rule, verdict, strict_hits, soft_hits of every row.
 
-    The longest fitting rule decides; without one, one strict hit or ``soft_limit`` different soft terms block.
+    The longest fitting rule decides; without one, one strict hit or ``soft_limit`` different soft terms block. ``vocabulary`` reads
+    the terms of a table.
     Edge cases: a null url and one without ``://`` have empty host and path, so that no rule fits; a null url has no hits and
     is allowed. Repeated rows and null ids stay; an empty table gives no rows; other columns, whatever their names, are not read.
     """

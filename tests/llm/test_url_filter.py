@@ -1,7 +1,7 @@
 import pytest
 
 from quillspark.llm.queries import RULES
-from quillspark.llm.url_filter import judge_urls
+from quillspark.llm.url_filter import judge_urls, vocabulary
 
 CASES = [
     (None, "", "", None, "allow"), ("no scheme porn", "", "", None, "block"), ("", "", "", None, "allow"),
@@ -24,3 +24,14 @@ def test_verdicts(spark, clash):
     for i, (url, *want) in enumerate(CASES):
         assert [got[i].host, got[i].path, got[i].rule, got[i].verdict] == want, url
     assert judge_urls(df.limit(0), RULES).count() == 0
+
+
+def test_terms_of_a_table(spark):
+    terms = spark.createDataFrame([("Spam", True), ("spam", False), ("odd", False), ("fringe-y", None), ("", True), (None, True)], "term string, strict boolean")
+    strict, soft = vocabulary(terms)
+    assert (strict, soft) == (("spam",), ("fringe-y", "odd"))
+    urls = spark.createDataFrame([(1, "http://a.org/spam"), (2, "http://a.org/odd"), (3, "http://a.org/odd/fringe-y"), (4, "http://a.org/casino")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in judge_urls(urls, [], strict=strict, soft=soft).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+    with pytest.raises(ValueError, match="terms"):
+        vocabulary(terms, most=1)
