@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import audio, histogram_sort, language_id, mixing, packing, quality, simhash, token_counts, url_filter, vector_search
-from quillspark.llm.common import table
+from quillspark.llm.common import checkpointed, table, written
 
 #: Rules of ``op3_url_filter``.
 RULES = [
     url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"),
     url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/"),
 ]
-OVER = 512
-MIX = {"target_entropy": 0.95, "max_repetition": 4.0, "block_tokens": 200_000}
+#: Of ``op2_token_counts``: the limit that is reported, and from how many characters on texts go through overlapping chunks.
+OVER, CHUNK_CHARS = 512, 8192
+MIX = {"target_entropy": 0.95, "max_repetition": 4.0, "block_tokens": 200_000, "block_rows": 100_000}
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,7 +33,7 @@ def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), chunk_chars=CHUNK_CHARS)
     return counted.withColumn("over_limit", F.col("n_tokens") > OVER)
 
 
@@ -46,9 +47,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = audio.store_audio(table(spark, sf_dir, "documents"))
+    # The files are written, and what follows reads them again.
+    stored = written(audio.store_audio(table(spark, sf_dir, "documents")))
     read = audio.audio_features(stored)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", audio.digest().alias("feature"))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", audio.digest(F.col("segments")).alias("feature"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +72,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.temperature_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), **MIX)
+    # Words are counted once; of a text only its hash goes on.
+    counted = checkpointed(table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORDS)).cast("long").alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("text")))
+    mixed = mixing.temperature_mix(counted, tokens_col="tokens", **MIX)
     m = F.col("__mix")
-    return mixed.select("doc_id", "source", m["tokens"].alias("tokens"), F.round(m["weight"], 6).alias("weight"), F.round(m["repetitions"], 6).alias("repetitions"), m["copy"].alias("copy"), m["block"].alias("block"), m["order"].alias("mix_order"))
+    return mixed.select("doc_id", "source", m["tokens"].alias("tokens"), F.round(m["weight"], 6).alias("weight"), F.round(m["repetitions"], 6).alias("repetitions"), m["copy"].alias("copy"), m["block"].alias("block"), m["block_order"].alias("block_order"), m["order"].alias("mix_order"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -81,11 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _op1_sql() -> str:
     return """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+             s AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r),
+             r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20"""
 
 
@@ -118,17 +122,18 @@ def _op10_sql() -> str:
     rare = f"pow(list_min(p), {mid} - 1) / {z} > {MIX['max_repetition']}"
     return f"""
         WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
-                                    md5(coalesce(doc_id::VARCHAR, 'null') || '|mix') AS o FROM documents),
-             s AS (SELECT k, sum(tokens)::BIGINT AS t FROM d GROUP BY k),
+                                    md5(doc_id::VARCHAR || '|mix|' || md5(md5(coalesce(text, '')))) AS o FROM documents),
+             s AS (SELECT k, sum(tokens)::BIGINT AS t, count(*) AS rows FROM d GROUP BY k),
              one AS (SELECT sum(t)::DOUBLE AS total, list(t / (SELECT sum(t) FROM s)::DOUBLE ORDER BY t) FILTER (t > 0) AS p FROM s),
              {step("f", flat)}, {step("r", rare)},
              e AS (SELECT round(greatest((SELECT max(low) FROM f), (SELECT max(low) FROM r)), 9) AS a),
-             w AS (SELECT k, t, CASE WHEN t > 0 THEN pow(t / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) ELSE 0 END AS weight, t / total AS share FROM s, one, e),
-             m AS (SELECT *, CASE WHEN t > 0 THEN weight / share ELSE 0 END AS reps, greatest(ceil(t / {MIX['block_tokens']}), 1)::BIGINT AS blocks FROM w),
+             w AS (SELECT k, t, CASE WHEN t > 0 THEN pow(t / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) ELSE 0 END AS weight, t / total AS share, rows FROM s, one, e),
+             m AS (SELECT *, CASE WHEN t > 0 THEN weight / share ELSE 0 END AS reps, greatest(ceil(t / {MIX['block_tokens']}), ceil(rows / {MIX['block_rows']}), 1)::BIGINT AS blocks FROM w),
              b AS (SELECT d.*, m.t, m.weight, m.reps, ('0x' || o[1:8])::BIGINT % m.blocks AS block FROM d JOIN m USING (k)),
              c AS (SELECT *, sum(tokens) OVER (PARTITION BY k, block ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(tokens) OVER (PARTITION BY k, block) AS total FROM b),
              n AS (SELECT *, CASE WHEN t = 0 THEN 1 ELSE floor(reps + 1e-9)::BIGINT + CASE WHEN tokens > 0 AND upto - tokens / 2 < greatest(reps - floor(reps + 1e-9), 0) * total THEN 1 ELSE 0 END END AS copies FROM c)
-        SELECT doc_id, source, tokens, round(weight, 6) AS weight, round(reps, 6) AS repetitions, copy::INTEGER AS copy, block, md5(copy::VARCHAR || '|' || o) AS mix_order
+        SELECT doc_id, source, tokens, round(weight, 6) AS weight, round(reps, 6) AS repetitions, copy::INTEGER AS copy, block,
+               md5(copy::VARCHAR || '|' || block || '|mix|' || k) AS block_order, md5(copy::VARCHAR || '|' || o) AS mix_order
         FROM (SELECT *, unnest(range(copies)) AS copy FROM n)"""
 
 

@@ -1,4 +1,6 @@
+import math
 from collections import Counter, defaultdict
+from itertools import groupby
 
 from pyspark.sql import functions as F
 
@@ -91,8 +93,6 @@ def test_shard_edges(docs, empty):
 
 
 def test_mixture_meets_entropy_and_repetition(spark):
-    import math
-
     sources = spark.createDataFrame([("a", 1_000_000), ("b", 10_000), ("c", 2000), ("z", 0)], "source string, tokens long")
     flat = mixture(sources, 0.9, 1e9).collect()
     w = [r.weight for r in flat if r.weight > 0]
@@ -113,6 +113,81 @@ def test_mix_realises_the_weights(spark):
         assert max(copies.values()) <= int(mine[0].repetitions) + 1
 
 
+def plain_mix(rows, entropy, limit, budget=None):
+    """source: repetitions, by halving the exponent over a list."""
+    tokens = Counter()
+    for _, text, source in rows:
+        tokens[source] += len((text or "").split())
+    p = {s: n / sum(tokens.values()) for s, n in tokens.items() if n}
+    times = 1 if budget is None else budget / sum(tokens.values())
+    weights = lambda a: {s: x**a / sum(y**a for y in p.values()) for s, x in p.items()}
+    roots = []
+    for holds in (lambda w: -sum(x * math.log(x) for x in w.values()) >= entropy * math.log(len(p)), lambda w: max(w[s] / p[s] for s in p) * times > limit):
+        low, high = 0.0, 1.0
+        for _ in range(49):
+            low, high = ((low + high) / 2, high) if holds(weights((low + high) / 2)) else (low, (low + high) / 2)
+        roots.append(low)
+    w = weights(round(max(roots), 9))
+    return {s: w[s] / p[s] * times for s in p}
+
+
+@pytest.mark.parametrize("budget", [None, 90_000])
+def test_mix_equals_a_plain_one(spark, budget):
+    data = [(i, "w " * (i % 37), "big" if i % 10 else ("small", "tiny")[i % 4 == 0]) for i in range(3000)]
+    rows = temperature_mix(spark.createDataFrame(data, "doc_id long, text string, source string"), 0.8, 3.0, block_tokens=3000, budget_tokens=budget).select("doc_id", "source", "__mix.*").collect()
+    want = plain_mix(data, 0.8, 3.0, budget)
+    copies, texts = Counter(r.doc_id for r in rows), {i: t for i, t, _ in data}
+    for source, times in want.items():
+        mine = [i for i, _, s in data if s == source]
+        whole = math.floor(times + 1e-9)
+        assert all(copies[i] in ((whole, whole + 1) if texts[i] else (whole,)) for i in mine)
+        blocks = {r.doc_id: r.block for r in rows if r.source == source}
+        total, taken, largest = Counter(), Counter(), 0
+        for i in mine:
+            n = len(texts[i].split())
+            largest = max(largest, n)
+            if i in blocks:
+                total[blocks[i]] += n
+                taken[blocks[i]] += n * (copies[i] - whole)
+        if whole:  # every document is there, so a block's tokens are known
+            assert all(abs(taken[b] - (times - whole) * total[b]) <= largest for b in total)
+        assert next(r.repetitions for r in rows if r.source == source) == pytest.approx(times, rel=1e-6)
+    got = sum(len(texts[r.doc_id].split()) for r in rows)
+    every = sum(len(t.split()) for t in texts.values())
+    assert abs(got - (budget or every)) <= 0.03 * every
+
+
+def test_mix_is_a_permutation_of_blocks(spark):
+    data = [(i, "w " * 50, "big" if i % 10 else "small") for i in range(2000)]
+    mixed = temperature_mix(spark.createDataFrame(data, "doc_id long, text string, source string"), 1.0, 20.0, block_tokens=2000)
+    rows = sorted(mixed.select("doc_id", "source", "__mix.*").collect(), key=lambda r: (r.block_order, r.order))
+    groups = [k for k, _ in groupby((r.source, r.copy, r.block) for r in rows)]
+    assert len(groups) == len(set(groups)) > 20  # a copy of a block is one run
+    places = defaultdict(list)
+    for i, (source, *_) in enumerate(groups):
+        places[source].append(i / len(groups))
+    assert all(0.3 < sum(x) / len(x) < 0.7 for x in places.values())  # sources are spread over the whole order
+    at = defaultdict(list)
+    for i, r in enumerate(rows):
+        at[r.doc_id].append(i)
+    repeated = [b - a for x in at.values() for a, b in zip(x, x[1:], strict=False)]
+    assert repeated and min(repeated) > 1  # copies of a document are in blocks apart
+
+
+def test_mix_sums_any_number_of_sources(spark):
+    sources = spark.range(5000).select(F.col("id").cast("string").alias("source"), (F.col("id") % 97 * F.col("id")).alias("tokens"))
+    found = mixture(sources, 0.97, 50.0).collect()
+    w = [r.weight for r in found if r.weight > 0]
+    assert abs(sum(w) - 1) < 1e-9 and abs(-sum(x * math.log(x) for x in w) / math.log(len(w)) - 0.97) < 1e-6
+
+
+def test_rows_without_ids_or_texts_are_many_blocks(spark):
+    frame = spark.range(3000, numPartitions=5).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("s").alias("source"))
+    out = temperature_mix(frame, block_rows=100)
+    sizes = [r["count"] for r in out.groupBy("__mix.block").count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) < 160
+
+
 def test_mix_edges(docs, empty):
     out = temperature_mix(docs)
     assert out.columns == [*docs.columns, "__mix"] and temperature_mix(empty).count() == 0
