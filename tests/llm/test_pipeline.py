@@ -1,13 +1,92 @@
+import math
 import random
+from collections import Counter
 
 import cases
 import corpus_pipeline
 import pytest
+import test_models
+import test_shards_mix
+import test_tokens
+from pyspark.sql import functions as F
 
+from quillspark.llm import language_id, near_copies, quality
 
-def test_run_gives_packed_pieces(spark, sf_dir):
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and "sequence_id" in out.columns
+
+def test_run_equals_plain_stages(spark, sf_dir):
+    """Each stage's rows against loops over what it was given, and the end of ``run`` against the last."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages, given = dict(corpus_pipeline.STAGES), docs.collect()
+    ids = lambda rows: sorted(r.doc_id for r in rows)
+
+    kept = stages["language_id"](spark, docs, sf_dir).collect()
+    found = language_id.predict(language_id.fit(docs), [r.text for r in given])
+    letters = [any(c.isalpha() for c in r.text or "") for r in given]
+    assert ids(kept) == sorted(r.doc_id for r, ok, score in zip(given, letters, found["score"], strict=True) if ok and score >= corpus_pipeline.LANGUAGE_SCORE)
+
+    docs, given = spark.createDataFrame(kept, docs.schema), kept
+    kept = stages["quality"](spark, docs, sf_dir).collect()
+    evidence = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    p = {r.doc_id: round(evidence.good(r.text), 9) for r in given}
+    path_means = test_models.plain_posteriors([(r.doc_id, r.source, r.lang, p[r.doc_id]) for r in given])
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    assert ids(kept) == sorted(i for i in p if odds(p[i]) - odds(evidence.prior) + odds(path_means[i][1]) >= 0)
+
+    docs, given = spark.createDataFrame(kept, docs.schema), kept
+    kept = stages["near_dedup"](spark, docs, sf_dir).collect()
+    sets = {r.doc_id: set(near_copies.shingles(r.text, 5).tolist()) for r in given}
+    top = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and top[a] != top[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top[a], top[b]))
+                top = {i: x if t == y else t for i, t in top.items()}
+    assert ids(kept) == sorted(set(top.values()))
+
+    docs, given = spark.createDataFrame(kept, docs.schema), kept
+    kept = stages["mixing"](spark, docs, sf_dir).collect()
+    times = test_shards_mix.plain_mix([(r.doc_id, r.text, r.source) for r in given], corpus_pipeline.MIX["target_entropy"], corpus_pipeline.MIX["max_repetition"])
+    copies = Counter(r.doc_id for r in kept)
+    assert all(math.floor(times[r.source] + 1e-9) <= copies[r.doc_id] <= math.floor(times[r.source] + 1e-9) + 1 for r in given) and set(copies) <= {r.doc_id for r in given}
+
+    docs = spark.createDataFrame(kept, docs.schema)
+    texts = {r.doc_id: r.text for r in kept}
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset")
+    pieces = Counter(tuple(r[c] for c in columns[:5]) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    tokens = Counter()
+    for (i, _, length, _, _), n in pieces.items():
+        tokens[i] += length * n
+    assert tokens == Counter({i: n * (len(test_tokens.encode(test_tokens.WORD, texts[i])) + 1) for i, n in copies.items()})
+    assert stages["packing"](spark, docs, sf_dir).count() > 0
+
+
+def test_a_mix_is_packed_in_its_order(spark, sf_dir, docs):
+    rows = [(i, "w " * 400, None, "big" if i % 10 else "small", *[None] * 5) for i in range(1500)]
+    kept = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, docs.schema), sf_dir).withColumn("p", F.spark_partition_id()).collect()
+    at, repeats = {}, 0
+    for i, r in enumerate(kept):
+        if r.doc_id in at:
+            repeats += 1
+            assert i - at[r.doc_id] > 1  # not side by side
+        at[r.doc_id] = i
+    assert repeats
+
+
+def test_columns_of_stages_may_clash(spark, sf_dir, docs):
+    odd = docs.select("*", F.lit(1).alias("__found"), F.lit("x").alias("__key"), F.lit(2).alias("component"), F.lit(3).alias("node"))
+    for name in ("language_id", "near_dedup", "mixing"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, odd, sf_dir).columns == odd.columns
+
+
+def test_texts_with_too_many_words_of_their_own_are_not_compared(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)] + [" ".join(w if (i * 7 + j) % 10 else f"own{i}x{j}" for j, w in enumerate(base)) for i in range(30)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = frame.select("doc_id", near_copies._shingles(5)("text").alias("set")).select(F.col("doc_id").cast("string").cast("binary").alias("node"), "set")
+    member = sets.select(F.lit(1).cast("long").alias("bucket"), "node")
+    left = near_copies._possible(member, sets, 0.8).collect()
+    assert {bytes(r.node) for r in left} <= {b"0"}
+    assert near_copies.near_copies(frame).where("keep").count() == 31
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
