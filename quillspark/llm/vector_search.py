@@ -66,7 +66,7 @@ def _read(asks: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def exact_top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    bits: int = 6, integral: bool = False, query_block: int = 4096, row_block: int = 4096,
+    bits: int = 7, integral: bool = False, query_block: int = 4096, row_block: int = 4096,
 ) -> DataFrame:
     """The ``k`` largest inner products of each query row with all other rows: query_id, rank (from 1), ``id_col``, score.
 
