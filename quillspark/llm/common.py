@@ -46,9 +46,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder at which nothing is yet."""
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4()}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: for wide tables, of which later steps read some columns."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4()}"
+    path = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

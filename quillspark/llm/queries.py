@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import audio, histogram_sort, language_id, mixing, packing, quality, simhash, token_counts, url_filter, vector_search
-from quillspark.llm.common import checkpointed, table, written
+from quillspark.llm import audio, histogram_sort, huffman, language_id, mixing, packing, quality, simhash, token_counts, url_filter, vector_search, whitening
+from quillspark.llm.common import checkpointed, new_folder, table, written
 
 #: Rules of ``op3_url_filter``.
 RULES = [
@@ -79,8 +79,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", m["tokens"].alias("tokens"), F.round(m["weight"], 6).alias("weight"), F.round(m["repetitions"], 6).alias("repetitions"), m["copy"].alias("copy"), m["block"].alias("block"), m["block_order"].alias("block_order"), m["order"].alias("mix_order"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, scale=64, shift=1_000_000)
+    each = white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    huffman.write_ids(written(huffman.token_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))), folder)
+    return huffman.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vector_search, op2_token_counts, op3_url_filter, op4_language_id, op5_audio_features, op6_quality, op7_histogram_sort, op8_harmonic_packing, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_vector_search, op2_token_counts, op3_url_filter, op4_language_id, op5_audio_features, op6_quality, op7_histogram_sort, op8_harmonic_packing, op9_simhash, op10_mixing, op11_whitening, op12_token_files)}
 
 
 def _op1_sql() -> str:
