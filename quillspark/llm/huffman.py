@@ -11,106 +11,153 @@ both, so what a lost executor has half written is never read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
-from quillspark.llm.memo import STABLE, SpacedCounts
+from quillspark.llm.memo import SpacedCounts
 
-#: Ids of a block; ids after which a file ends with its document; characters that a task encodes at a time; texts of pieces encoded at once.
-BLOCK, FILE_IDS, BATCH_CHARS, TOGETHER = 512, 1 << 20, 2_000_000, 256
+#: Ids of a block; ids after which a file ends with its document; characters that a task encodes at a time; pieces encoded at once.
+BLOCK, FILE_IDS, BATCH_CHARS, TOGETHER = 512, 1 << 20, 24_000_000, 256
 #: First bytes of a file, and its header: documents, ids, bits.
 MAGIC, HEADER = b"QSHUFF1\n", np.dtype([("docs", "<u8"), ("ids", "<u8"), ("bits", "<u8")])
-#: White space other than a space and a new line, and pairs of those: texts without any come apart at each of the two.
-_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Of texts that don't come apart at each space and new line: runs of white space, white space at the end, and other kinds of it.
+ODD = r"[ \n][ \n]|[ \n]$|[" + "".join(rf"\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
+#: What stands before the first piece of a text, and the piece that ends it; no other piece begins with two new lines.
+FIRST, LAST = "\n\n", "\n\n\n"
 
 
 class SpacedIds(SpacedCounts):
-    """Ids, as little-endian 32-bit bytes, of pieces: those that begin with a new line as they are, all others after a space.
+    """Ids of texts by their pieces, which are kept, as Arrow arrays, for pieces that come again: those that begin with a new line as
+    they are, a text's first without what marks it, all others after a space.
 
     A space or new line before a character that isn't white space begins a token whatever stands before it, and a new line is a
-    token of its own there. So pieces without any are encoded many at a time, with new lines between them."""
+    token of its own there. So pieces are encoded many at a time, with new lines between them. Punctuation after letters is encoded
+    apart from them, so that a word is encoded once with all its endings."""
 
-    #: Letters of Latin-1, and ASCII punctuation after them, which is a token or tokens of its own; an apostrophe may belong to either.
-    ENDED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+    #: Letters of Latin-1, and ASCII punctuation after them; an apostrophe may belong to either.
+    ENDED = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, width: int = 4, end_id: int | None = None, limit: int = 2_000_000):
         super().__init__(path, limit)
-        self.tails: dict[str, bytes] = {}
+        self.kind = np.dtype(f"<u{width}")
+        if max(self.tokenizer.get_vocab_size(), end_id or 0) > 1 << 8 * width:
+            raise ValueError(f"ids don't fit into {width} bytes")
         (self.newline,) = self.encode(["\n"])[0].ids
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """What comes before the first boundary, then the pieces."""
-        if not text or text[-1] in " \n" or any(c in text for c in _OTHER) or any(r in text for r in _RUNS):
-            return STABLE.split(text)
-        return text.replace("\n", " \n").split(" ")
-
-    def _together(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of each piece after ``lead``, for pieces that hold no new line and don't end in white space."""
-        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
-        out: list[bytes] = []
-        for e in self.encode([lead + f"\n{lead}".join(g) for g in groups]):
-            ids = np.array(e.ids, "<u4")
-            ends = (np.append(np.flatnonzero(ids == self.newline), len(ids)) * ids.itemsize).tolist()
-            raw, starts = ids.tobytes(), [0, *(e + ids.itemsize for e in ends)]
-            out.extend([raw[a:b] for a, b in zip(starts, ends, strict=False)])
-        return out
-
-    def make(self, pieces: list[str]) -> None:
-        known, tails = self.known, self.tails
-        parts = [(p, m[1], m[2]) for p in pieces if (m := self.ENDED.fullmatch(p))]
-        whole = set(pieces).difference([p for p, *_ in parts]).union([stem for _, stem, _ in parts]).difference(known)
-        odd = [p for p in whole if not p.strip() or "\n" in p[1:] or p[-1].isspace() or (p[0] == "\n" and p[1].isspace())]
-        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(odd, self.encode([p if p[:1] == "\n" else f" {p}" for p in odd]), strict=True))
-        plain = whole.difference(odd)
-        spaced, first = [p for p in plain if p[0] != "\n"], [p for p in plain if p[0] == "\n"]
-        known.update(zip(spaced, self._together(spaced, " "), strict=True))
-        line = np.array([self.newline], "<u4").tobytes()
-        known.update(zip(first, [line + ids for ids in self._together([p[1:] for p in first], "")], strict=True))
-        new = list({tail for *_, tail in parts}.difference(tails))
-        tails.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(new, self.encode(new), strict=True))
-        known.update([(p, known[stem] + tails[tail]) for p, stem, tail in parts])
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """All ids of each text."""
-        split = [self.split(t) for t in texts]
-        firsts = self.encode([pieces.pop(0) for pieces in split])
-        return [b"".join((np.array(first.ids, "<u4").tobytes(), *ids)) for first, ids in zip(firsts, self.values(split), strict=True)]
+        self.end, self.special = [] if end_id is None else [end_id], [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.ids = pa.array([], pa.string()), self.lists([])
+
+    def lists(self, ids: list[list[int]]) -> pa.ListArray:
+        return pa.array(ids, pa.list_(pa.from_numpy_dtype(self.kind)))
+
+    def each(self, words: list[str]) -> pa.ListArray:
+        """Ids of each word, that has a space before it or none, no other white space, and isn't empty."""
+        out, alone = [], {w for w in words if any(s in w for s in self.special)}
+        plain = [w for w in words if w not in alone] if alone else words
+        for e in self.encode(["\n".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]):
+            out += [np.array(e.ids, self.kind), np.array([self.newline], self.kind)]
+        ids = np.concatenate(out[:-1]) if out else np.empty(0, self.kind)
+        (cuts,) = np.nonzero(ids == self.newline)
+        ends = np.append(cuts, len(ids)) - np.arange(len(cuts) + 1)
+        made = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)) if plain else [0], pa.int32()), pa.array(ids[ids != self.newline]))
+        if not alone:
+            return made
+        rest = list(alone)
+        at = {w: i for i, w in enumerate([*plain, *rest])}
+        return pa.concat_arrays([made, self.lists([e.ids for e in self.encode(rest)])]).take(pa.array([at[w] for w in words]))
+
+    def made(self, pieces: pa.StringArray) -> pa.ListArray:
+        """Ids of pieces that come from ``of``."""
+        first = pc.starts_with(pieces, FIRST)
+        line = pc.and_not(pc.starts_with(pieces, "\n"), first)
+        body = pc.replace_substring_regex(pieces, r"^\n+", "")
+        ended = pc.extract_regex(body, self.ENDED)
+        told = lambda name, other: pc.if_else(pc.is_valid(ended), pc.struct_field(ended, name), other)
+        word = pc.binary_join_element_wise(pc.if_else(pc.or_(first, line), "", " "), told("stem", body), "").dictionary_encode()
+        tail = told("tail", "").dictionary_encode()
+        words, tails = word.dictionary.to_pylist(), tail.dictionary.to_pylist()
+        # Lists of all words, of all tails, and of nothing, a new line and the end.
+        full = [w for w in words if w]
+        pool = [self.each(full), self.lists([e.ids for e in self.encode(tails)]), self.lists([[], [self.newline], self.end])]
+        empty = len(full) + len(tails)
+        place = np.full(len(words), empty)
+        place[[i for i, w in enumerate(words) if w]] = np.arange(len(full))
+        lead = np.where(line.to_numpy(zero_copy_only=False), empty + 1, np.where(pc.equal(pieces, LAST).to_numpy(zero_copy_only=False), empty + 2, empty))
+        index = np.stack((lead, place[word.indices.to_numpy()], len(full) + tail.indices.to_numpy()), axis=1)
+        taken = pa.concat_arrays(pool).take(pa.array(index.ravel()))
+        return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[::3]), taken.values)
+
+    def places(self, pieces: pa.StringArray) -> np.ndarray:
+        """Where each piece stands among those known; new ones are added. ``limit`` bounds what is kept, not what is encoded."""
+        found = pc.index_in(pieces, value_set=self.pieces)
+        if not found.null_count:
+            return found.to_numpy()
+        if len(self.pieces) and len(self.pieces) + found.null_count > self.limit:
+            self.forget()
+            return self.places(pieces)
+        new, known = pieces.filter(pc.is_null(found)), len(self.pieces)
+        self.pieces, self.ids = pa.concat_arrays([self.pieces, new]), pa.concat_arrays([self.ids, self.made(new)])
+        missing = pc.is_null(found).to_numpy(zero_copy_only=False)
+        return np.where(missing, known + np.cumsum(missing) - 1, pc.fill_null(found, 0).to_numpy())
+
+    def of(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """All ids of each text, little-endian, and the end's."""
+        odd = pc.match_substring_regex(texts, ODD)
+        if odd.true_count:
+            apart = [np.array([*e.ids, *self.end], self.kind).tobytes() for e in self.encode(texts.filter(odd).to_pylist())]
+            rest, is_odd = self.of(texts.filter(pc.invert(odd))), odd.to_numpy(zero_copy_only=False)
+            where = np.where(is_odd, np.cumsum(is_odd) - 1 + len(rest), np.cumsum(~is_odd) - 1)
+            return pa.concat_arrays([rest, pa.array(apart, pa.binary())]).take(pa.array(where))
+        marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), f" {LAST}", "")
+        pieces = pc.split_pattern(marked, " ")
+        told = pieces.flatten().dictionary_encode()
+        places = self.places(told.dictionary)[told.indices.to_numpy()]
+        each = self.ids.take(pa.array(places))
+        at = each.offsets.to_numpy()[pieces.offsets.to_numpy()] * self.kind.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(each.values.to_numpy())])
 
 
 @lru_cache(maxsize=1)
-def spaced_ids(path: str) -> SpacedIds:
+def spaced_ids(path: str, width: int, end_id: int | None) -> SpacedIds:
     """One memo for all tasks that a Python worker runs."""
-    return SpacedIds(path)
+    return SpacedIds(path, width, end_id)
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ids (little-endian 32-bit, ``end_id`` last) of every text; a null text is an empty one."""
-    kind, end = dict(docs.dtypes)[id_col], b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ids (little-endian, ``width`` bytes each, ``end_id`` last) of every text; a null text is an empty one."""
+    kind = dict(docs.dtypes)[id_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = spaced_ids(tokenizer_path)
+        memo = spaced_ids(tokenizer_path, width, end_id)
         for b in batches:
             groups = np.cumsum(b.column("size").to_numpy()) // BATCH_CHARS
             cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), b.num_rows]
             for at, to in zip(cuts, cuts[1:], strict=False):
                 some = b.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([ids + end for ids in memo.of(some.column("text").to_pylist())], pa.binary())], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column("id"), memo.of(some.column("text"))], ["id", "ids"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.length(text).cast("long").alias("size"))
     return rows.mapInArrow(encode, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
+def _joined(column: pa.BinaryArray, kind: np.dtype) -> np.ndarray:
+    """The ids of all rows, one after the other."""
+    if not len(column):
+        return np.empty(0, kind)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind)
+
+
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Bits of each symbol's code, ``limit`` at most, with the least total: package-merge over positive counts."""
     n = len(counts)
@@ -184,10 +231,10 @@ class Codebook:
         return out.T.ravel()[:n]
 
 
-def to_file(book: Codebook, documents: list[bytes]) -> bytes:
-    ids = np.frombuffer(b"".join(documents), "<u4")
+def to_file(book: Codebook, documents: list[bytes], width: int = 4) -> bytes:
+    ids = np.frombuffer(b"".join(documents), f"<u{width}")
     bits, blocks, total = book.encode(ids)
-    lengths = np.array([len(d) // 4 for d in documents], "<u8")
+    lengths = np.array([len(d) // width for d in documents], "<u8")
     return b"".join((MAGIC, np.array([(len(documents), len(ids), total)], HEADER).tobytes(), lengths.tobytes(), blocks.astype("<u8").tobytes(), bits))
 
 
@@ -202,16 +249,16 @@ def from_file(book: Codebook, file: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, book.decode(file[at + 8 * docs + blocks.nbytes :], blocks, n)
 
 
-def fit(tokens: DataFrame, max_bits: int = 16, ids_col: str = "ids") -> Codebook:
+def fit(tokens: DataFrame, width: int = 4, max_bits: int = 16, ids_col: str = "ids") -> Codebook:
     """Codes by the counts of all ids; of them one number for each id of the vocabulary comes to the driver."""
+    kind_ = np.dtype(f"<u{width}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                new = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
-                new[: len(total)] += total
-                total = new
+            new = np.bincount(_joined(b.column(0), kind_), minlength=len(total))
+            new[: len(total)] += total
+            total = new
         (there,) = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there])], ["id", "n"])
 
@@ -219,10 +266,13 @@ def fit(tokens: DataFrame, max_bits: int = 16, ids_col: str = "ids") -> Codebook
     return Codebook.of_counts(np.array([r["id"] for r in found], np.uint32), np.array([r["n"] for r in found], np.int64), max_bits)
 
 
-def write_ids(tokens: DataFrame, path: str, max_bits: int = 16, id_col: str = "doc_id", ids_col: str = "ids") -> None:
-    """Writes a folder of files of ``tokens`` (``id_col`` and ids, little-endian 32-bit) in ascending ``id_col``, null first; equal ids
-    of documents stand by a hash of theirs. ``tokens`` is read three times, so it should be a table."""
-    kind, book = dict(tokens.dtypes)[id_col], fit(tokens, max_bits, ids_col)
+def write_ids(tokens: DataFrame, path: str, width: int = 4, max_bits: int = 16, id_col: str = "doc_id", ids_col: str = "ids") -> None:
+    """Writes a folder of files of ``tokens`` (``id_col`` and ids, little-endian, ``width`` bytes each) in ascending ``id_col``, null
+    first; documents of one id stand by a hash of their ids. ``tokens`` is read three times, so it should be a table.
+
+    Edge cases: a document without ids has none in its file, too, and comes back. Repeated rows stay. An empty table makes a folder
+    that has no documents. Null ids of tokens aren't allowed; other columns are not written."""
+    kind, book = dict(tokens.dtypes)[id_col], fit(tokens, width, max_bits, ids_col)
     tokens.sparkSession.createDataFrame([(bytearray(book.ids.astype("<u4").tobytes()), bytearray(book.lengths.tobytes()))], "ids binary, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     hash_ = F.xxhash64(ids_col)
     ordered = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), hash_.alias("hash")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash")
@@ -232,12 +282,12 @@ def write_ids(tokens: DataFrame, path: str, max_bits: int = 16, id_col: str = "d
 
         def closed() -> pa.RecordBatch:
             whole = [pa.array([v], t) for v, t in ((part, pa.int32()), (number, pa.int32()), (before, pa.int64()), (size, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*whole, pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays([i for i, _ in held])), pa.array([to_file(book, [d for _, d in held])], pa.binary())], ["part", "number", "before", "n", "documents", "file"])
+            return pa.RecordBatch.from_arrays([*whole, pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays([i for i, _ in held])), pa.array([to_file(book, [d for _, d in held], width)], pa.binary())], ["part", "number", "before", "n", "documents", "file"])
 
         for b in batches:
             for i, ids in enumerate(b.column("ids").to_pylist()):
                 held.append((b.column("id").slice(i, 1), ids))
-                size += len(ids) // 4
+                size += len(ids) // width
                 if size >= FILE_IDS:
                     yield closed()
                     before, held, size, number = before + size, [], 0, number + 1
@@ -253,7 +303,7 @@ def read_codebook(spark: SparkSession, path: str) -> Codebook:
 
 
 def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, start (ids of all documents before it), n_tokens and ids of every document in a folder of files."""
+    """``id_col``, start (ids of all documents before it), n_tokens and ids (little-endian 32-bit) of every document in a folder of files."""
     stored, book = spark.read.parquet(f"{path}/files"), read_codebook(spark, path)
     kind = dict(stored.dtypes)["documents"][6:-1]
     # One number for each task that wrote.

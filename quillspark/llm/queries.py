@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import audio, histogram_sort, huffman, language_id, mixing, packing, quality, simhash, token_counts, url_filter, vector_search, whitening
+from quillspark.llm import audio, histogram_sort, huffman, language_id, mixing, packing, phrases, quality, simhash, token_counts, url_filter, vector_search, whitening
 from quillspark.llm.common import checkpointed, new_folder, table, written
 
 #: Rules of ``op3_url_filter``.
@@ -87,12 +87,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)
-    huffman.write_ids(written(huffman.token_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))), folder)
+    huffman.write_ids(written(huffman.token_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, width=2)), folder, width=2)
     return huffman.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), top=2000, most_words=4, least=30, cover_percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vector_search, op2_token_counts, op3_url_filter, op4_language_id, op5_audio_features, op6_quality, op7_histogram_sort, op8_harmonic_packing, op9_simhash, op10_mixing, op11_whitening, op12_token_files)}
+    return {f.__name__: f for f in (op1_vector_search, op2_token_counts, op3_url_filter, op4_language_id, op5_audio_features, op6_quality, op7_histogram_sort, op8_harmonic_packing, op9_simhash, op10_mixing, op11_whitening, op12_token_files, op13_phrases)}
 
 
 def _op1_sql() -> str:
@@ -149,5 +153,25 @@ def _op10_sql() -> str:
         FROM (SELECT *, unnest(range(copies)) AS copy FROM n)"""
 
 
+def _op13_sql() -> str:
+    return r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+             p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+             w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+             g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) AS ks(k)),
+             f AS MATERIALIZED (SELECT lang, k AS words, phrase, count(*)::BIGINT AS f FROM g GROUP BY ALL),
+             t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+             often AS MATERIALIZED (SELECT * FROM f WHERE f >= 30),
+             c AS MATERIALIZED (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE words > 1),
+             u AS MATERIALIZED (SELECT lang, words, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:words], ' ') AS tail FROM c, range(1, 4) AS ks(k) WHERE k < words),
+             x AS MATERIALIZED (SELECT u.lang, u.words, u.phrase, a, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f::HUGEINT + r.f))::BIGINT AS score, k
+                   FROM u JOIN often l ON l.lang = u.lang AND l.phrase = head JOIN often r ON r.lang = u.lang AND r.phrase = tail),
+             s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             i AS (SELECT lang, a, array_to_string(w[b:b + size - 1], ' ') AS phrase FROM c, range(2, 4) AS sizes(size), range(1, 4) AS firsts(b) WHERE size < words AND b + size - 1 <= words),
+             h AS (SELECT lang, phrase, max(a) AS held FROM i GROUP BY ALL),
+             k AS (SELECT s.* FROM s LEFT JOIN h USING (lang, phrase) WHERE h.held IS NULL OR 100 * h.held < 80 * s.a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) JOIN t USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_search": _op1_sql(), "op3_url_filter": _op3_sql(), "op10_mixing": _op10_sql()}
+    return {"op1_vector_search": _op1_sql(), "op3_url_filter": _op3_sql(), "op10_mixing": _op10_sql(), "op13_phrases": _op13_sql()}

@@ -6,6 +6,7 @@ import zlib
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,13 +88,21 @@ ODD = ["", "\n", "a\n", " a", "a  b\n\n c\td", "a　 b\n\x85c <|endoftext|> x\n<
 
 def test_ids_of_pieces_are_ids_of_texts(memo):
     for text in ODD:
-        assert np.frombuffer(memo.of([text])[0], "<u4").tolist() == encode(memo, text), text
+        assert np.frombuffer(memo.of(pa.array([text]))[0].as_py(), "<u4").tolist() == encode(memo, text), text
 
 
 @settings(deadline=None, max_examples=150)
-@given(st.text(st.sampled_from("ab'sZé1 .,\n\t　<|>-"), max_size=40))
+@given(st.lists(st.sampled_from([*"ab'sZé1    .,\n\n\t　<|>-", "word", "<|endoftext|>"]), max_size=40).map("".join))
 def test_ids_of_any_text(memo, text):
-    assert np.frombuffer(memo.of([text])[0], "<u4").tolist() == encode(memo, text)
+    assert np.frombuffer(memo.of(pa.array([text]))[0].as_py(), "<u4").tolist() == encode(memo, text)
+
+
+def test_odd_texts_keep_their_place():
+    memo = huffman.SpacedIds(queries.tokenizer_path("byte_bpe_50k.json"), 2, 7)
+    texts = [t for x in zip(ODD, ["plain text, of words.", "x", "two\nlines"] * 9, strict=False) for t in x]
+    assert [np.frombuffer(i, "<u2").tolist() for i in memo.of(pa.array(texts)).to_pylist()] == [[*encode(memo, t), 7] for t in texts]
+    with pytest.raises(ValueError):
+        huffman.SpacedIds(queries.tokenizer_path("byte_bpe_50k.json"), 1)
 
 
 def test_query_equals_the_tokenizer(spark, sf_dir, memo):
