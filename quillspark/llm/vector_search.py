@@ -26,6 +26,18 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
+def cells(low: float, high: float, bits: int, integral: bool) -> tuple[float, float]:
+    """Width of a cell for components from ``low`` to ``high``, and how far its middle is from its ends.
+
+    A cell of whole numbers has so many of them, whose middle is half of one less away from the first. It has two at least: cells of
+    one number each would be the vectors themselves, and scanning them a search without an index."""
+    if integral:
+        width = float(max(2, math.ceil((high - low + 1) / 2**bits)))
+        return width, (width - 1) / 2
+    width = (high - low) / 2**bits or 1.0
+    return width, width / 2
+
+
 def _candidates(queries: pd.DataFrame, block: pd.DataFrame, k: int, low: float, width: float, half: float) -> pd.DataFrame:
     """(q, row, near, reach) that the block's own bounds can't rule out; scores lie within half of ``reach`` of ``near``."""
     block = block.sort_values(["id", "row"], kind="stable")
@@ -66,7 +78,7 @@ def _read(asks: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def exact_top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    bits: int = 7, integral: bool = False, query_block: int = 4096, row_block: int = 4096,
+    bits: int = 6, integral: bool = False, query_block: int = 4096, row_block: int = 4096,
 ) -> DataFrame:
     """The ``k`` largest inner products of each query row with all other rows: query_id, rank (from 1), ``id_col``, score.
 
@@ -84,16 +96,13 @@ def exact_top_k(
     rows = written(rows.where(F.col("id").isNotNull() & _valid(F.col("vector"))).withColumn("row", F.monotonically_increasing_id()))
     low, high, n, asked = rows.agg(F.min(F.array_min("vector")), F.max(F.array_max("vector")), F.count("*"), F.count_if("asks")).first()
     low, high = (0.0, 0.0) if low is None else (low, high)
-    # A cell of whole numbers has so many of them, whose middle is half of one less away from the first.
-    width = float(math.ceil((high - low + 1) / 2**bits)) if integral else (high - low) / 2**bits or 1.0
-    half = (width - 1) / 2 if integral else width / 2
+    width, half = cells(low, high, bits, integral)
     row_blocks, query_blocks = max(1, math.ceil(n / row_block)), max(1, math.ceil(asked / query_block))
     cell = lambda x: F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(2**bits - 1)).cast("tinyint")
     deal = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("row_block")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dim, key = F.size("vector").alias("dim"), ["dim", "row_block", "query_block"]
-    cells = F.transform("vector", cell).alias("cells")
-    scanned = rows.select("row", "id", cells, F.xxhash64("vector", F.transform("vector", cell)).alias("alike"), dim, deal(row_blocks), every(query_blocks).alias("query_block"))
+    scanned = rows.select("row", "id", F.transform("vector", cell).alias("cells"), F.xxhash64("vector", F.transform("vector", cell)).alias("alike"), dim, deal(row_blocks), every(query_blocks).alias("query_block"))
     queries = rows.where("asks").select(F.col("row").alias("q"), F.col("id").alias("query_id"), "vector", dim)
     asking = queries.select(F.col("q").alias("row"), "vector", "dim", F.pmod(F.xxhash64("q", F.lit(2)), F.lit(query_blocks)).cast("int").alias("query_block"), every(row_blocks).alias("row_block"))
 

@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -40,17 +42,25 @@ def test_a_third_of_all_vectors_alike(spark, bits):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
 
 
+def test_cells_are_wider_than_a_component():
+    default = inspect.signature(exact_top_k).parameters["bits"].default
+    for low, high in ((-32.0, 34.0), (-30.0, 30.0), (0.0, 1.0)):
+        width, half = vector_search.cells(low, high, default, True)
+        assert width >= 2 and half == (width - 1) / 2 and (high - low) / width < 2**default
+
+
 def test_bounds_leave_few_to_read():
     rng = np.random.default_rng(9)
     x = np.floor(64 * rng.normal(size=(2000, 64)) / 8)
-    low, width = x.min(), float(np.ceil((x.max() - x.min() + 1) / 16))
+    low = x.min()
+    width, half = vector_search.cells(low, x.max(), inspect.signature(exact_top_k).parameters["bits"].default, True)  # as the query has them
     block = pd.DataFrame({"row": range(2000), "id": range(2000), "alike": range(2000), "cells": list(np.floor((x - low) / width))})
     queries = pd.DataFrame({"row": range(0, 2000, 20), "vector": list(x[::20])})
-    open_ = vector_search._candidates(queries, block, 20, low, width, (width - 1) / 2)
+    open_ = vector_search._candidates(queries, block, 20, low, width, half)
     scores = x[::20] @ x.T
     scores[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
     left = set(zip(open_["q"], open_["row"], strict=True))
     for i in range(100):
         assert all((20 * i, int(j)) in left for j in np.argsort(-scores[i], kind="stable")[:20])
-    assert len(left) < 0.25 * 100 * 2000
+    assert len(left) < 0.1 * 100 * 2000
     assert (np.abs(open_["near"] - scores[open_["q"] // 20, open_["row"]]) <= open_["reach"] / 2).all()
