@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpointed
+from quillspark.llm.common import checkpointed, join_stats
 
 FAN_OUT, PAIRS_AT_A_TIME, LARGEST_GROUP, SEED = 8, 1 << 14, 8192, 42
 ALL = (1 << 64) - 1
@@ -181,14 +181,16 @@ def near_links(nodes: DataFrame, radius: int = 4, largest_group: int = LARGEST_G
         sizes = rows.groupBy("mask", "pattern").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying"))
         large = checkpointed(sizes.where(F.col("n") > largest_group).select("mask", "pattern", _finer(F.col("varying"), radius + 1).alias("masks")))
         deep = not large.isEmpty()
-        # A group of one has no links; over-large groups go one level down, where the bits in which members differ are cut up.
-        small = rows.join(large, ["mask", "pattern"], "left_anti") if deep else rows
+        # A group of one has no links; over-large groups go one level down, where the bits in which members differ are cut up. Those
+        # are hot keys, so rows learn whether they are in one by a join that spreads them.
+        told = join_stats(rows, large, ["mask", "pattern"], F.col("fp")) if deep else rows
+        small = told.where("masks is null") if deep else rows
         star = small.select("mask", "pattern", "fp", "rep").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_linker(radius), "a long, b long")
         found = star if found is None else found.unionByName(star)
         if not deep:
             return found.distinct()
         # Groups under different masks can have the same members, and so the same finer masks.
-        level = checkpointed(rows.join(large, ["mask", "pattern"]).select("fp", "rep", "masks").distinct())
+        level = checkpointed(told.where("masks is not null").select("fp", "rep", "masks").distinct())
 
 
 def components(links_: DataFrame) -> DataFrame:
@@ -199,11 +201,13 @@ def components(links_: DataFrame) -> DataFrame:
     while state != (state := tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())):
         # Large star: each node hands its larger neighbours to the smallest node it knows.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A node may have a third of all edges, so what is known of nodes is joined in a way that spreads their edges.
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = join_stats(both.where("v > u"), least, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: each node hands its smaller neighbours, and itself, to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = checkpointed(large)
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = join_stats(large, low, ["u"], F.col("v")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.distinct())
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

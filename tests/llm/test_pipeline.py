@@ -4,6 +4,7 @@ from collections import Counter
 
 import cases
 import corpus_pipeline
+import numpy as np
 import pytest
 import test_models
 import test_shards_mix
@@ -78,15 +79,63 @@ def test_columns_of_stages_may_clash(spark, sf_dir, docs):
         assert dict(corpus_pipeline.STAGES)[name](spark, odd, sf_dir).columns == odd.columns
 
 
-def test_texts_with_too_many_words_of_their_own_are_not_compared(spark):
-    base = [f"w{i}" for i in range(100)]
-    texts = [" ".join(base)] + [" ".join(w if (i * 7 + j) % 10 else f"own{i}x{j}" for j, w in enumerate(base)) for i in range(30)]
+def template(n, seed=6, words=1400, places=66, variants=4):
+    """Texts of one template: about 0.7 alike, with no shingle of their own."""
+    rng = random.Random(seed)
+    base, at = [f"w{i}" for i in range(words)], list(range(5, words, words // places))[:places]
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for place in at:
+            text[place] = f"v{place}x{rng.randrange(variants)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_texts_of_a_template_make_few_pairs(spark):
+    texts = template(300)
+    texts += [f"{t} and a few words more" for t in texts[:20]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = frame.select(F.col("doc_id").cast("string").cast("binary").alias("node"), near_copies._sets(5)("text").alias("s")).select("node", "s.*")
+    open_ = sets.select(F.lit(1).cast("long").alias("bucket"), "node", F.col("node").alias("component"), F.lit(len(texts)).cast("long").alias("members"))
+    pairs = [tuple(sorted((int(r.a), int(r.b)))) for r in near_copies._met(open_, sets, 0.8).collect()]
+    assert len(pairs) == len(set(pairs)) < 10 * len(texts)
+    exact = [set(near_copies.shingles(t, 5).tolist()) for t in texts]
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if len(exact[i] & exact[j]) >= 0.8 * len(exact[i] | exact[j])}
+    assert alike <= set(pairs) and len(alike) >= 20
+    kept = near_copies.near_copies(frame).where("keep").count()
+    top = {i: i for i in range(len(texts))}
+    for i, j in sorted(alike):
+        low, high = sorted((top[i], top[j]))
+        top = {k: low if t == high else t for k, t in top.items()}
+    assert kept == len(set(top.values()))
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_blocks_meet_each_pair_once(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(8)]
+    texts = [" ".join([*t.split()[: 60 - i], *[f"e{i}x{k}" for k in range(i)]]) for t in texts for i in range(4)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = frame.select("doc_id", near_copies._shingles(5)("text").alias("set")).select(F.col("doc_id").cast("string").cast("binary").alias("node"), "set")
-    member = sets.select(F.lit(1).cast("long").alias("bucket"), "node")
-    left = near_copies._possible(member, sets, 0.8).collect()
-    assert {bytes(r.node) for r in left} <= {b"0"}
-    assert near_copies.near_copies(frame).where("keep").count() == 31
+    sets = frame.select(F.col("doc_id").cast("string").cast("binary").alias("node"), near_copies._sets(5)("text").alias("s")).select("node", "s.*")
+    open_ = sets.select(F.lit(1).cast("long").alias("bucket"), "node", F.col("node").alias("component"), F.lit(len(texts)).cast("long").alias("members"))
+    open_ = open_.unionByName(open_.limit(1).withColumn("bucket", F.lit(2).cast("long")))
+    pairs = [tuple(sorted((int(r.a), int(r.b)))) for r in near_copies._met(open_, sets, 0.8).collect()]
+    assert len(pairs) == len(set(pairs)) and {(i, j) for i in range(32) for j in range(i, 32) if i < j and i // 4 == j // 4} <= set(pairs)
+
+
+def test_bound_loses_no_pair():
+    rng = np.random.default_rng(12)
+    sets = []
+    for n in (1, 2, 5, 200, 240, 256, 257, 300, 1000, 1030, 1290, 5000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(base)] + [np.unique(np.concatenate((base[: n - int(n * part)], rng.integers(0, 1 << 63, int(n * part * rng.random()), dtype=np.uint64)))) for part in (0.05, 0.1, 0.15, 0.2, 0.3)]
+    sets = [s for s in sets if len(s)]
+    found = {tuple(sorted(p)) for i, j in near_copies.allowed_pairs(np.array([len(s) for s in sets]), [near_copies.bitmap(s) for s in sets], 0.8) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    exact = [set(s.tolist()) for s in sets]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(exact[i] & exact[j]) >= 0.8 * len(exact[i] | exact[j])}
+    assert alike <= found and len(found) < 1.5 * len(alike) + 20
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
@@ -138,3 +187,5 @@ def test_dedup_counts_rows_not_ids(spark, sf_dir, docs):
     frame = spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], docs.schema)
     kept = corpus_pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, "null id only here, five words")])
+    with pytest.raises(ValueError):
+        near_copies.near_copies(frame, 0.4)
