@@ -423,10 +423,10 @@ def with_chunks(docs: DataFrame, text_col: str, layout_col: str | None, options:
     return docs.withColumn("__type", D.kind_of(F.col(text_col), layout_col, detect_options)).withColumn("__chunks", chunks)
 
 
-def chunk_batch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout_col: str | None = None, options: ChunkOptions = ChunkOptions(), detect_options: D.DetectOptions = D.DetectOptions(), chunkers: Chunkers | None = None) -> DataFrame:
+def chunk_batch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout_col: str | None = None, options: ChunkOptions = ChunkOptions(), detect_options: D.DetectOptions = D.DetectOptions(), chunkers: Chunkers | None = None, also: list[str] | None = None) -> DataFrame:
     """One row a document, those without chunks too: ``id_col``, doc_type, chunks (an array), error and warning, which say why there
-    are none: no text, no chunker for its kind, or no part that is long enough for a chunk."""
+    are none: no text, no chunker for its kind, or no part that is long enough for a chunk; and the columns ``also``."""
     found = with_chunks(docs, text_col, layout_col, options, detect_options, chunkers)
     error = F.when(F.col(text_col).isNull(), "no text").when(F.col("__chunks").isNull(), F.concat(F.lit("no chunker for "), F.col("__type")))
     warning = F.when(F.col(text_col).isNotNull() & (F.size("__chunks") == 0), "no part is long enough for a chunk")
-    return found.select(F.col(id_col), F.col("__type").alias("doc_type"), F.coalesce("__chunks", _none()).alias("chunks"), error.alias("error"), warning.alias("warning"))
+    return found.select(F.col(id_col), F.col("__type").alias("doc_type"), F.coalesce("__chunks", _none()).alias("chunks"), error.alias("error"), warning.alias("warning"), *(also or []))

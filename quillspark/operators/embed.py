@@ -11,12 +11,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import checkpointed
 from quillspark.functions.vectors import content_id, l2_normalize, md5_embedding
 
 #: (text column, dimension) -> vector column.
 Provider = Callable[[Column, int], Column]
 
 
+# What models of a name want before questions and before passages.
+PREFIXES = {"*e5-*": ("query: ", "passage: "), "*bge-m3*": ("Represent this sentence for searching relevant passages: ", "")}
+
+
 @dataclass(frozen=True)
 class EmbedConfig:
     model: str = "md5"
@@ -31,6 +36,12 @@ class EmbedConfig:
             raise ValueError("a model and a positive dimension are needed")
 
 
+def for_model(model: str, **more) -> EmbedConfig:
+    """The configuration of a model, with the prefixes that models of its name want."""
+    query, passage = next((p for name, p in PREFIXES.items() if fnmatch.fnmatch(model.lower(), name)), ("", ""))
+    return EmbedConfig(**{"model": model, "query_prefix": query, "passage_prefix": passage} | more)
+
+
 class Providers:
     """By exact name without case, else by pattern such as ``maker/*``."""
 
@@ -75,11 +86,38 @@ def embed_chunks(chunks: DataFrame, config: EmbedConfig = EmbedConfig(), text_co
     return chunks.withColumns({"chunk_id": ident, "embedding": vector_of(F.col(text_col), config, config.passage_prefix, providers), "model_name": F.lit(name), "embedding_dim": F.lit(config.dim), "source_file": F.lit(None).cast("string") if source_file is None else source_file})
 
 
+def content_hash(text: Column, config: EmbedConfig) -> Column:
+    """What a vector depends on besides its model: the text with its prefix, the dimension, and whether it is scaled."""
+    return F.sha2(F.concat_ws("|", F.lit(config.dim), F.lit(config.normalize), F.concat(F.lit(config.passage_prefix), text)), 256)
+
+
+def embed_new(chunks: DataFrame, known: DataFrame | None, config: EmbedConfig = EmbedConfig(), text_col: str = "content", source_file: Column | None = None, providers: Providers = PROVIDERS) -> DataFrame:
+    """``embed_chunks`` that asks the provider for no vector that ``known`` (document, content_hash, embedding) has. ``chunks`` has a
+    column document, is read twice and gets content_hash. Chunks of documents that aren't known, and changed ones, are embedded."""
+    hashed = chunks.withColumn("content_hash", content_hash(F.col(text_col), config))
+    if known is None:
+        return embed_chunks(hashed, config, text_col, source_file, providers)
+    there = known.select("document", "content_hash", F.col("embedding").cast("array<double>").alias("__vector"))
+    kept = embed_chunks(hashed.join(there, ["document", "content_hash"]).select(*hashed.columns, "__vector"), config, text_col, source_file, providers).withColumn("embedding", F.col("__vector")).drop("__vector")
+    return kept.unionByName(embed_chunks(hashed.join(there, ["document", "content_hash"], "left_anti").select(*hashed.columns), config, text_col, source_file, providers))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, their place from 0 by ``order``: rows are sorted into ranges, of which each is counted, and a row's
+    place is its place in its range and the rows of all before."""
+    ranged, nth = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())), Window.partitionBy("__part").orderBy(*order)
+    before = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = before.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, F.row_number().over(nth) - 1 + F.col("__before")).drop("__part", "__before")
+
+
 def embed_texts(texts: DataFrame, config: EmbedConfig = EmbedConfig(), text_col: str = "text", order: list[str] | None = None, providers: Providers = PROVIDERS) -> DataFrame:
     """``texts`` embedded as chunks. Ids are ``text_`` and the place by ``order``, or without it ``text_`` and a hash of the text, which
     needs no sorting of all rows."""
-    ident = content_id(F.col(text_col)) if order is None else (F.row_number().over(Window.orderBy(*order)) - 1).cast("string")
-    named = texts.withColumn("chunk_id", F.concat(F.lit("text_"), F.replace(ident, F.lit("chunk_"), F.lit(""))))
+    if order is None:
+        named = texts.withColumn("chunk_id", F.concat(F.lit("text_"), F.replace(content_id(F.col(text_col)), F.lit("chunk_"), F.lit(""))))
+    else:
+        named = numbered(texts, order, "__place").withColumn("chunk_id", F.concat(F.lit("text_"), F.col("__place").cast("string"))).drop("__place")
     return embed_chunks(named, config, text_col, providers=providers)
 
 
@@ -88,22 +126,44 @@ def failures(embedded: DataFrame) -> DataFrame:
     return embedded.where(F.coalesce(F.size("embedding"), F.lit(0)) <= 0).select("chunk_id", F.lit("no vector").alias("error"))
 
 
+def embed_each(embed: Callable[[list[str], int], list[list[float]]], texts: list[str], dim: int, retries: int, delay: float) -> list[list[float] | None]:
+    """Vectors of ``texts``, null for those that can't be embedded. A whole batch is tried again, since a service may be down for a
+    while; if it still fails, its halves are tried, and theirs, so that one bad text of n costs itself and about 2 log2 n calls."""
+
+    def tried(some: list[str], left: int) -> list | None:
+        for left in range(left, -1, -1):
+            try:
+                found = list(embed(some, dim))
+                if len(found) == len(some):
+                    return found
+            except Exception:  # whatever a model raises
+                pass
+            if left:
+                time.sleep(delay)
+        return None
+
+    out: list[list[float] | None] = [None] * len(texts)
+    todo = [(0, len(texts), retries)]
+    while todo:
+        at, to, left = todo.pop()
+        if at == to:
+            continue
+        if (found := tried(texts[at:to], left)) is not None:
+            out[at:to] = found
+        elif to - at > 1:
+            half = (at + to) // 2
+            todo += [(half, to, 0), (at, half, 0)]
+    return out
+
+
 def with_retry(embed: Callable[[list[str], int], list[list[float]]], retries: int = 2, delay: float = 1.0) -> Provider:
-    """A provider of a Python function over texts, called once a batch, again after an error, and with null vectors at last."""
+    """A provider of a Python function over texts, called once a batch, and again as ``embed_each`` says after an error."""
 
     def provider(text: Column, dim: int) -> Column:
         @F.pandas_udf("array<double>")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                for left in range(retries, -1, -1):
-                    try:
-                        found = embed(texts.tolist(), dim)
-                        break
-                    except Exception:  # whatever a model raises
-                        found = [None] * len(texts)
-                        if left:
-                            time.sleep(delay)
-                yield pd.Series(found, dtype="object")
+                yield pd.Series(embed_each(embed, texts.tolist(), dim, retries, delay), dtype="object")
 
         return of(text)
 

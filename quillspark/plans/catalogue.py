@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
-from quillspark.operators import chat, chunk, chunkset, collection, detect, search
+from quillspark.operators import answer, chat, chunk, chunkset, collection, detect, embed, search
 from quillspark.sources import readers
 
 QUERY_VEC, SHIFTED = 7, 500
@@ -232,24 +233,61 @@ def upsert_merge(spark, sf_dir):
 
 @query("SELECT label::VARCHAR AS name, count(*)::BIGINT AS num_documents, max(len(embedding))::INTEGER AS embedding_dim FROM embeddings GROUP BY label")
 def collection_stats(spark, sf_dir):
-    return _read(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("string").alias("name")).agg(F.count("*").alias("num_documents"), F.max(F.size("embedding")).alias("embedding_dim"))
-
-
-def _list(words) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+    """A collection for each label, and what the store says of them."""
+    rows, root = _read(spark, sf_dir, "embeddings"), f"{_shared(spark)}/collections/{uuid.uuid4()}"
+    store = collection.Collections(spark, root)
+    for label, dim in rows.groupBy("label").agg(F.max(F.size("embedding"))).collect():
+        store.create(collection.CollectionSchema(str(label), dim, buckets=4))
+        own = rows.where(F.col("label") == label).select(F.col("vec_id").cast("string").alias("chunk_id"), F.lit("").alias("content"), "embedding")
+        store.index(str(label), own, ["chunk_id"])
+    return store.stats().select("name", "num_documents", "embedding_dim")
+
+
+def _shared(spark) -> str:
+    """A folder that all executors share."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+
+@query("""SELECT doc_id, part::INTEGER AS part, md5(text[part * 1000 + 1:part * 1000 + 1000]) AS digest FROM (
+  SELECT doc_id, text, unnest(range(ceil(length(text) / 1000.0)::BIGINT)) AS part FROM (
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text[1:length(text) // 2] WHEN 1 THEN '' ELSE text END AS text FROM documents))""")
+def replace_documents(spark, sf_dir):
+    """Documents in parts of a thousand characters, of which a third was cut to half and a third emptied: their old parts go."""
+    docs, kind = _read(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    parts = lambda df: df.select("doc_id", "text", F.explode(F.filter(F.sequence(F.lit(0), F.floor(F.length("text") / 1000).cast("int")), lambda i: i * 1000 < F.length("text"))).alias("part")).select("doc_id", F.concat_ws("#", "doc_id", "part").alias("id"), "part", F.md5(F.substring(F.col("text"), F.col("part") * 1000 + 1, F.lit(1000))).alias("digest"))
+    changed = docs.where(kind < 2).select("doc_id", F.when(kind == 0, F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))).otherwise("").alias("text"))
+    return collection.merge_rows(parts(docs), parts(changed), replaced=changed, by="doc_id").select("doc_id", "part", "digest")
+
+
+@query(f"""SELECT doc_id, doc_id % 2 = 0 AND doc_id % 4 <> 0 AS known, round(CASE WHEN doc_id % 2 = 0 AND doc_id % 4 <> 0 THEN 2.0 ELSE x[1] / n END, 6) AS first
+ FROM (SELECT doc_id, x, sqrt(list_dot_product(x, x)) AS n FROM (SELECT doc_id, [{{bytes}}]::DOUBLE[] AS x FROM documents))""".replace("{bytes}", ", ".join(_BYTES)))
+def embed_changed(spark, sf_dir):
+    """Documents embedded where their vector isn't known: of every second one it is (marked by a 2), but half of these have changed."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document"), "doc_id", F.col("text").alias("content"))
+    before = docs.where("doc_id % 2 = 0").withColumn("content", F.when(F.col("doc_id") % 4 == 0, F.concat("content", F.lit("."))).otherwise(F.col("content")))
+    known = before.select("document", embed.content_hash(F.col("content"), embed.EmbedConfig()).alias("content_hash"), F.array(F.lit(2.0)).alias("embedding"))
+    found, first = embed.embed_new(docs, known), F.get("embedding", F.lit(0))
+    return found.select("doc_id", (first == 2).alias("known"), F.round(first, 6).alias("first"))
+
+
+# Words and limits of the conversation, spelt for the SQL on their own.
+_FOLLOWUP_SQL = "['what about', 'how about', 'and what', 'also', 'in addition', 'furthermore', 'moreover', 'can you explain', 'tell me more', 'elaborate', 'go on', 'continue', 'next']"
+_CLARIFICATION_SQL = "['what do you mean', 'what does that mean', 'clarify', 'explain that', 'i don''t understand', 'unclear', 'confusing', 'rephrase', 'say that again', 'what is', 'define', 'meaning of']"
+_REFERENCES_SQL, _FIRST_REFERENCES_SQL = "['that', 'this', 'it', 'they', 'those', 'these', 'he', 'she', 'him', 'her', 'them']", "['that', 'this', 'it', 'they', 'those', 'these']"
+_COMMON_SQL = "['the', 'is', 'are', 'was', 'were', 'what', 'when', 'where', 'who', 'how', 'why', 'can', 'will', 'does']"
 
 
 _HISTORY = f"""h AS (SELECT *, count(*) OVER w AS n_history, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS last_user, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER w AS last_assistant
- FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {chat.KEPT_MESSAGES} PRECEDING AND 1 PRECEDING))"""
-_KEYS = lambda c: rf"list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]{{3,}}')), lambda w: NOT list_contains({_list(chat.COMMON)}, w))"
+ FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"""
+_KEYS = lambda c: rf"list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]{{3,}}')), lambda w: NOT list_contains({_COMMON_SQL}, w))"
 
 
 _CLASSIFY = rf"""WITH {_HISTORY}, t AS (SELECT conv_id, turn, n_history, last_user, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS q, {_KEYS("text")} AS a, {_KEYS("last_user")} AS b FROM h WHERE role = 'user'),
  k AS (SELECT *, list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '') AS tok FROM t)
 SELECT conv_id, turn, n_history::BIGINT AS n_history, CASE WHEN n_history = 0 THEN 'new'
- WHEN len(list_filter({_list(chat.CLARIFICATION)}, lambda w: contains(q, w))) > 0 OR (contains(q, '?') AND len(list_intersect(tok, {_list(chat.REFERENCES[:6])})) > 0) THEN 'clarification'
- WHEN len(list_filter({_list(chat.FOLLOWUP)}, lambda w: contains(q, w))) > 0 OR regexp_matches(q, '^(and|but|also|or)\b') OR (n_history >= 2 AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / least(len(a), len(b)) > {chat.OVERLAP})
-  OR list_contains({_list(chat.REFERENCES)}, tok[1]) OR len(list_filter(tok, lambda w: list_contains({_list(chat.REFERENCES)}, w))) >= 2 OR len(tok) <= {chat.SHORT} THEN 'followup' ELSE 'new' END AS query_type FROM k"""
+ WHEN len(list_filter({_CLARIFICATION_SQL}, lambda w: contains(q, w))) > 0 OR (contains(q, '?') AND len(list_intersect(tok, {_FIRST_REFERENCES_SQL})) > 0) THEN 'clarification'
+ WHEN len(list_filter({_FOLLOWUP_SQL}, lambda w: contains(q, w))) > 0 OR regexp_matches(q, '^(and|but|also|or)\b') OR (n_history >= 2 AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / least(len(a), len(b)) > 0.3)
+  OR list_contains({_REFERENCES_SQL}, tok[1]) OR len(list_filter(tok, lambda w: list_contains({_REFERENCES_SQL}, w))) >= 2 OR len(tok) <= 5 THEN 'followup' ELSE 'new' END AS query_type FROM k"""
 
 
 @query(_CLASSIFY)
@@ -257,7 +295,7 @@ def classify_query(spark, sf_dir):
     return chat.classify_turns(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "n_history", "query_type")
 
 
-@query(f"SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {chat.KEPT_MESSAGES}")
+@query(f"SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10")
 def history_window(spark, sf_dir):
     return chat.history(_read(spark, sf_dir, "conversations"))
 
@@ -305,3 +343,29 @@ def context_prompt(spark, sf_dir):
     context = F.array(F.struct(F.col("text").alias("text"), (F.lit(0.5) + F.col("turn") / 20).alias("score"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("source_file"), F.array(F.lit("Turn")).alias("hierarchy"), F.array(F.col("turn").cast("int")).alias("page_numbers")))
     made = asked.withColumn("contexts", context).withColumn("kind", chat.prompt_kind(F.col("query_type"), chat.quality(F.get("contexts", F.lit(0))["score"])))
     return made.select("conv_id", "turn", "kind", chat.prompt(F.col("kind"), F.col("text"), chat.context_text(F.col("contexts")), chat.citations(F.col("contexts")), F.col("last_user"), F.col("last_assistant")).alias("prompt"))
+
+
+_VECTOR = lambda c: f"[{', '.join(b.replace('md5(text)', f'md5({c})') for b in _BYTES)}]::DOUBLE[]"
+
+
+@query(f"""WITH {_HISTORY}, t AS ({_CLASSIFY}),
+q AS MATERIALIZED (SELECT h.conv_id || '-' || h.turn AS query_id, h.text, h.last_user, h.last_assistant, t.query_type, {_VECTOR("h.text")} AS v FROM h JOIN t ON h.conv_id = t.conv_id AND h.turn = t.turn WHERE h.role = 'user'),
+d AS MATERIALIZED (SELECT doc_id::VARCHAR AS id, text, source, lang, {_VECTOR("text")} AS v FROM documents),
+s AS (SELECT q.query_id, d.id, d.text, d.source, d.lang, round(list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))), 6) AS score FROM q, d WHERE trim(q.text) <> ''),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 3 AND score >= 0.3),
+c AS (SELECT query_id, count(*) AS used, max(score) AS best, first(text ORDER BY n) AS passage,
+  string_agg('[Context ' || n || '] (Score: ' || printf('%.2f', floor(score * 100 + 0.5 + 1e-7) / 100) || ')' || chr(10) || 'Source: ' || coalesce(source, 'None') || chr(10) || 'Section: ' || coalesce(lang, '') || chr(10) || 'Content: ' || text || chr(10), chr(10) ORDER BY n) AS context,
+  string_agg(coalesce(source, '') || ' (' || coalesce(lang, '') || ')', chr(10) ORDER BY n) FILTER (score >= 0.5) AS cited FROM r GROUP BY query_id),
+p AS (SELECT q.query_id, q.text, last_user, last_assistant, query_type, coalesce(used, 0)::INTEGER AS contexts_used, passage, coalesce(context, '') AS context, coalesce(cited, '') AS cited,
+  CASE WHEN best >= 0.7 THEN 'high' WHEN best >= 0.5 THEN 'medium' WHEN best >= 0.3 THEN 'low' ELSE 'none' END AS quality FROM q LEFT JOIN c USING (query_id)),
+k AS (SELECT *, CASE query_type WHEN 'new' THEN CASE quality WHEN 'high' THEN 'answer' WHEN 'none' THEN 'no_context' ELSE 'answer_with_care' END
+  WHEN 'followup' THEN CASE WHEN quality IN ('high', 'medium') THEN 'follow_up' ELSE 'follow_up_no_context' END ELSE 'clarify' END AS prompt_kind FROM p)
+SELECT query_id, query_type, quality, prompt_kind, contexts_used, cited, md5(CASE prompt_kind {" ".join(f"WHEN '{k}' THEN {_LAY.join(v)}" for k, v in _TEMPLATES.items())} END) AS prompt,
+ md5(coalesce(passage, 'No passage answers this.')) AS answer, false AS fallback_used FROM k""")
+def answer_questions(spark, sf_dir):
+    """All questions of the conversations, answered from the documents by the offline provider."""
+    asked = chat.classify_turns(_read(spark, sf_dir, "conversations")).drop("query_type").withColumn("query_id", F.concat_ws("-", "conv_id", "turn"))
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", V.md5_embedding(F.col("text"), 64).alias("embedding"), F.col("source").alias("source_file"), F.array("lang").alias("hierarchy"))
+    found = search.search_texts(docs, asked, lambda text: V.md5_embedding(text, 64), 3).where(F.col("score") >= chat.THRESHOLD)
+    done = answer.answered(answer.prompted(asked, answer.gather(found, docs)), answer.PROVIDERS.get("extractive"))
+    return done.select("query_id", "query_type", "quality", "prompt_kind", "contexts_used", F.array_join("citations", "\n").alias("cited"), F.md5("prompt").alias("prompt"), F.md5("answer").alias("answer"), "fallback_used")

@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+import zlib
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import chat
-from quillspark.operators.chunk import ChunkOptions, chunk_batch, chunk_documents
+from quillspark.operators import answer, chat
+from quillspark.operators.chunk import ChunkOptions, chunk_batch
 from quillspark.operators.chunkset import first_in
 from quillspark.operators.collection import Collections
-from quillspark.operators.embed import PROVIDERS, EmbedConfig, embed_chunks, vector_of
+from quillspark.operators.embed import PROVIDERS, EmbedConfig, embed_new, vector_of
 from quillspark.operators.search import search, search_texts
 from quillspark.sources.readers import Readers, parse_files, plain_text
 
 
-def extractive(prompt: str, passages: list[str]) -> str:
-    """Offline answer: the best passage."""
-    return passages[0] if passages else "No passage answers this."
+def _exploded(batch: DataFrame) -> DataFrame:
+    """One row a chunk of what ``chunk_batch`` gives."""
+    return batch.select("doc_id", "doc_type", F.posexplode("chunks").alias("ordinal", "chunk")).select("doc_id", "doc_type", "ordinal", "chunk.*")
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,7 @@ class EngineConfig:
 class Engine:
     spark: SparkSession
     config: EngineConfig
-    answer: Callable[[str, list[str]], str] = extractive
+    answer: answer.Answerer = answer.extractive
     readers: Readers = field(default_factory=Readers)
 
     def __post_init__(self):
@@ -62,23 +64,57 @@ class Engine:
 
     def process(self, path: str, collection: str) -> DataFrame:
         """Reads, chunks, embeds and upserts all files below ``path``; one row of metrics. A document's id is its path, so files of
-        one name in different folders are apart. What became of each file is in ``document_status``."""
+        one name in different folders are apart. A file that was processed before replaces what the collection has of it. What
+        became of each file is in ``document_status``."""
         return self.process_files(self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), collection)
 
     def process_files(self, files: DataFrame, collection: str) -> DataFrame:
-        """The same for (path, content) rows; ``lambda files: engine.process_files(files, "c")`` takes the batches of a stream."""
+        """The same for (path, content) rows; ``lambda files: engine.process_files(files, "c")`` takes the batches of a stream.
+
+        Files are parsed and chunked once, into a table that all else reads. Their state is "processing" until they are indexed, and
+        follows from what the collection then has of them; if indexing fails as a whole, it is "failed" and the error is raised."""
+        ids = files.select(F.col("path").alias("doc_id"))
+        self._say(ids.select("doc_id", F.lit("processing").alias("status"), F.lit("extracting").alias("stage"), F.lit(20).alias("progress"), F.lit(0).alias("n_chunks"), F.lit("").alias("message")))
         read = parse_files(files, self.readers).select(F.col("path").alias("doc_id"), plain_text(F.col("pages")).alias("text"), "status", "errors")
-        batch = chunk_batch(read.where("status <> 'failed'"), options=self.config.chunk).select("doc_id", F.size("chunks").alias("n_chunks"), "error", "warning")
-        state = self._process_status(read.select("doc_id", "status", "errors").join(batch, "doc_id", "left"))
-        state.withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(self._table("documents"))
-        return self.index(read.where("status <> 'failed'").select("doc_id", "text"), collection)
-
-    def _process_status(self, read: DataFrame) -> DataFrame:
-        failed, empty = F.col("status") == "failed", F.coalesce("n_chunks", F.lit(0)) == 0
-        stage = F.when(failed, "failed").when(empty, "chunking").otherwise("completed")
-        said = F.when(failed, F.concat_ws("; ", "errors")).when(empty, F.coalesce("error", "warning")).otherwise(F.concat_ws("; ", F.lit("indexed"), F.array_join("errors", "; ")))
-        progress = F.when(failed, 0).when(empty, 40).otherwise(100)
-        return read.select("doc_id", F.when(failed | empty, "failed").otherwise(F.col("status")).alias("status"), stage.alias("stage"), progress.alias("progress"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), said.alias("message"))
+        found = F.col("status") == "failed"
+        cut = chunk_batch(read, options=self.config.chunk, also=["status", "errors"]).withColumn("chunks", F.when(found, F.slice("chunks", 1, 0)).otherwise(F.col("chunks")))
+        with self._staged(cut) as staged:
+            good = staged.where(~found)
+            try:
+                metrics = self._index_chunks(_exploded(good), good.select(F.col("doc_id").alias("document")), collection)
+            except Exception as e:
+                self._say(self._states(staged, None, f"{type(e).__name__}: {e}"))
+                raise
+            self._say(self._states(staged, self.collections.read(collection, good.select(F.col("doc_id").alias("document"))).groupBy("document").count()))
+        return metrics
+
+    @staticmethod
+    def _states(staged: DataFrame, indexed: DataFrame | None, problem: str = "") -> DataFrame:
+        """doc_id, status, stage, progress, n_chunks, message of documents that were chunked, by how many of their chunks (document,
+        count) the collection has now."""
+        n, failed = F.size("chunks"), F.col("status") == "failed"
+        known = staged.withColumn("count", F.lit(0)) if indexed is None else staged.join(indexed.withColumnRenamed("document", "doc_id"), "doc_id", "left")
+        have, empty = F.coalesce("count", F.lit(0)), n == 0
+        stage = F.when(failed, "failed").when(empty, "chunking").when(have == 0, "embedding" if indexed is not None else "indexing").otherwise("completed")
+        progress = F.when(failed, 0).when(empty, 40).when(have == 0, 60 if indexed is not None else 80).otherwise(100)
+        state = F.when(failed | empty | (have == 0), "failed").when(have < n, "partial").otherwise(F.col("status"))
+        some = F.format_string("%d of %d chunks indexed", have, n)
+        said = F.when(failed, F.concat_ws("; ", "errors")).when(empty, F.coalesce("error", "warning")).when(F.lit(bool(problem)), F.lit(problem)).otherwise(F.concat_ws("; ", some, "errors"))
+        return known.select("doc_id", state.alias("status"), stage.alias("stage"), progress.alias("progress"), n.alias("n_chunks"), said.alias("message"))
+
+    def _say(self, states: DataFrame) -> None:
+        states.withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(self._table("documents"))
+
+    @contextmanager
+    def _staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """``df`` as a table below the root, which goes in the end."""
+        path = self._table(f"staged/{uuid.uuid4()}")
+        df.write.parquet(path)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def document_status(self) -> DataFrame:
         """doc_id, status, stage, progress, n_chunks, message, processed_at of each file's last processing, failed ones too."""
@@ -86,11 +122,19 @@ class Engine:
         return first_in(self._read(kind, "documents"), ["doc_id"], [F.desc("processed_at")])
 
     def index(self, docs: DataFrame, collection: str) -> DataFrame:
-        """Chunks, embeds and upserts (doc_id, text); one row of metrics."""
+        """Chunks, embeds and upserts (doc_id, text); one row of metrics. Documents that the collection has are replaced: of a changed
+        one new chunks alone are embedded, and what it no longer has goes."""
+        with self._staged(chunk_batch(docs, options=self.config.chunk)) as staged:
+            return self._index_chunks(_exploded(staged), staged.select(F.col("doc_id").cast("string").alias("document")), collection)
+
+    def _index_chunks(self, chunks: DataFrame, documents: DataFrame, collection: str) -> DataFrame:
         self.collections.create_for_model(collection, self.config.embed)
-        chunks = chunk_documents(docs, options=self.config.chunk)
-        embedded = embed_chunks(chunks, self.config.embed, source_file=F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]+)$", 1))
-        return self.collections.index(collection, embedded.withColumn("chunk_id", F.concat_ws("#", F.col("doc_id").cast("string"), "chunk_id")), ["doc_id", "ordinal"])
+        name, _ = PROVIDERS.resolve(self.config.embed)
+        known = self.collections.known_vectors(collection, documents, name) if self.collections.snapshots(collection) else None
+        chunks = chunks.withColumn("document", F.col("doc_id").cast("string"))
+        embedded = embed_new(chunks, known, self.config.embed, source_file=F.regexp_extract("document", r"([^/]+)$", 1))
+        embedded = embedded.withColumn("chunk_id", F.concat_ws("#", "document", "chunk_id"))
+        return self.collections.index(collection, embedded, ["document", "ordinal"], replaces=documents)
 
     def _table(self, name: str) -> str:
         return f"{self.config.root}/_tables/{name}"
@@ -116,6 +160,13 @@ class Engine:
         found = search_texts(self.collections.read(collection), questions, self._embed, k or self.config.max_contexts)
         return found.where(F.col("score") >= self.config.threshold).withColumn("quality", chat.quality(F.col("score")))
 
+    def answer_many(self, questions: DataFrame, collection: str, provider: str = "extractive", k: int | None = None, concise: bool = False) -> DataFrame:
+        """Answers for a table of questions (query_id, text and, if there, n_history, last_user, last_assistant): its columns with
+        contexts, contexts_used, quality, query_type, citations, prompt_kind, prompt, answer, fallback_used and warning. The provider
+        is one of ``answer.PROVIDERS``. Nothing of the questions or answers comes to the driver."""
+        contexts = answer.gather(self.retrieve_many(questions, collection, k), self.collections.read(collection))
+        return answer.answered(answer.prompted(questions, contexts), answer.PROVIDERS.get(provider), concise)
+
     def ask(self, question: str, collection: str, conversation: str | None = None, k: int | None = None, concise: bool = False) -> dict:
         """Answer, citations, quality, kind of question, prompt and system prompt. Where the answer's provider fails, a fixed answer by
         quality stands in, and ``fallback_used`` says so. Both messages are kept in the table of conversations."""
@@ -143,23 +194,50 @@ class Engine:
 
     # Conversations: a table of messages, to which clearing appends a mark that hides what came before.
 
-    _MESSAGES = "conversation string, at timestamp, n int, role string, text string"
+    _MESSAGES = "conversation string, at timestamp, n int, role string, text string, part int"
+    #: Partitions of the table of conversations, by a hash of the conversation, of which a look-up reads one.
+    _PARTS = 64
+
+    @classmethod
+    def _part(cls, conversation: Column) -> Column:
+        return F.pmod(F.crc32(conversation.cast("binary")), F.lit(cls._PARTS)).cast("int")
 
     def _keep(self, conversation: str, n: int, messages: list[tuple[str, str]]) -> None:
         rows = self.spark.createDataFrame([(conversation, n + i, role, text) for i, (role, text) in enumerate(messages)], "conversation string, n int, role string, text string")
-        rows.select("conversation", F.current_timestamp().alias("at"), "n", "role", "text").coalesce(1).write.mode("append").parquet(self._table("conversations"))
+        rows.select("conversation", F.current_timestamp().alias("at"), "n", "role", "text", self._part(F.col("conversation")).alias("part")).coalesce(1).write.mode("append").partitionBy("part").parquet(self._table("conversations"))
 
-    def messages(self) -> DataFrame:
-        """All messages of all conversations that weren't cleared after them."""
+    def messages(self, conversation: str | None = None) -> DataFrame:
+        """All messages of all conversations, or of one, that weren't cleared after them."""
         said = self._read(self._MESSAGES, "conversations")
+        if conversation is not None:
+            part = zlib.crc32(conversation.encode()) % self._PARTS
+            said = said.where((F.col("part") == part) & (F.col("conversation") == conversation))
+        said = said.drop("part")
         cleared = F.max(F.when(F.col("role") == "clear", F.col("at"))).over(Window.partitionBy("conversation"))
         return said.withColumn("__cleared", cleared).where((F.col("role") != "clear") & (F.col("__cleared").isNull() | (F.col("at") > F.col("__cleared")))).drop("__cleared")
 
     def history(self, conversation: str) -> list[dict]:
         """The last messages that are kept, oldest first."""
-        kept = self.messages().where(F.col("conversation") == conversation).orderBy(F.desc("at"), F.desc("n")).limit(chat.KEPT_MESSAGES).collect()
+        kept = self.messages(conversation).orderBy(F.desc("at"), F.desc("n")).limit(chat.KEPT_MESSAGES).collect()
         return [{"role": r["role"], "text": r["text"]} for r in reversed(kept)]
 
+    def compact(self) -> int:
+        """Rewrites partitions of the table of conversations that have more than one file as one file each, without messages that were
+        cleared; how many. Not while messages are being kept."""
+        said, left = self._read(self._MESSAGES, "conversations"), self.messages()
+        many = said.select("part", F.input_file_name().alias("file")).distinct().groupBy("part").count().where("count > 1").select("part")
+        parts = [r["part"] for r in many.collect()]
+        if parts:
+            kept = left.withColumn("part", self._part(F.col("conversation"))).where(F.col("part").isin(parts))
+            with self._staged(kept) as rows:
+                everything = said.select("part").distinct().where(F.col("part").isin(parts))
+                gone = [r["part"] for r in everything.join(rows.select("part").distinct(), "part", "left_anti").collect()]
+                rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self._table("conversations"))
+            for part in gone:  # all of it was cleared
+                where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._table('conversations')}/part={part}")
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        return len(parts)
+
     def clear(self, conversation: str) -> bool:
         known = bool(self.history(conversation))
         if known:
