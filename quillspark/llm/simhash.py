@@ -156,6 +156,10 @@ def _linker(radius: int):
     return search
 
 
+#: Tasks over which the edges of a node are dealt.
+SALTS = 8
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -201,13 +205,12 @@ def components(links_: DataFrame) -> DataFrame:
     while state != (state := tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())):
         # Large star: each node hands its larger neighbours to the smallest node it knows.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # A node may have a third of all edges, so what is known of nodes is joined in a way that spreads their edges.
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = join_stats(both.where("v > u"), least, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A node may have a third of all edges, so its edges are dealt over SALTS tasks, each of which is told what is known of it.
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: each node hands its smaller neighbours, and itself, to the smallest of them.
-        large = checkpointed(large)
-        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = join_stats(large, low, ["u"], F.col("v")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.distinct())
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
