@@ -73,20 +73,8 @@ def search(collection: DataFrame, vector: list[float], k: int = 10, filter_by: s
     return top.withColumn("score", F.col("__near") if score_mode == "similarity" else F.round(1 - F.col("__near"), 6)).drop("__near")
 
 
-def search_many(collection: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_id: str = "query_id", block: int = 2000, row_block: int = 8192) -> DataFrame:
-    """query_id, rank, ``id_col``, score: top ``k`` for every row of ``queries`` (query_id, embedding).
-
-    Blocks of about ``block`` queries meet blocks of about ``row_block`` rows in tasks of their own; each pair of blocks gives the
-    best k rows of its queries, which are merged. Nothing but the two counts comes to the driver."""
-    kinds = dict(collection.dtypes)[id_col], dict(queries.dtypes)[query_id]
-    asked, n = queries.count(), collection.count()
-    query_blocks, row_blocks = max(1, -(-asked // block)), max(1, -(-n // row_block))
-    deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    # A row is dealt by its id and vector, so rows that share an id are not one group.
-    side = lambda frame, name, out: frame.where(F.size("embedding") > 0).select(F.col(name).alias(out), "embedding", F.size("embedding").alias("dim"))
-    asking = side(queries, query_id, "q").withColumn("query_block", deal(F.struct("q", "embedding"), query_blocks)).withColumn("row_block", every(row_blocks))
-    rows = side(collection, id_col, "i").withColumn("row_block", deal(F.struct("i", "embedding"), row_blocks)).withColumn("query_block", every(query_blocks))
+def _nearest(asking: DataFrame, rows: DataFrame, keys: list[str], k: int, row_kind: str, query_kind: str) -> DataFrame:
+    """(q, i, s): the ``k`` best ``rows`` (i, embedding) of each of ``asking`` (q, embedding) within each group of ``keys``."""
 
     def best(ask: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or part.empty:
@@ -104,8 +92,25 @@ def search_many(collection: DataFrame, queries: DataFrame, k: int = 10, id_col:
             out.append(new[["q", "i", "s"]])
         return pd.concat(out)
 
-    keys = ["dim", "row_block", "query_block"]
-    out = asking.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(best, f"q {kinds[1]}, i {kinds[0]}, s double")
+    return asking.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(best, f"q {query_kind}, i {row_kind}, s double")
+
+
+def search_many(collection: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_id: str = "query_id", block: int = 2000, row_block: int = 8192) -> DataFrame:
+    """query_id, rank, ``id_col``, score: top ``k`` for every row of ``queries`` (query_id, embedding).
+
+    Blocks of about ``block`` queries meet blocks of about ``row_block`` rows in tasks of their own; each pair of blocks gives the
+    best k rows of its queries, which are merged. Nothing but the two counts comes to the driver."""
+    kinds = dict(collection.dtypes)[id_col], dict(queries.dtypes)[query_id]
+    asked, n = queries.count(), collection.count()
+    query_blocks, row_blocks = max(1, -(-asked // block)), max(1, -(-n // row_block))
+    deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # A row is dealt by its id and vector, so rows that share an id are not one group.
+    side = lambda frame, name, out: frame.where(F.size("embedding") > 0).select(F.col(name).alias(out), "embedding", F.size("embedding").alias("dim"))
+    asking = side(queries, query_id, "q").withColumn("query_block", deal(F.struct("q", "embedding"), query_blocks)).withColumn("row_block", every(row_blocks))
+    rows = side(collection, id_col, "i").withColumn("row_block", deal(F.struct("i", "embedding"), row_blocks)).withColumn("query_block", every(query_blocks))
+
+    out = _nearest(asking, rows, ["dim", "row_block", "query_block"], k, *kinds)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "i"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", F.col("i").alias(id_col), F.col("s").alias("score"))
 

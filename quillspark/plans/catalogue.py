@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
-from quillspark.operators import answer, chat, chunk, chunkset, collection, detect, embed, search
+from quillspark.operators import answer, chat, chunk, chunkset, collection, detect, embed, index, search
 from quillspark.sources import readers
 
 QUERY_VEC, SHIFTED = 7, 500
@@ -62,6 +62,14 @@ def knn_batch(spark, sf_dir):
     return search.search_many(e, e.where("label = 3").select(F.col("vec_id").alias("query_id"), "embedding"), 5, id_col="vec_id")
 
 
+@query()
+def knn_indexed(spark, sf_dir):
+    """The ten nearest of every twentieth vector through an index of all; its recall is tested against ``search_many``."""
+    e = _read(spark, sf_dir, "embeddings")
+    built = index.build(e, f"{_shared(spark)}/indexes/{uuid.uuid4()}", id_col="vec_id")
+    return index.search_index(built, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_col="vec_id")
+
+
 @query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> ''), chr(10)) AS clean FROM documents")
 def clean_text(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
