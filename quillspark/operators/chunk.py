@@ -21,6 +21,8 @@ CHUNK = "struct<content:string,chunk_id:string,hierarchy:array<string>,start_pos
 SECTION = wide(r"^\d+(?:\.\d+)*\.\s+[A-Z][^\n]")
 CLAUSE_KINDS = {"numeric": wide(r"\((\d+)\)"), "clause": wide(r"Clause\s+(\d+)"), "para": wide(r"Para\.\s+(\d+)"), "letter": r"\(([a-z])\)"}
 ARTICLE = "|".join(wide(p).removeprefix("(?i)") for p in D.STATUTE_PATTERNS.values())
+#: What ends a section, at the start of a line or of the text that is searched: a number of so many parts, and a capital after it.
+ENDING = (wide(r"(?md)^\d+(?:\.\d+){0,"), wide(r"}\.\s+[A-Z]"))
 #: A header that begins within so many characters of another doesn't end what stands under that.
 SKIP = 10
 # The markers that begin a list item, told without case.
@@ -95,7 +97,7 @@ def _parts(content: Column, base_id: Column, hierarchy: Column, start: Column, m
 def numbered_chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
     """Sections ``n.``, ``n.m.`` ... with the path of their headers; own contents of at most 50 characters give no chunk."""
     o = options.within(1500, 100, 50)
-    return let(with_starts(F.split(clean_text(text, o.semantics), f"(?m)(?={SECTION})")), lambda pieces: _numbered(pieces, o))
+    return let(with_starts(F.split(clean_text(text, o.semantics), f"(?md)(?={SECTION})")), lambda pieces: _numbered(pieces, o))
 
 
 def _extended(pieces: Column, i: Column, ends: Callable[[Column], Column]) -> Column:
@@ -111,6 +113,15 @@ def _extended(pieces: Column, i: Column, ends: Callable[[Column], Column]) -> Co
     return F.when(F.length(own["text"]) >= SKIP, own["text"]).otherwise(longer)
 
 
+def _up_to_end(text: Column, level: Column) -> Column:
+    """A section's text up to the first header of its level or above SKIP characters from its start on. The search begins there, so a
+    header just there ends it, in the middle of a line, too; and so does one that is a capital alone, which begins no section."""
+    rest = F.substring(text, F.lit(SKIP + 1), F.length(text))
+    at = F.regexp_instr(rest, F.concat(F.lit(ENDING[0]), (level - 1).cast("string"), F.lit(ENDING[1])))
+    cut = let(at, lambda at: F.when(at > 0, F.left(text, at + (SKIP - 1))).otherwise(text))
+    return F.when(rest.rlike(ENDING[0] + ENDING[1]), cut).otherwise(text)
+
+
 def _numbered(pieces: Column, o: ChunkOptions) -> Column:
     number = lambda p: F.regexp_extract(p["text"], wide(r"^(\d+(?:\.\d+)*)\."), 1)
     title = lambda p: F.regexp_extract(p["text"], wide(r"^\d+(?:\.\d+)*\.\s+([A-Z][^\n]+)"), 1)
@@ -118,7 +129,7 @@ def _numbered(pieces: Column, o: ChunkOptions) -> Column:
     known = F.transform(F.filter(pieces, lambda p: p["text"].rlike(SECTION)), lambda p: let(number(p), lambda n: of_number(p, n)))
 
     def with_next(known: Column) -> Column:
-        text = lambda x, i: _extended(known, i, lambda p: p["level"] <= x["level"])
+        text = lambda x, i: let(_extended(known, i, lambda p: p["level"] <= x["level"]), lambda t: _up_to_end(t, x["level"]))
         parent = lambda x, i: F.coalesce(F.get(known, i + 1)["level"] > x["level"], F.lit(False))
         each = lambda x, i: let(parent(x, i), lambda has: F.struct(x["number"].alias("number"), x["level"].alias("level"), x["title"].alias("title"), F.when(has, x["text"]).otherwise(text(x, i)).alias("text"), x["start"].alias("start"), has.alias("parent")))
         return F.transform(known, each)

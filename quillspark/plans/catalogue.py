@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import answer, chat, chunk, chunkset, collection, detect, embed, index, search
-from quillspark.sources import readers
+from quillspark.sources import html, readers
 
 QUERY_VEC, SHIFTED = 7, 500
 #: name -> (query, SQL or None)
@@ -187,6 +187,14 @@ def chunk_all_documented(spark, sf_dir):
     return _chunks(spark, sf_dir, "documented").select("doc_id", "doc_type", "ordinal", "chunk_id", F.array_join("hierarchy", " > ").alias("path"), "content")
 
 
+@query()
+def layout_pages(spark, sf_dir):
+    """Web pages by their layout: every page with a heading is cut under its headings."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", html.layout_of(F.col("html")).alias("seen")).select("page_id", "seen.*")
+    chunks = chunk.chunk_documents(pages, "page_id", "text", "layout", detect_options=detect.DetectOptions(headings_least=1))
+    return chunks.select("page_id", "doc_type", "ordinal", "chunk_id", F.array_join("hierarchy", " > ").alias("path"), "start_pos", "end_pos", "content")
+
+
 @query()
 def chunk_stats(spark, sf_dir):
     docs = _made_whole(_read(spark, sf_dir, "documents"))

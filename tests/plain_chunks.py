@@ -2,6 +2,8 @@
 
 import re
 
+# The patterns by which documents are cut, and the words that tell their parts.
+ENDING = re.compile(r"^(\d+(?:\.\d+)*)\.\s+[A-Z]", re.M)
 SECTION = re.compile(r"^(\d+(?:\.\d+)*)\.\s+([A-Z][^\n]+)", re.M)
 ARTICLE = re.compile(r"Article\s+\d+|Art\.\s+\d+|Section\s+\d+|§\s*\d+", re.I)
 CLAUSES = {"numeric": r"\((\d+)\)", "clause": r"Clause\s+(\d+)", "para": r"Para\.\s+(\d+)", "letter": r"\(([a-z])\)"}
@@ -9,6 +11,7 @@ MARKERS = [r"\([a-z]\)\s", r"\([ivx]+\)\s", r"\(\d+\)\s", r"[•●○]\s", r"[-
 
 
 def kind_of(text):
+    # The patterns of the kinds.
     n = sum(len(re.findall(p, text)) for p in (r"\n\d+\.\s+[A-Z][A-Z\s]{2,}", r"\n\d+\.\d+\s+[A-Z]", r"(?m)^\d+\.\s+[A-Z][A-Z\s]{2,}"))
     if n >= 3:
         return "numbered_sections"
@@ -69,7 +72,7 @@ def numbered(text, mode, most=1500, least=100, overlap=50):
     heads = [(m.start(), m[1], m[2], m[1].count(".") + 1) for m in SECTION.finditer(text)]
     for i, (start, number, title, level) in enumerate(heads):
         child = i + 1 < len(heads) and heads[i + 1][3] > level
-        end = heads[i + 1][0] if child else next((h[0] for h in heads[i + 1 :] if h[0] >= start + 10 and h[3] <= level), len(text))
+        end = heads[i + 1][0] if child else next((start + 10 + m.start() for m in ENDING.finditer(text[start + 10 :]) if m[1].count(".") < level), len(text))
         body = text[start:end]
         own = body.split("\n", 1)[1].strip() if child and "\n" in body.strip() else body.strip()
         stack = [s for s in stack if s[0] < level]
@@ -187,3 +190,33 @@ CHUNKERS = {"numbered_sections": numbered, "statute": statute, "policy_or_terms"
 
 def chunks(text, mode="observed", **options):
     return CHUNKERS[kind_of(text)](text, mode, **options)
+
+
+def layout(text, blocks, base, mode, most=1500, least=100):
+    """Chunks by headings that blocks (text, font_size, is_bold, is_centered) show."""
+    text = clean(text, mode)
+    flat, heads = re.sub(r"\s+", " ", text), []
+    for b in blocks:
+        shown, size = (b["text"] or "").strip(), base if b["font_size"] is None else b["font_size"]
+        if 1 <= len(shown) <= 200 and (size >= 1.2 * base or b["is_bold"] or b["is_centered"]):
+            at = flat.find(re.sub(r"\s+", " ", shown))
+            if at >= 0:
+                heads.append((at, len(heads), shown, 1 if size >= 1.5 * base else 2 if size >= 1.3 * base else 3))
+    plain = [chunk(t, f"fallback_{i}", [], 0, len(t)) for i, t in enumerate(pack(paragraphs(text), most))]
+    if not blocks:
+        return merged(plain, least)
+    if not heads:
+        return merged([chunk(text, "section_0", [], 0, len(text))] if len(text) <= most else plain, least)
+    heads.sort()
+    out, stack = [], []
+    for i, (at, _, shown, level) in enumerate(heads):
+        end = heads[i + 1][0] if i + 1 < len(heads) else len(text)
+        content = text[at + len(shown) : max(end, at + len(shown))].strip()
+        stack = [s for s in stack if s[0] < level] + [(level, shown)]
+        path = [s[1] for s in stack]
+        if len(content) <= most:
+            out.append(chunk(content, f"section_{i}", path, at, end))
+            continue
+        texts = pack(paragraphs(content), most)
+        out += [chunk(f"{shown}\n\n{t}".strip(), f"section_{i}_part_{j}", path, at, at + len(t if j < len(texts) - 1 else content)) for j, t in enumerate(texts)]
+    return merged(out, least)
