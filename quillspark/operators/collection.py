@@ -20,7 +20,7 @@ from quillspark.operators.chunkset import first_in
 from quillspark.operators.embed import EmbedConfig
 
 # Names of field types and the fields that each collection has.
-TYPES = {"string": "string", "int32": "int", "int64": "bigint", "float": "float", "bool": "boolean", "object": "map<string,string>"}
+TYPES = {"string": "string", "int32": "int", "int64": "bigint", "float": "float", "bool": "boolean", "object": "map<string,string>", "variant": "variant"}
 BASE = {"id": "string", "embedding": "array<float>", "text": "string", "chunk_id": "string", "source_file": "string", "hierarchy": "array<string>", "page_numbers": "array<int>", "embedding_model": "string", "embedding_model_version": "string", "indexed_at": "bigint", "metadata": "map<string,string>", "document": "string", "content_hash": "string"}
 BUCKET, VERSION = "id_bucket", "version"
 #: Partitions of a collection, if its schema doesn't say.

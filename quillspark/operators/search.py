@@ -30,16 +30,44 @@ def _unquoted(value: str) -> str:
     return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "`'\"" else value
 
 
+def _variant_test(col: Column, path: str, sign: str | None, value: str) -> Column:
+    """The test of a value at a path of a variant, taken out as the kind that the value has; quotes make it text."""
+    at = "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("."))
+    found, schema = lambda kind: F.try_variant_get(col, at, kind), F.schema_of_variant(F.try_variant_get(col, at, "variant"))
+    if re.fullmatch(r"-?\d+(\.\d+)?", value):
+        number = schema.rlike(r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
+        left, right = F.when(number, found("double")), F.lit(float(value))
+        if "." not in value:  # whole numbers past a double's digits are told apart
+            left, right = F.when(number, F.coalesce(F.when(schema == "BIGINT", found("decimal(38,18)")), found("double").try_cast("decimal(38,18)"))), F.lit(value).cast("decimal(38,18)")
+    elif value in ("true", "false"):
+        left, right = F.when(schema == "BOOLEAN", found("boolean")), F.lit(value == "true")
+    else:
+        left, right = F.when(schema == "STRING", found("string")), F.lit(_unquoted(value))
+        if value.startswith("[") and value.endswith("]"):
+            items = [v.strip() for v in _ITEMS.findall(value[1:-1]) if v.strip()]
+            tests = [_variant_test(col, path, ":=", v) for v in items]
+            return F.coalesce(F.array_max(F.array(*[F.coalesce(t, F.lit(False)) for t in tests])), F.lit(False)) if tests else F.lit(False)
+        if sign is None:
+            return F.lower(left).contains(_unquoted(value).lower())
+    return {None: left == right, ":=": left == right, "=": left == right, ">": left > right, "<": left < right, ">=": left >= right, "<=": left <= right, "!=": left != right}[sign]
+
+
 def parse_filter(expression: str, types: dict[str, str] | None = None) -> Column:
     """``field:=v``, ``field:v`` (contains), comparisons, ``field:[a, b]`` and ``metadata.key``, joined by ``&&`` outside quotes.
 
-    ``types`` are the columns'. Values take the type of their column, and metadata that of the value."""
+    ``types`` are the columns'. Values take the type of their column, and metadata that of the value. ``field.a.b`` is a path into a
+    column of the type variant, whose value must be of the filter value's kind: a number (compared as such, whatever its digits),
+    true or false, or text; anything else there, and what isn't there, is null."""
     out = F.lit(True)
     for part in _PARTS.findall(expression):
         if not (m := _CLAUSE.match(part)):
             raise ValueError(f"can't read the filter {part!r}")
         name, sign, value = m.groups()
         kind, number = (types or {}).get(name), re.fullmatch(r"-?\d+(\.\d+)?", value) is not None
+        root, _, path = name.partition(".")
+        if path and (types or {}).get(root) == "variant":
+            out = out & _variant_test(F.col(root), path, sign, value)
+            continue
         col = F.col("metadata")[name.split(".", 1)[1]] if name.startswith("metadata.") else F.col(name)
         if name.startswith("metadata."):
             col, kind = (col.try_cast("double"), "double") if number else (col, "string")

@@ -187,6 +187,14 @@ def chunk_all_documented(spark, sf_dir):
     return _chunks(spark, sf_dir, "documented").select("doc_id", "doc_type", "ordinal", "chunk_id", F.array_join("hierarchy", " > ").alias("path"), "content")
 
 
+@query("SELECT event_id, user_id, event_type FROM events WHERE (props::JSON->>'k')::DOUBLE >= 40 AND (props::JSON->>'k')::DOUBLE <> 69 AND event_type IN (SELECT event_type FROM events GROUP BY event_type ORDER BY event_type LIMIT 2)")
+def filter_nested(spark, sf_dir):
+    """Events by a number within their properties."""
+    events = _read(spark, sf_dir, "events").withColumn("props", F.parse_json("props"))
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    return events.where(search.parse_filter(f"props.k:>=40 && props.k:!=69 && event_type:[{', '.join(kinds)}]", dict(events.dtypes))).select("event_id", "user_id", "event_type")
+
+
 @query()
 def layout_pages(spark, sf_dir):
     """Web pages by their layout: every page with a heading is cut under its headings."""
