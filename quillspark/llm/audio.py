@@ -155,7 +155,10 @@ def from_bytes(stored: bytes) -> pa.RecordBatch:
 
 
 def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes, media (WAV) of every row. A null text is stored as an empty one, by zeros alone."""
+    """``id_col``, n_bytes, media (WAV) of every row.
+
+    Edge cases: a null or empty text is stored by zeros alone; a very long one is one file. Null ids and repeated rows stay; an empty
+    table gives no rows; other columns are not read."""
 
     @F.pandas_udf("media binary, n_bytes long")
     def store(texts):

@@ -113,7 +113,10 @@ def held_out(ident: Column) -> Column:
 
 def fit(docs: DataFrame, docs_per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 7, languages: int = 200) -> ByteNet | None:
     """A network trained on a bounded sample: about ``docs_per_language`` labelled texts that aren't held out of each of the
-    ``languages`` most frequent labels, and of each text four stretches of at most a window. None where there are no such texts."""
+    ``languages`` most frequent labels, and of each text four stretches of at most a window. None where there are no such texts.
+
+    Edge cases: rows with a null id, text or label, and texts without a letter, are not learned from; repeated rows count each, up to the bound;
+    of very long texts four stretches are read; other columns are not read."""
     labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("__text").rlike(r"\p{L}") & ~held_out(F.col("__id")))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).withColumn("share", F.least(F.lit(1.0), F.lit(docs_per_language) / F.col("n")))
     chosen = labelled.join(F.broadcast(checkpointed(counts)), "lang").where(F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1_000_000)) < F.col("share") * 1_000_000)

@@ -117,5 +117,8 @@ def temperature_mix(
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """What ``temperature_mix`` gives without __mix: blocks whole and in the order of their permutation within each partition."""
+    """What ``temperature_mix`` gives without __mix: blocks whole and in the order of their permutation within each partition, and so in
+    each file that is written of it. Partitions themselves are in no order.
+
+    Edge cases: repeated rows stay; an empty table gives no rows; columns have any names but those that begin with ``__mix``."""
     return mixed.repartition(F.col("__mix.block_order")).sortWithinPartitions("__mix.block_order", "__mix.order").drop("__mix")

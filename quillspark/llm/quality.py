@@ -76,7 +76,10 @@ def fit_evidence(labelled: list[tuple[str, int]], rounds: int = 400) -> Evidence
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> Evidence | None:
     """Evidence from about ``sample`` labelled texts (at most twice that), chosen by a hash of the id. A text is bad if its
-    quality is 0 or it is toxic."""
+    quality is 0 or it is toxic.
+
+    Edge cases: rows with a null id are no one's label; a null text is an empty one; labels that come again count each, up to the
+    bound. None where there are no labels, or of one kind alone; other columns are not read."""
     wanted = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0).alias("__good"))
     wanted = wanted.withColumn("__rank", F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1_000_000)))
     n = wanted.count()
