@@ -109,21 +109,27 @@ def _op1_sql() -> str:
         SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20"""
 
 
+# Rules (longest first) and terms, and the numbers of the mix, spelt for the SQL on their own.
+_SQL_RULES = [("www.example.com", "/en/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("com", "/", "allow")]
+_SQL_STRICT = "casino escort hentai jackpot malware phishing porn pornhub sexcam warez xxx".split()
+_SQL_SOFT = "adult bet betting bonus cam cheap crack dating keygen loan nude pills poker replica sex slots torrent viagra".split()
+_SQL_UPPER, _SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _op3_sql() -> str:
-    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
-    ordered = sorted(RULES, key=lambda r: (-len(r.text), r.text))
-    case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in ordered) + " END"
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(host, path)} THEN '{value(host, path, verdict)}'" for host, path, verdict in _SQL_RULES) + " END"
     hit = lambda t: f"regexp_matches(folded, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INTEGER"
     # Of a strict term all hits count: a boundary that two hits share would be used up by the first, so boundaries are doubled.
     hits = lambda t: f"len(regexp_extract_all(' ' || regexp_replace(folded, '([^a-z0-9])', '\\1\\1', 'g') || ' ', '[^a-z0-9]{t}[^a-z0-9]'))"
     return f"""
-        WITH p AS (SELECT page_id, url, translate(coalesce(url, ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS folded,
-                          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+        WITH p AS (SELECT page_id, url, translate(coalesce(url, ''), '{_SQL_UPPER}', '{_SQL_LOWER}') AS folded,
+                          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_SQL_UPPER}', '{_SQL_LOWER}') AS host,
                           regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-             h AS (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruled,
-                          ({" + ".join(hits(t) for t in url_filter.STRICT_TERMS)})::INTEGER AS strict_hits,
-                          ({" + ".join(hit(t) for t in url_filter.SOFT_TERMS)})::INTEGER AS soft_hits FROM p)
-        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_hits >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+             h AS (SELECT *, {case(lambda host, path, verdict: host + path)} AS rule, {case(lambda host, path, verdict: verdict)} AS ruled,
+                          ({" + ".join(hits(t) for t in _SQL_STRICT)})::INTEGER AS strict_hits,
+                          ({" + ".join(hit(t) for t in _SQL_SOFT)})::INTEGER AS soft_hits FROM p)
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
                strict_hits, soft_hits FROM h"""
 
 
@@ -131,11 +137,11 @@ def _op10_sql() -> str:
     step = lambda kind, holds: f"""
         {kind}(i, low, high) AS (SELECT 0, 0::DOUBLE, 1::DOUBLE UNION ALL
             SELECT i + 1, CASE WHEN holds THEN mid ELSE low END, CASE WHEN holds THEN high ELSE mid END FROM (
-                SELECT i, low, high, (low + high) / 2 AS mid, {holds} AS holds FROM {kind}, one WHERE i < {mixing.BISECTIONS}))"""
+                SELECT i, low, high, (low + high) / 2 AS mid, {holds} AS holds FROM {kind}, one WHERE i < 49))"""
     mid = "((low + high) / 2)"
     z = f"list_sum(list_transform(p, lambda x: pow(x, {mid})))"
-    flat = f"(ln({z}) - {mid} * list_sum(list_transform(p, lambda x: pow(x, {mid}) * ln(x))) / {z}) >= {MIX['target_entropy']} * ln(len(p))"
-    rare = f"pow(list_min(p), {mid} - 1) / {z} > {MIX['max_repetition']}"
+    flat = f"(ln({z}) - {mid} * list_sum(list_transform(p, lambda x: pow(x, {mid}) * ln(x))) / {z}) >= 0.95 * ln(len(p))"
+    rare = f"pow(list_min(p), {mid} - 1) / {z} > 4.0"
     return f"""
         WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
                                     md5(doc_id::VARCHAR || '|mix|' || md5(md5(coalesce(text, '')))) AS o FROM documents),
@@ -144,7 +150,7 @@ def _op10_sql() -> str:
              {step("f", flat)}, {step("r", rare)},
              e AS (SELECT round(greatest((SELECT max(low) FROM f), (SELECT max(low) FROM r)), 9) AS a),
              w AS (SELECT k, t, CASE WHEN t > 0 THEN pow(t / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) ELSE 0 END AS weight, t / total AS share, rows FROM s, one, e),
-             m AS (SELECT *, CASE WHEN t > 0 THEN weight / share ELSE 0 END AS reps, greatest(ceil(t / {MIX['block_tokens']}), ceil(rows / {MIX['block_rows']}), 1)::BIGINT AS blocks FROM w),
+             m AS (SELECT *, CASE WHEN t > 0 THEN weight / share ELSE 0 END AS reps, greatest(ceil(t / 200000), ceil(rows / 100000), 1)::BIGINT AS blocks FROM w),
              b AS (SELECT d.*, m.t, m.weight, m.reps, ('0x' || o[1:8])::BIGINT % m.blocks AS block FROM d JOIN m USING (k)),
              c AS (SELECT *, sum(tokens) OVER (PARTITION BY k, block ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(tokens) OVER (PARTITION BY k, block) AS total FROM b),
              n AS (SELECT *, CASE WHEN t = 0 THEN 1 ELSE floor(reps + 1e-9)::BIGINT + CASE WHEN tokens > 0 AND upto - tokens / 2 < greatest(reps - floor(reps + 1e-9), 0) * total THEN 1 ELSE 0 END END AS copies FROM c)
