@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
+from quillspark.functions.lineage import shared_folder
 from quillspark.operators import answer, chat, chunk, chunkset, collection, detect, embed, index, search
 from quillspark.sources import html, readers
 
@@ -66,7 +67,7 @@ def knn_batch(spark, sf_dir):
 def knn_indexed(spark, sf_dir):
     """The ten nearest of every twentieth vector through an index of all; its recall is tested against ``search_many``."""
     e = _read(spark, sf_dir, "embeddings")
-    built = index.build(e, f"{_shared(spark)}/indexes/{uuid.uuid4()}", id_col="vec_id")
+    built = index.build(e, f"{shared_folder(spark)}/indexes/{uuid.uuid4()}", id_col="vec_id")
     return index.search_index(built, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_col="vec_id")
 
 
@@ -258,7 +259,7 @@ def upsert_merge(spark, sf_dir):
 @query("SELECT label::VARCHAR AS name, count(*)::BIGINT AS num_documents, max(len(embedding))::INTEGER AS embedding_dim FROM embeddings GROUP BY label")
 def collection_stats(spark, sf_dir):
     """A collection for each label, and what the store says of them."""
-    rows, root = _read(spark, sf_dir, "embeddings"), f"{_shared(spark)}/collections/{uuid.uuid4()}"
+    rows, root = _read(spark, sf_dir, "embeddings"), f"{shared_folder(spark)}/collections/{uuid.uuid4()}"
     store = collection.Collections(spark, root)
     for label, dim in rows.groupBy("label").agg(F.max(F.size("embedding"))).collect():
         store.create(collection.CollectionSchema(str(label), dim, buckets=4))
@@ -267,11 +268,6 @@ def collection_stats(spark, sf_dir):
     return store.stats().select("name", "num_documents", "embedding_dim")
 
 
-def _shared(spark) -> str:
-    """A folder that all executors share."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-
-
 @query("""SELECT doc_id, part::INTEGER AS part, md5(text[part * 1000 + 1:part * 1000 + 1000]) AS digest FROM (
   SELECT doc_id, text, unnest(range(ceil(length(text) / 1000.0)::BIGINT)) AS part FROM (
     SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text[1:length(text) // 2] WHEN 1 THEN '' ELSE text END AS text FROM documents))""")
