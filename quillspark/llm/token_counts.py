@@ -55,23 +55,49 @@ def _chunker(chunk: int, overlap: int):
 
 
 def _encoder(path: str, chunk: int, overlap: int):
-    """Of each chunk: its tokens, and in both overlaps the stable positions with the number of tokens before each."""
+    """Of each chunk: its tokens, and in both overlaps the stable positions with the number of tokens before each. The overlaps are
+    encoded with offsets, up to a stable position beyond them; what lies between is counted by pieces."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = SpacedCounts(path).tokenizer
-        def zones(row) -> tuple:
-            e = tokenizer.encode(row.part, add_special_tokens=False)
-            starts, at = [a for a, _ in e.offsets], row.chunk * chunk
+        memo = SpacedCounts(path)
 
-            def zone(low: int, high: int) -> tuple[list[int], list[int]]:
-                spots = [(s, n) for m in STABLE.finditer(row.part, low, min(high, len(row.part))) if (n := bisect_left(starts, s := m.start())) < len(starts) and starts[n] == s]
-                return [at + s for s, _ in spots], [n for _, n in spots]
+        def sides(row) -> tuple[int, int]:
+            """Where what lies between begins and ends: stable positions, or the end of the text for both."""
+            part, high = row.part, len(row.part) if row.last else chunk
+            first = STABLE.search(part, overlap if row.chunk else 0, high)
+            if first is None:
+                return len(part), len(part)
+            if row.last:
+                return first.start(), high
+            at = part.rfind(" ", first.start(), high)
+            while not STABLE.match(part, at):
+                at = part.rfind(" ", first.start(), at)
+            return first.start(), at
+
+        def zones(row, at: int, to: int, between: int) -> tuple:
+            part = row.part
+            left, right = (memo.tokenizer.encode(t, add_special_tokens=False) for t in (part[:at], part[to:]))
+            starts = [a for a, _ in left.offsets]
+            before, from_ = len(left.ids) + between, row.chunk * chunk
 
-            head, tail = zone(0, overlap) if row.chunk else ([], []), ([], []) if row.last else zone(chunk, chunk + overlap)
-            return len(e.ids), *head, *tail
+            def zone(low: int, high: int) -> tuple[list[int], list[int]]:
+                spots = [(s, n) for m in STABLE.finditer(part, low, min(high, len(part))) if (n := bisect_left(starts, s := m.start())) < len(starts) and starts[n] == s]
+                return [from_ + s for s, _ in spots], [n for _, n in spots]
+
+            head = zone(0, overlap) if row.chunk else ([], [])
+            if to < len(part):  # the rest's tokens come after all others
+                starts = [to + a for a, _ in right.offsets]
+                tail_at, tail_n = zone(chunk, chunk + overlap)
+                tail = tail_at, [before + n for n in tail_n]
+            else:
+                tail = zone(chunk, chunk + overlap)
+            return before + len(right.ids), *head, *(([], []) if row.last else tail)
 
         for frame in frames:
-            found = [zones(row) for row in frame.itertuples(index=False)]
+            rows = list(frame.itertuples(index=False))
+            cuts = [sides(r) for r in rows]
+            pieces = memo.values([STABLE.split(r.part[at:to])[1:] for r, (at, to) in zip(rows, cuts, strict=True)])
+            found = [zones(r, at, to, sum(counts)) for r, (at, to), counts in zip(rows, cuts, pieces, strict=True)]
             columns = dict(zip(("n", "head_at", "head_n", "tail_at", "tail_n"), map(list, zip(*found, strict=True)), strict=False)) if found else {}
             yield frame.drop(columns="part").assign(**columns)
 
