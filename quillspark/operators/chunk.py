@@ -413,7 +413,9 @@ class Chunkers:
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout_col: str | None = None, options: ChunkOptions = ChunkOptions(), detect_options: D.DetectOptions = D.DetectOptions(), chunkers: Chunkers | None = None) -> DataFrame:
     """One row a chunk: ``id_col``, doc_type, ordinal (from 0) and the chunk's fields. Documents without chunks give no row."""
     found = with_chunks(docs, text_col, layout_col, options, detect_options, chunkers)
-    return found.select(F.col(id_col), F.col("__type").alias("doc_type"), F.posexplode("__chunks").alias("ordinal", "chunk")).select(id_col, "doc_type", "ordinal", "chunk.*")
+    # An inner explode would be given a filter on the size of its array below the projection, and so cut each text once more for it.
+    one = found.select(F.col(id_col), F.col("__type").alias("doc_type"), F.posexplode_outer("__chunks").alias("ordinal", "chunk"))
+    return one.where(F.col("ordinal").isNotNull()).select(id_col, "doc_type", "ordinal", "chunk.*")
 
 
 @lru_cache(maxsize=16)

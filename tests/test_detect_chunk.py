@@ -124,3 +124,9 @@ def test_statistics_and_exports(spark):
     assert chunkset.export(made, "json").count() == chunkset.export(made, "csv").count() == 4
     with pytest.raises(ValueError, match="no export"):
         chunkset.export(made, "pdf")
+
+
+def test_a_text_is_cut_once(spark):
+    plan = chunk_documents(docs(spark, a=AGREEMENT, b="", c=ACT))._jdf.queryExecution().optimizedPlan()
+    assert "Generate" in plan.toString() and not [line for line in plan.treeString().split("\n") if line.strip(" :+-").startswith("Filter") and "size(" in line]
+    assert plan.toString().count("section_number") == 1
