@@ -4,6 +4,7 @@ import random
 import re
 from html import unescape
 
+import pandas as pd
 import plain_chunks
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,13 @@ def test_sections_end_at_headers_where_the_search_begins(spark):
         for i, text in enumerate(texts):
             assert got.get(i, []) == plain_chunks.numbered(text, mode), (i, mode)
     assert plain_chunks.numbered(texts[0], "observed")[0][2] != ["1. ABCDEF 2. Next"] and plain_chunks.ENDING.search(texts[0][10:]).start() == 0
+
+
+def test_a_batch_is_scanned_a_few_pages_at_a_time(spark):
+    """No more than AT_A_TIME pages have their blocks in memory at once, and each page keeps its own row."""
+    pages = pd.Series([None if i % 7 == 3 else f"<h1>t{i}</h1><p>b{i}</p>" for i in range(html.AT_A_TIME * 2 + 5)])
+    parts = list(html.scanned(pages))
+    assert [len(p) for p in parts] == [html.AT_A_TIME, html.AT_A_TIME, 5] and not list(html.scanned(pages[:0]))
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id long, html string").coalesce(1)
+    got = {r.id: r.text for r in frame.select("id", html.layout_of(F.col("html")).alias("s")).select("id", "s.text").collect()}
+    assert got == {i: html.scan(p)["text"] for i, p in enumerate(pages)}
