@@ -17,6 +17,9 @@ _PARTS = re.compile(r"""((?:'[^']*'|"[^"]*"|`[^`]*`|(?!&&).)+)(?:&&)?""", re.S)
 _ITEMS = re.compile(r"""(?:'[^']*'|"[^"]*"|`[^`]*`|[^,])+""", re.S)
 _CLAUSE = re.compile(r"\s*([\w.]+)\s*:\s*(:?=|>=|<=|>|<|!=)?\s*(.+?)\s*$", re.S)
 
+#: Queries and rows whose products are in memory at once (rows doubled from the first to the last), and pairs scored exactly at a time.
+QUERIES_AT_A_TIME, ROWS_AT_FIRST, ROWS_AT_MOST, SCORED = 256, 2048, 16384, 1 << 16
+
 
 def _typed(value: str, kind: str | None) -> Column:
     """A literal of the column's own type, so that the test can be left to the scan; null where it has no such value."""
@@ -101,6 +104,44 @@ def search(collection: DataFrame, vector: list[float], k: int = 10, filter_by: s
     return top.withColumn("score", F.col("__near") if score_mode == "similarity" else F.round(1 - F.col("__near"), 6)).drop("__near")
 
 
+def _first(i: np.ndarray, j: np.ndarray, s: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best (query, row, score) of each query, ties to the smaller place."""
+    order = np.lexsort((place[j], -s, i))
+    i, j, s = i[order], j[order], s[order]
+    start = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, np.int64)
+    keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < k
+    return i[keep], j[keep], s[keep]
+
+
+def nearest(q: np.ndarray, x: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the ``k`` best rows of ``x`` for each of ``q`` (unit vectors), by products to six places, ties to the
+    smaller ``place``. Products of single precision, whose error is bounded, leave out rows that are surely below the k-th best so far;
+    all others are scored in double precision. Products that aren't numbers are no results."""
+    live = (q != 0).any(axis=0) & (x != 0).any(axis=0)  # what is zero on a side adds nothing
+    q32, x32 = q[:, live].astype(np.float32), x[:, live].astype(np.float32)
+    # Twice the error of a sum of products of unit vectors, and what six places round away at both ends.
+    slack = 4 * (q32.shape[1] + 4) * float(np.finfo(np.float32).eps) + 2e-6
+    out = []
+    for at in range(0, len(q), QUERIES_AT_A_TIME):
+        some, found = q32[at : at + QUERIES_AT_A_TIME], None
+        least, low, size = np.full(len(some), -np.inf), 0, ROWS_AT_FIRST
+        while low < len(x):
+            near = some @ x32[low : low + size].T
+            if found is None:
+                n = min(k, near.shape[1])
+                least = np.partition(np.where(np.isnan(near), -np.inf, near), near.shape[1] - n, axis=1)[:, near.shape[1] - n] if n == k else least
+            i, j = np.nonzero(near >= (least - slack).astype(np.float32)[:, None])
+            exact = [np.einsum("ij,ij->i", q[at + i[c : c + SCORED]], x[low + j[c : c + SCORED]]) for c in range(0, len(i), SCORED)]
+            new = (i, j + low, np.round(np.concatenate(exact), 6) if exact else np.empty(0))
+            found = _first(*(new if found is None else tuple(np.concatenate(c) for c in zip(found, new, strict=True))), place, k)
+            last = np.flatnonzero(np.bincount(found[0], minlength=len(some)) == k)  # those that have k
+            ends = np.cumsum(np.bincount(found[0], minlength=len(some))) - 1
+            least[last] = found[2][ends[last]]
+            low, size = low + size, min(2 * size, ROWS_AT_MOST)
+        out.append((found[0] + at, *found[1:]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _nearest(asking: DataFrame, rows: DataFrame, keys: list[str], k: int, row_kind: str, query_kind: str) -> DataFrame:
     """(q, i, s): the ``k`` best ``rows`` (i, embedding) of each of ``asking`` (q, embedding) within each group of ``keys``."""
 
@@ -109,27 +150,24 @@ def _nearest(asking: DataFrame, rows: DataFrame, keys: list[str], k: int, row_ki
             return pd.DataFrame({"q": ask["q"].iloc[:0], "i": part["i"].iloc[:0], "s": pd.Series(dtype="float64")})
         unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         q, x = (unit(np.stack(f["embedding"].to_numpy()).astype(float)) for f in (ask, part))
-        ids, names, out = part["i"].to_numpy(), ask["q"].to_numpy(), []
-        for at in range(0, len(q), 256):  # bounded scores at a time
-            scores = np.round(q[at : at + 256] @ x.T, 6)
-            n = min(k, scores.shape[1])
-            edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-            i, j = np.nonzero(scores >= edge[:, None])
-            new = pd.DataFrame({"q": names[at + i], "i": ids[j], "s": scores[i, j], "at": i})
-            new = new.sort_values(["at", "s", "i"], ascending=[True, False, True]).groupby("at").head(k)
-            out.append(new[["q", "i", "s"]])
-        return pd.concat(out)
+        ids, names = part["i"].to_numpy(), ask["q"].to_numpy()
+        place = np.empty(len(ids), np.int64)
+        place[part["i"].reset_index(drop=True).sort_values(kind="stable").index] = np.arange(len(ids))
+        i, j, s = nearest(q, x, place, k)
+        return pd.DataFrame({"q": names[i], "i": ids[j], "s": s})
 
     return asking.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(best, f"q {query_kind}, i {row_kind}, s double")
 
 
-def search_many(collection: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_id: str = "query_id", block: int = 2000, row_block: int = 8192) -> DataFrame:
+def search_many(collection: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_id: str = "query_id", block: int | None = None, row_block: int | None = None) -> DataFrame:
     """query_id, rank, ``id_col``, score: top ``k`` for every row of ``queries`` (query_id, embedding).
 
     Blocks of about ``block`` queries meet blocks of about ``row_block`` rows in tasks of their own; each pair of blocks gives the
-    best k rows of its queries, which are merged. Nothing but the two counts comes to the driver."""
+    best k rows of its queries, which are merged. Nothing but the two counts comes to the driver. Where none is given a block is an
+    eighth of its table, within bounds: each side is copied once for each block of the other, so blocks grow as long as memory allows."""
     kinds = dict(collection.dtypes)[id_col], dict(queries.dtypes)[query_id]
     asked, n = queries.count(), collection.count()
+    block, row_block = block or max(2000, min(16384, asked // 8)), row_block or max(8192, min(65536, n // 8))
     query_blocks, row_blocks = max(1, -(-asked // block)), max(1, -(-n // row_block))
     deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

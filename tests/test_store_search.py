@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import chat, embed
+from quillspark.operators import search as search_module
 from quillspark.operators.collection import Collections, CollectionSchema, dedup_keep_first, merge_rows
 from quillspark.operators.embed import EmbedConfig, Providers, embed_chunks, summary
 from quillspark.operators.search import parse_filter, search, search_many
@@ -252,3 +253,32 @@ def test_search_many_keeps_queries_in_spark(spark, monkeypatch):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     want = {(q, r + 1, int(i)) for q in range(30) for r, i in enumerate(np.argsort(-(unit[q] @ unit.T))[:3])}
     assert {(r.query_id, r["rank"], r.id) for r in many.collect()} == want
+
+
+def test_nearest_equals_brute_force_and_scores_few_pairs(monkeypatch):
+    """Ties, repeated rows, rows that aren't numbers and a bound that is narrower than single precision; few pairs are scored twice."""
+    rng, scored, einsum = np.random.default_rng(4), [0], np.einsum
+    for n, m, k, dim in ((300, 9000, 3, 16), (5, 2, 3, 8), (40, 7000, 10, 4), (260, 5000, 3, 2), (2, 3000, 3, 1)):
+        q, x = np.abs(rng.normal(size=(n, dim))), np.abs(rng.normal(size=(m, dim)))
+        x[m // 2 :] = x[: m - m // 2]
+        q[0] = x[0]
+        q, x = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (q, x))
+        x[m - 1] = np.nan
+        place = rng.permutation(m)
+        exact = np.round(einsum("ij,kj->ik", q, x), 6)
+        want = set()
+        for a, row in enumerate(exact):
+            best = [b for b in np.lexsort((place, -row)).tolist() if not np.isnan(row[b])][:k]
+            want |= {(a, b, float(row[b])) for b in best}
+
+        def counted(spec, u, v):
+            scored[0] += len(u)
+            return einsum(spec, u, v)
+
+        scored[0] = 0
+        with monkeypatch.context() as patch:
+            patch.setattr(search_module.np, "einsum", counted)
+            i, j, s = search_module.nearest(q, x, place, k)
+        assert set(zip(i.tolist(), j.tolist(), s.tolist(), strict=True)) == want and len(i) == len(want)
+        if dim == 16:
+            assert scored[0] < 50 * n
