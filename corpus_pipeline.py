@@ -11,8 +11,8 @@ from quillspark.llm.queries import MIX, tokenizer_path
 
 #: A text whose likeliest language has less than this is rejected, as is one without a letter.
 LANGUAGE_SCORE = 0.4
-#: Near copies: words of a shingle, and the least Jaccard similarity.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Near copies: words of a shingle, and the least Jaccard similarity. Fingerprints of the shingles meet within so many bits.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,12 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8 or more, directly or by a chain): the one with the
-    smallest id, null after all others. Rows count by id and text, so rows that share an id, or have none, are treated like others.
+    smallest id, null after all others. SimHash fingerprints find them by op9's index, exact sets decide, and bands find those
+    whose fingerprints are too far apart. Rows count by id and text, so rows that share an id, or have none, are treated like others.
 
     Edge cases: null, empty and wordless texts are one group; of rows that are equal in id and text one stays, whatever else they
     hold. An empty table gives no rows; columns may have any names."""
-    found = near_copies.near_copies(docs.select("doc_id", "text"), SIMILARITY, SHINGLE)
+    found = near_copies.near_copies(docs.select("doc_id", "text"), SIMILARITY, SHINGLE, radius=RADIUS)
     key = unused(docs, "__key")
     keyed = docs.select("*", near_copies.row_key(F.col("doc_id"), F.col("text")).alias(key))
     return keyed.join(found.where("keep").select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,8 +1,11 @@
 """Near copies by exact shingle similarity, for stages that must join all texts of a given Jaccard similarity.
 
-At a similarity of 0.8 SimHash fingerprints differ in a sixth of their bits, more than block masks can stand. So candidates come
-from MinHash bands: texts that share ``ROWS`` minima under one of ``BANDS`` bands meet in a bucket. At 0.8 a pair is missed with
-probability (1 - 0.8 ** 5) ** 25 = 0.00005, above it less. Candidates are links once their sets of shingles have the similarity.
+Candidates come from SimHash fingerprints of the shingles, by the index and the stars of ``simhash``: those within a few bits of each
+other. Candidates are links once their sets of shingles have the similarity.
+
+At a similarity of 0.8 fingerprints differ in a sixth of their bits, more than block masks can stand. So what they leave apart meets
+by MinHash bands: texts that share ``ROWS`` minima under one of ``BANDS`` bands meet in a bucket. At 0.8 a pair is missed with
+probability (1 - 0.8 ** 5) ** 25 = 0.00005, above it less.
 
 Buckets can be large: templates share bands without being similar. If there is much to compare, all members of a bucket are
 compared with one head of it, one that meets others in as many buckets as any and so is near to most; what is in one component
@@ -22,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpointed, written
-from quillspark.llm.simhash import SEED, components
+from quillspark.llm.common import checkpointed, join_stats, written
+from quillspark.llm.simhash import SEED, components, majority, near_links
 
 BANDS, ROWS, AT_A_TIME = 25, 5, 1 << 12
 #: Pairs a text from which on members meet heads first.
@@ -35,15 +38,20 @@ _XOR, _TIMES = (_rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ i
 _TIMES = _TIMES | np.uint64(1)
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles, tokenized as fingerprints are; a text with fewer words is one shingle."""
+def hashes(text: str, words: int) -> np.ndarray:
+    """Hashes of the shingles, repeats included, made as for fingerprints; a text with fewer words is one shingle."""
     import xxhash
 
     tokens = text.encode().lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
     n, hash_ = max(1, len(tokens) - words + 1), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hash_(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n))
+    return np.fromiter((hash_(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n)
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """Sorted distinct ``hashes``."""
+    return np.unique(hashes(text, words))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -59,10 +67,15 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _sketch(words: int):
-    @F.pandas_udf("node binary, buckets array<long>")
+    @F.pandas_udf("node binary, fp long, buckets array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t or "", words) for t in texts]
-        return pd.DataFrame({"node": [hashlib.md5(s.tobytes()).digest() for s in sets], "buckets": [bands(s) for s in sets]})
+        rows = []
+        for text in texts:
+            all_ = hashes(text or "", words)
+            set_ = np.unique(all_)
+            rows.append((hashlib.md5(set_.tobytes()).digest(), majority(all_), bands(set_)))
+        node, fp, buckets = zip(*rows, strict=True) if rows else ((), (), ())
+        return pd.DataFrame({"node": node, "fp": np.array(fp, np.uint64).view(np.int64), "buckets": buckets})
 
     return of
 
@@ -121,6 +134,18 @@ def allowed_pairs(n: np.ndarray, bits: list[bytes], similarity: float) -> Iterat
                     yield x[i[keep]], y[j[keep]]
 
 
+def _by_fingerprint(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of ``nodes`` (node, fp) that fingerprints bring together: all of one fingerprint meet its first node, and the first nodes
+    of fingerprints that the index links meet. They are as many as nodes and stars, whatever a group holds."""
+    points = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    head = lambda c, to: points.select(F.col("fp").alias(c), F.col("head").alias(to))
+    # A star's centre, and a fingerprint that many share, are hot keys.
+    found = join_stats(near_links(points.select("fp", F.col("fp").alias("rep")), radius), head("a", "x"), ["a"], F.col("b"))
+    apart = join_stats(found, head("b", "y"), ["b"], F.col("a")).select("x", "y")
+    alike = join_stats(nodes.select("node", "fp"), head("fp", "y"), ["fp"], F.col("node")).where(F.col("node") != F.col("y")).select(F.col("node").alias("x"), "y")
+    return checkpointed(apart.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def _meeting(similarity: float):
     """Pairs of nodes that the bound allows, from each (bucket, low, high) on its own; rows come sorted by these. Those of one
     component need no link, and those of one block meet where that block is by itself."""
@@ -198,11 +223,12 @@ def row_key(id_: Column, text: Column) -> Column:
     return F.concat(part(id_), part(text))
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """key (``row_key``) and component of every distinct row of ``docs``, with keep for one key of each component.
 
     Rows belong together if their ``words``-word shingles have a Jaccard similarity of ``similarity`` (over 0.5) or more, directly or
-    by a chain. The key that stays has the smallest id, null after all others, then the smallest text hash.
+    by a chain. The key that stays has the smallest id, null after all others, then the smallest text hash. Fingerprints meet
+    within ``radius`` bits; bands join what these leave apart, so the radius doesn't change what belongs together.
 
     Edge cases: null and wordless texts are one component; a text with fewer words is one shingle. Texts with the same set of
     shingles are one node however often they come, and long ones have larger bitmaps. Rows that share an id but not a text are
@@ -214,11 +240,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
     found = docs.select(row_key(id_, text).alias("key"), id_.alias("id"), _sketch(words)(text).alias("s")).select("key", "id", "s.*")
     rows = checkpointed(found)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    nodes = checkpointed(rows.groupBy("node").agg(first, F.first("buckets").alias("buckets")))
+    nodes = checkpointed(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.first("buckets").alias("buckets")))
+    near = _by_fingerprint(nodes, radius)
     member = nodes.select("node", F.explode("buckets").alias("bucket"))
     member = checkpointed(member.join(member.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"))
     # Only texts that meet another are read again.
-    meet = member.groupBy("node").agg(F.count("*").alias("meets")).join(nodes.select("node", "first.key"), "node")
+    seen = member.select("node", F.lit(1).alias("n"))
+    for side in "ab":
+        seen = seen.unionByName(near.select(F.col(side).alias("node"), F.lit(0).alias("n")))
+    meet = seen.groupBy("node").agg(F.sum("n").alias("meets")).join(nodes.select("node", "first.key"), "node")
     texts = docs.select(row_key(id_, text).alias("key"), text.alias("text")).join(meet, "key").dropDuplicates(["node"])
     sets = written(texts.select("node", "meets", _sets(words)("text").alias("s")).select("node", "meets", "s.*"))
     links = joined = None
@@ -228,7 +258,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
         open_ = checkpointed(named.join(parts.where("parts > 1").select("bucket", "members", "largest"), "bucket"))
         outside = F.col("component") != F.col("largest.component")
         left = open_.where(outside).agg(F.coalesce(F.sum(F.col("members") - 1), F.lit(0))).first()[0]
-        if not left:
+        if not left and near is None:
             break
         last = last or left <= FEW * nodes.count()
         if last:
@@ -237,7 +267,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
             central = F.struct(-F.col("meets"), F.xxhash64("node").alias("order"), "node", "component")
             heads = open_.where(outside).join(sets.select("node", "meets"), "node").groupBy("bucket").agg(F.min(central).alias("head"))
             pairs = open_.join(heads, "bucket").where(F.col("component") != F.col("head.component")).select(F.col("node").alias("x"), F.col("head.node").alias("y"))
-        pairs = pairs.select(F.least(*pairs.columns).alias("a"), F.greatest(*pairs.columns).alias("b")).distinct()
+        pairs = pairs.select(F.least(*pairs.columns).alias("a"), F.greatest(*pairs.columns).alias("b"))
+        if near is not None:  # the first round's
+            pairs, near = pairs.unionByName(near), None
+        pairs = pairs.distinct()
         if not last:
             side = lambda c, to: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{to}"), F.col("bits").alias(f"bits_{to}"))
             pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_bounded(similarity), "a binary, b binary")

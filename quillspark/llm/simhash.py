@@ -24,6 +24,24 @@ FAN_OUT, PAIRS_AT_A_TIME, LARGEST_GROUP, SEED = 8, 1 << 14, 8192, 42
 ALL = (1 << 64) - 1
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += votes(hashes[i : i + (1 << 16)])
+    return _packed(counts, len(hashes))
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return bits.sum(axis=0, dtype=np.int32)
+
+
+def _packed(counts: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+
+
 def fingerprint(text: str, words: int = 4) -> int:
     """Bits set in over half of the shingles' hashes; 0 for no words."""
     import xxhash
@@ -40,9 +58,8 @@ def fingerprint(text: str, words: int = 4) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):  # a bounded part of a long text at a time
         hashes = np.array([hash_(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 16)].tolist(), ends[i : i + (1 << 16)].tolist(), strict=True)], np.uint64)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+        counts += votes(hashes)
+    return _packed(counts, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:

@@ -11,7 +11,7 @@ import test_shards_mix
 import test_tokens
 from pyspark.sql import functions as F
 
-from quillspark.llm import language_id, near_copies, quality
+from quillspark.llm import language_id, near_copies, quality, simhash
 
 
 def test_run_equals_plain_stages(spark, sf_dir):
@@ -189,3 +189,23 @@ def test_dedup_counts_rows_not_ids(spark, sf_dir, docs):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, "null id only here, five words")])
     with pytest.raises(ValueError):
         near_copies.near_copies(frame, 0.4)
+
+
+def test_dedup_finds_near_copies_by_fingerprints(spark, sf_dir, docs, monkeypatch):
+    """Without any band the index of fingerprints joins what is within its bits; texts apart stay, and with one far copy too."""
+    monkeypatch.setattr(near_copies, "bands", lambda hashes: [])
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(9000)}" for _ in range(600)] for _ in range(6)]
+    texts = [" ".join([*base[: 600 - cut], *[f"e{g}x{cut}"] * bool(cut)]) for g, base in enumerate(bases) for cut in range(3)]
+    far = " ".join(w if i % 40 else f"far{i}" for i, w in enumerate(bases[0]))
+    prints = [simhash.fingerprint(t, 5) for t in [*texts, far]]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    assert all((3 * g, 3 * g + 1) in near for g in range(6)) and all(i // 3 == j // 3 for i, j in near)
+    top = list(range(len(texts) + 1))
+    for i, j in sorted(near):
+        x, y = sorted((top[i], top[j]))
+        top = [x if t == y else t for t in top]
+    assert (prints[-1] ^ prints[0]).bit_count() > 4
+    frame = spark.createDataFrame([(i, t, *[None] * 7) for i, t in enumerate([*texts, far])], docs.schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(top)) and len(kept) < len(texts)
